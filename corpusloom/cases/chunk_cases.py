@@ -248,7 +248,7 @@ CHAP = f"""{q.chunk_cte('documents', 40, 0)}, ch AS (SELECT full_doc_id AS file,
     "c11_edit_chunks",
     f"""WITH {CHAP} SELECT file, idx, md5(nc) AS content_md5, nb AS breadcrumb, CASE WHEN nc = content AND nb = breadcrumb THEN chunk_id
         ELSE md5(nb || '_' || nc) END AS chunk_id, CASE WHEN idx = 3 THEN 'content cannot be empty or whitespace-only' END AS edit_error
-    FROM (SELECT *, CASE idx WHEN 1 THEN {q.strip("upper(content)")} WHEN 2 THEN content ELSE content END AS nc,
+    FROM (SELECT *, CASE idx WHEN 1 THEN content || ' edited' WHEN 2 THEN content ELSE content END AS nc,
         CASE idx WHEN 2 THEN 'moved' ELSE breadcrumb END AS nb FROM ch)""",
 )
 def _(spark, sf):
@@ -256,7 +256,7 @@ def _(spark, sf):
     cmd = c.where("idx BETWEEN 1 AND 4").select(
         "file",
         "chunk_id",
-        F.when(F.col("idx") == 1, F.upper("content")).when(F.col("idx") == 3, F.lit(" ")).otherwise(F.col("content")).alias("new_content"),
+        F.when(F.col("idx") == 1, F.concat("content", F.lit(" edited "))).when(F.col("idx") == 3, F.lit(" ")).otherwise(F.col("content")).alias("new_content"),
         F.when(F.col("idx") == 2, F.lit("moved")).alias("new_breadcrumb"),
     )
     return ck.edit_chunks(c, cmd).select("file", "idx", F.md5("content").alias("content_md5"), "breadcrumb", "chunk_id", "edit_error")
@@ -264,10 +264,10 @@ def _(spark, sf):
 
 @case(
     "c12_split_chunks",
-    f"""WITH {CHAP}, s AS (SELECT file, idx, breadcrumb, 0 AS half, CASE WHEN hit THEN l ELSE content END AS content FROM h
-        UNION ALL SELECT file, idx, breadcrumb, 1, r FROM h WHERE hit),
-    h AS (SELECT *, idx % 2 = 1 AND l <> '' AND r <> '' AS hit FROM (SELECT *, {q.strip('substring(content, 1, 50)')} AS l,
-        {q.strip('substring(content, 51)')} AS r FROM ch))
+    f"""WITH {CHAP}, h AS (SELECT *, idx % 2 = 1 AND l <> '' AND r <> '' AS hit FROM (SELECT *, {q.strip('substring(content, 1, 50)')} AS l,
+        {q.strip('substring(content, 51)')} AS r FROM ch)),
+    s AS (SELECT file, idx, breadcrumb, 0 AS half, CASE WHEN hit THEN l ELSE content END AS content FROM h
+        UNION ALL SELECT file, idx, breadcrumb, 1, r FROM h WHERE hit)
     SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY idx, half) - 1 AS INT) AS idx,
         md5(breadcrumb || '_' || content) AS chunk_id FROM s""",
 )

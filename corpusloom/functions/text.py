@@ -34,6 +34,12 @@ HTML_ENTITIES = (
 )
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once: keeps chains of rewrites from growing
+    exponentially when every step mentions its input several times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of whitespace at both ends."""
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
