@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 
 # fixed value: whitespace as the Unicode-aware regex engines see it (Java's \s is ASCII-only)
 WS = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
+# fixed value: the same characters one by one, for trimming without a regular expression
+WS_CHARS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 # fixed value: separator of joined graph fields
 SEP = "<SEP>"
 # fixed values: single characters that survive the keyword length filter
@@ -42,7 +47,7 @@ def let(value: Column, body) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim every kind of whitespace at both ends."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def squeeze(c: Column) -> Column:

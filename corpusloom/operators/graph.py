@@ -178,7 +178,8 @@ def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def node_detail(labels: DataFrame, nodes: DataFrame, edges: DataFrame, max_relationships: int = 20, type_col: str = "relation_type") -> DataFrame:
     """Type, degree and the first relations (by neighbour name) of each ``labels(entity_name)``."""
     want = labels.select(unquote(F.col("entity_name")).alias("entity_name")).distinct().join(nodes, "entity_name")
-    around = both_ways(edges, "src", relation_type([type_col]).alias("rel")) if type_col in edges.columns else both_ways(edges.withColumn("rel", F.lit("RELATED_TO")), "src", "rel")
+    rel = relation_type([type_col]) if type_col in edges.columns else F.lit("RELATED_TO")
+    around = both_ways(edges.withColumn("rel", rel), "src", "rel")
     around = around.join(want.select(F.col("entity_name").alias("a")), "a", "left_semi")
     degree = around.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
     first = top_k(around, "a", [F.col("b")], max_relationships).groupBy("a").agg(

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as tx
 from corpusloom.operators import records as rec
 from corpusloom.plans.scan import ordered_parts
+from corpusloom.plans.session import cut
 
 # fixed values: markers of the tuple protocol
 TUPLE_MARK, RECORD_MARK, DONE_MARK = "<|>", "##", "<|COMPLETE|>"
@@ -314,6 +315,8 @@ def build_graph(node_candidates: DataFrame, edge_candidates: DataFrame, source_s
     if existing is not None:
         nodes = nodes.unionByName(existing.nodes.join(nodes, "entity_name", "left_anti").select("entity_name", "entity_type"))
     edges, ef = merge_edges(edge_candidates, existing)
+    # each merged table is read several times below and by every user of the graph
+    nodes, nf, edges, ef = cut(nodes), cut(nf), cut(edges), cut(ef)
     stubs, sf = stub_nodes(edges, ef, nodes)
     if existing is not None and existing.source_sets is not None:
         source_sets = existing.source_sets if source_sets is None else source_sets.unionByName(existing.source_sets).distinct()
