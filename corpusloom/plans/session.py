@@ -50,11 +50,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: computes ``df`` once and cuts its lineage."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Compute ``df`` once into a table in the shared folder and go on from there.
+
+    Unlike an RDD checkpoint the table keeps column pruning, filter push-down and size
+    statistics, and it survives the loss of any executor.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def tables(spark: SparkSession, sf_dir: str):
