@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 from corpusloom.operators.store import upsert_replace
 from corpusloom.plans.scan import top_k
 from corpusloom.plans.session import cut
-from corpusloom.plans.textjoin import cosine
 
 MAX_CELLS = 256
-CELL_ROWS = 1_000_000
+BLOCK_ROWS = 100_000
 
 
 def _assigner(pivots: np.ndarray, id_col: str, keep_all: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -48,7 +47,8 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, threshold: floa
     ``queries(query_id, embedding)``, ``vectors(id, embedding)``.  Vectors are put into cells around
     pivot vectors.  A query first searches its own cell, which gives a lower bound for its k-th hit;
     by the triangle inequality of angles a cell whose best possible cosine stays below that bound is
-    skipped, every other cell is searched.  Large cells are split over several tasks.
+    skipped, every other cell is searched.  A task gets at most one block of queries and one of
+    vectors and returns the best ``k`` per query of that block.
     """
     n = vectors.count()
     cells = max(1, min(MAX_CELLS, int(math.sqrt(n))))
@@ -62,18 +62,24 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, threshold: floa
     et = dict(vectors.dtypes)["embedding"]
     v = cut(vectors.select("id", "embedding").mapInPandas(_assigner(pivots, "id", False), f"id {vt}, embedding {et}, cell int, angle double"))
     q = cut(queries.select("query_id", "embedding").mapInPandas(_assigner(pivots, "query_id", True), f"query_id {qt}, embedding {et}, cell int, angles array<double>"))
+    nq = q.count()
+    blocks = max(1, -(-nq // BLOCK_ROWS))
     # at most MAX_CELLS rows
-    stats = cut(v.groupBy("cell").agg(F.max("angle").alias("radius"), F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / CELL_ROWS)).cast("int").alias("splits")))
-    split = v.join(stats.select("cell", "splits"), "cell").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("splits")).cast("int")).select(
-        "cell", "salt", "id", F.col("embedding").alias("ve")
+    stats = cut(v.groupBy("cell").agg(F.max("angle").alias("radius"), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("splits")))
+    split = (
+        v.join(stats.select("cell", "splits"), "cell")
+        .withColumn("vs", F.pmod(F.xxhash64("id"), F.col("splits")).cast("int"))
+        .withColumn("qs", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        .select("cell", "vs", "qs", "id", "embedding")
     )
+    key = ["cell", "vs", "qs"]
 
     def search(probe: DataFrame) -> DataFrame:
-        spread = probe.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
-        pairs = spread.join(split, ["cell", "salt"])
-        return pairs.select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("ve")), 12).alias("distance")).where(
-            F.col("distance") >= threshold
+        spread = probe.withColumn("vs", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).withColumn(
+            "qs", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
         )
+        left = spread.select(*key, "query_id", "embedding").groupBy(*key)
+        return left.cogroup(split.groupBy(*key)).applyInPandas(_block_top_k(k, threshold), f"query_id {qt}, id {vt}, distance double")
 
     order = [F.desc(F.round("distance", 6)), F.col("id")]
     home = cut(top_k(search(q.join(stats, "cell")), "query_id", order, k))
@@ -90,6 +96,37 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, threshold: floa
     return top_k(hits, "query_id", order, k).select("query_id", "rank", "id", "distance")
 
 
+def _block_top_k(k: int, threshold: float):
+    """Top ``k`` of every query inside one block of queries and one of vectors: a matrix product."""
+
+    def unit(col: pd.Series) -> np.ndarray:
+        m = np.stack([np.asarray(x, dtype=np.float64) for x in col])
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+    def run(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        out = {"query_id": [], "id": [], "distance": []}
+        if len(queries) and len(vectors):
+            vectors = vectors.sort_values("id", kind="stable")
+            vm, ids = unit(vectors["embedding"]), vectors["id"].to_numpy()
+            for start in range(0, len(queries), 256):
+                part = queries.iloc[start : start + 256]
+                sims = unit(part["embedding"]) @ vm.T
+                for qid, row in zip(part["query_id"], sims):
+                    r = np.round(row, 6)
+                    keep = np.flatnonzero(row >= threshold)
+                    if len(keep) > k:
+                        kth = np.partition(r[keep], len(keep) - k)[len(keep) - k]
+                        keep = keep[r[keep] >= kth]
+                    keep = keep[np.argsort(-r[keep], kind="stable")][:k]
+                    out["query_id"].extend([qid] * len(keep))
+                    out["id"].extend(ids[keep])
+                    out["distance"].extend(row[keep])
+        return pd.DataFrame(out)
+
+    return run
+
+
 # --- embedding ------------------------------------------------------------------------------------
 
 

@@ -5,41 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as tx
+from corpusloom.plans.session import cut
+
 KEY_LENGTHS = (1, 2, 4, 8, 16, 32)
+BLOCK = 256
+
+
+def _head_hashes(text: str, k: int) -> Column:
+    """Distinct hashes of all substrings of length ``k``.
+
+    The text is first cut into blocks, since a substring at position i costs i steps.
+    """
+    blocks = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def of_block(b: Column, i: Column, blocks: Column) -> Column:
+        following = F.substring(F.coalesce(F.get(blocks, i + 1), F.lit("")), 1, k - 1) if k > 1 else F.lit("")
+        whole = F.concat(b, following)
+        starts = F.sequence(F.lit(1), F.least(F.length(b), F.greatest(F.length(whole) - (k - 1), F.lit(1))))
+        return F.transform(starts, lambda j: F.xxhash64(F.substring(whole, j, F.lit(k))))
+
+    return F.when(
+        F.length(text) >= k,
+        tx.let(blocks, lambda bs: F.array_distinct(F.flatten(F.transform(bs, lambda b, i: of_block(b, i, bs))))),
+    ).otherwise(F.array().cast("array<bigint>"))
+
+
+def _tagged(k: int):
+    return lambda h: F.struct(F.lit(k).alias("k"), h.alias("h"))
 
 
 def contained_pairs(needles: DataFrame, hay: DataFrame, needle: str = "needle", text: str = "text") -> DataFrame:
     """Pairs ``(needle, text)`` of distinct texts where ``text`` contains ``needle``.
 
     A needle is keyed by its head, cut to a power of two: a text contains the needle only if
-    that head is among the text's substrings of that length.  Substrings are exploded per
-    distinct text (linear in its length, at most six lengths), joined on the head, and the
-    surviving pairs are verified.  Work grows with texts plus matches of heads at least half
-    as long as the needle, never with needles times texts.
+    that head is among the text's substrings of that length.  Hashes of the substrings are
+    exploded per distinct text (linear in its length, at most six lengths) and joined with the
+    heads; the surviving pairs are verified.  Work grows with texts plus matches of heads at
+    least half as long as the needle (or 32 long), never with needles times texts.
     """
     length = F.length(needle)
     key_len = F.lit(KEY_LENGTHS[0])
     for k in KEY_LENGTHS[1:]:
         key_len = F.when(length >= k, F.lit(k)).otherwise(key_len)
     n = needles.select(needle).where(f"{needle} <> ''").distinct().withColumn("_k", key_len)
-    n = n.withColumn("_head", F.substring(F.col(needle), F.lit(1), F.col("_k"))).withColumn("_nid", F.xxhash64(needle))
-    h = hay.select(text).where(f"{text} <> ''").distinct().withColumn("_tid", F.sha2(text, 256))
-    used = [r[0] for r in n.select("_k").distinct().collect()]  # at most six values
-    if not used:
-        return n.select(needle).limit(0).join(h.select(text).limit(0), F.lit(False))
-    heads = F.flatten(
-        F.array(*[
-            F.array_distinct(
-                F.transform(
-                    F.filter(F.sequence(F.lit(1), F.greatest(F.length(text) - (k - 1), F.lit(1))), lambda i: F.length(text) >= k),
-                    lambda i: F.substring(F.col(text), i, F.lit(k)),
-                )
-            )
-            for k in used
-        ])
-    )
-    exploded = h.select("_tid", F.explode(heads).alias("_head"))
-    hits = exploded.join(n.select("_head", needle), "_head").select("_tid", needle)
+    # written out, so that the planner knows its size and can choose a broadcast where it is small
+    n = cut(n.withColumn("_head", F.xxhash64(F.substring(F.col(needle), F.lit(1), F.col("_k")))))
+    used = sorted(r[0] for r in n.select("_k").distinct().collect())  # at most six values
+    h = cut(hay.select(text).where(f"{text} <> ''").distinct().withColumn("_tid", F.monotonically_increasing_id()))
+    heads = F.concat(F.array().cast("array<struct<k:int,h:bigint>>"), *[
+        F.transform(_head_hashes(text, k), _tagged(k)) for k in used
+    ])
+    exploded = h.select("_tid", F.explode(heads).alias("x")).select("_tid", F.col("x.k").alias("_k"), F.col("x.h").alias("_head"))
+    hits = exploded.join(n, ["_k", "_head"]).select("_tid", needle)
     return hits.join(h, "_tid").where(F.instr(F.col(text), F.col(needle)) > 0).select(needle, text)
 
 
@@ -60,14 +78,3 @@ def overlap_counts(left: DataFrame, right: DataFrame, left_key: str, right_key:
         .agg(F.count(F.lit(1)).cast("int").alias("overlap"))
         .where(F.col("overlap") >= at_least)
     )
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two float arrays, in double."""
-
-    def dot(x: Column, y: Column) -> Column:
-        prods = F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double"))
-        return F.aggregate(prods, F.lit(0.0), lambda s, v: s + v)
-
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm == 0, F.lit(0.0)).otherwise(dot(a, b) / norm)
