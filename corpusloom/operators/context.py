@@ -302,7 +302,7 @@ def parse_mode_prefix(query: Column) -> Column:
     """``struct(mode, query)``: a leading ``/mode `` selects the mode."""
     rx = rf"^/({'|'.join(MODE_PREFIXES)}) "
     mode = F.regexp_extract(query, rx, 1)
-    rest = F.ltrim(F.lit(tx.WS_CHARS), F.regexp_replace(query, rx, ""))
+    rest = F.ltrim(F.regexp_replace(query, rx, ""), F.lit(tx.WS_CHARS))
     return F.struct(
         F.when(mode == "", F.lit(DEFAULT_MODE)).otherwise(mode).alias("mode"), F.when(mode == "", query).otherwise(rest).alias("query")
     )
