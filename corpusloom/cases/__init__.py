@@ -29,4 +29,4 @@ def load_all() -> None:
         importlib.import_module(f"corpusloom.cases.{mod}")
 
 
-MODULES = ["store_cases", "chunk_cases", "record_cases", "graph_cases", "alias_cases", "retrieval_cases", "context_cases", "chat_cases", "eval_cases"]
+MODULES = ["store_cases", "chunk_cases", "record_cases", "graph_cases", "alias_cases", "retrieval_cases", "context_cases", "chat_cases", "eval_cases", "io_cases"]

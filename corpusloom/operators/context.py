@@ -93,10 +93,10 @@ def build_context(queries: DataFrame, entities: DataFrame, sources: DataFrame, n
     ``sources(query_id, rank, chunk_id, content)`` in rank order.  What stays per query is bounded by
     the budgets, so the collected lines are too.
     """
-    e = entities.withColumn("_o", F.struct((-F.col("score")).alias("s"), F.col("rank").alias("r")))
-    e = truncate_by_tokens(e, "query_id", "_o", "description", node_budget)
+    by_score = ["_neg", "rank"]
+    e = truncate_by_tokens(entities.withColumn("_neg", -F.col("score")), "query_id", by_score, "description", node_budget)
     line = csv_row(F.col("entity_name"), F.col("entity_type"), F.round("score", 4).cast("string"), F.col("description"))
-    e = ordered_parts(e.withColumn("line", line), "query_id", "_o", "line", "e").where("part_no = 0").select("query_id", "e")
+    e = ordered_parts(e.withColumn("line", line), "query_id", by_score, "line", "e").where("part_no = 0").select("query_id", "e")
     s = truncate_by_tokens(sources, "query_id", "rank", "content", text_budget).withColumn("line", csv_row(F.col("chunk_id"), F.col("content")))
     s = ordered_parts(s, "query_id", "rank", "line", "s").where("part_no = 0").select("query_id", "s")
     block = F.concat(

@@ -18,12 +18,6 @@ MAX_CELLS = 256
 BLOCK_ROWS = 100_000
 
 
-def _plain(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Text columns as plain objects (Arrow-backed pandas text does not convert inside structs)."""
-    texts = {c: pdf[c].astype(object) for c in pdf.columns if isinstance(pdf[c].dtype, pd.StringDtype)}
-    return pdf.assign(**texts) if texts else pdf
-
-
 def _assigner(pivots: np.ndarray, id_col: str, keep_all: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Per batch: angle of every vector to its nearest pivot, or to all of them."""
 
@@ -42,7 +36,7 @@ def _assigner(pivots: np.ndarray, id_col: str, keep_all: bool) -> Callable[[Iter
                 out["angles"] = list(angle)
             else:
                 out["angle"] = angle[np.arange(len(cell)), cell]
-            yield _plain(pd.DataFrame(out))
+            yield pd.DataFrame(out)
 
     return run
 
@@ -128,7 +122,9 @@ def _block_top_k(k: int, threshold: float):
                     out["query_id"].extend([qid] * len(keep))
                     out["id"].extend(ids[keep])
                     out["distance"].extend(row[keep])
-        return _plain(pd.DataFrame(out))
+        # an empty block must keep the column kinds
+        kinds = {"query_id": object, "id": object, "distance": "float64"}
+        return pd.DataFrame({c: pd.Series(x, dtype=kinds[c]) for c, x in out.items()})
 
     return run
 
@@ -171,7 +167,7 @@ def embed(rows: DataFrame, embedder: Callable[[list[str]], np.ndarray], content:
                 if len(got) != len(part):
                     raise ValueError(f"embedder gave {len(got)} vectors for {len(part)} texts")
                 vecs.extend(got)
-            yield _plain(pdf.assign(embedding=vecs))
+            yield pdf.assign(embedding=vecs)
 
     return rows.mapInPandas(run, schema)
 
