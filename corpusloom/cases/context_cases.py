@@ -204,11 +204,12 @@ def record_corpus(t):
 @case("g23_retrieve", None)
 def _(spark, sf):
     t = tables(spark, sf)
-    p = t("part").select("p_name", "p_type", "p_brand").distinct()
-    mode = F.element_at(F.array(*[F.lit(m) for m in rt.MODES]), (F.pmod(F.xxhash64("p_name", "p_type", "p_brand"), F.lit(5)) + 1).cast("int"))
+    # one question per kind of part, the five modes in turn
+    p = t("part").select("p_name", "p_type").distinct()
+    mode = F.element_at(F.array(*[F.lit(m) for m in rt.MODES]), (F.pmod(F.xxhash64("p_name", "p_type"), F.lit(5)) + 1).cast("int"))
     qs = p.select(
-        F.md5(F.concat_ws("~", "p_name", "p_type", "p_brand")).alias("query_id"), F.concat(F.lit("how to repair "), "p_name", F.lit(" "), "p_type").alias("query"),
-        mode.alias("mode"), F.array("p_name", "p_brand").alias("keywords"),
+        F.md5(F.concat_ws("~", "p_name", "p_type")).alias("query_id"), F.concat(F.lit("how to repair "), "p_name", F.lit(" "), "p_type").alias("query"),
+        mode.alias("mode"), F.array("p_name", "p_type").alias("keywords"),
     )
     out = rt.retrieve(qs, record_corpus(t), rt.QueryParams(), vx.hashed_embedder(32))
     return out.select("query_id", "mode", F.array_join("chunk_ids", "|").alias("chunk_ids"), F.length("context").alias("context_length"))

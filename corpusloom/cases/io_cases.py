@@ -25,7 +25,7 @@ def _(spark, sf):
     lines = tables(spark, sf)("documents").select("lang", F.col("doc_id").cast("string").alias("value"))
     lines.write.partitionBy("lang").text(path)
     got = rd.read_text_corpus(spark, path)
-    ids = got.select(F.regexp_extract("path", "lang=([^/]+)", 1).alias("folder"), F.explode(F.split(F.trim("content"), r"\s+")).alias("id"))
+    ids = got.select(F.regexp_extract("path", "lang=([^/]+)", 1).alias("folder"), F.explode(F.filter(F.split("content", r"\s+"), lambda x: x != "")).alias("id"))
     return ids.groupBy("folder").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.col("id").cast("long"))), lambda x: x.cast("string")), ",").alias("ids"))
 
 
@@ -58,15 +58,10 @@ def _(spark, sf):
     c.groupBy("full_doc_id", "lang").agg(F.sort_array(F.collect_list(F.struct("chunk_order_index", chunk.alias("c")))).alias("x")).select(
         F.concat(F.lit("doc"), "full_doc_id").alias("doc_name"), F.col("lang").alias("chapter"), F.col("x.c").alias("chunks")
     ).write.json(path)
-    got = _lines(spark, path)
+    got = rd.read_chapters(spark, path, multi_line=False)
     return got.select("chapter", "breadcrumb", F.md5("content").alias("content_md5"))
 
 
-def _lines(spark, path):
-    """Chapters stored one per line instead of one per file."""
-    return spark.read.schema(rd.CHAPTER_SCHEMA).json(path).select("chapter", F.posexplode("chunks").alias("chunk_index", "c")).select("chapter", "chunk_index", "c.*")
-
-
 @case("a04_read_records", f"WITH {v.REC} SELECT doc_name || '::' || record_id AS record_key, fault, array_to_string(causes, '|') AS causes FROM rec")
 def _(spark, sf):
     path = scratch_path(spark, "records")
@@ -75,7 +70,7 @@ def _(spark, sf):
     fields = [F.concat(F.lit("1. "), "fault", F.lit("。")).alias("fault") if c == "fault" else F.col(c) for c in cols]
     one = r.select("doc_name", F.lit("diagnostic_records_llm").alias("doc_type"), F.array(F.struct(*fields)).alias("records"))
     one.write.json(path)
-    got = rd.read_records(spark, path)
+    got = rd.read_records(spark, path, multi_line=False)
     return got.select("record_key", "fault", F.array_join("causes", "|").alias("causes"))
 
 
@@ -96,12 +91,16 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch_path(spark, "graphml")
     keys = '<key id="d3" for="edge" attr.name="weight"/><key id="d5" for="edge" attr.name="relation_type"/><key id="d0" for="node" attr.name="entity_type"/>'
-    e = v.hierarchy(tables(spark, sf))
+    e = v.hierarchy(tables(spark, sf)).withColumn("doc", F.col("src"))
     line = F.concat(
         F.lit('<edge source="&quot;'), "src", F.lit('&quot;" target="'), "dst", F.lit('"><data key="d3">'), F.length("src").cast("string"), F.lit('</data><data key="d5">has</data></edge>')
     )
-    head = spark.createDataFrame([(keys,)], "value string")
-    e.select(line.alias("value")).unionByName(head).write.text(path)
+    docs = e.select("doc").distinct()
+    rows = e.select("doc", F.lit(1).alias("o"), line.alias("value"))
+    rows = rows.unionByName(docs.select("doc", F.lit(0).alias("o"), F.lit(f'<?xml version="1.0"?><graphml>{keys}<graph edgedefault="undirected">').alias("value")))
+    rows = rows.unionByName(docs.select("doc", F.lit(2).alias("o"), F.lit("</graph></graphml>").alias("value")))
+    # one GraphML document per left node
+    rows.repartition("doc").sortWithinPartitions("doc", "o").drop("o").write.partitionBy("doc").text(path)
     return rd.read_graphml(spark, path)[1].select("src", "dst", "weight", "relation_type")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as tx
 from corpusloom.plans.scan import prefix_scan, top_k
 from corpusloom.plans.session import cut
-from corpusloom.plans.textjoin import contained_pairs, overlap_counts
+from corpusloom.plans.textjoin import best_overlaps, contained_pairs
 
 POSTING_ROWS = 2_000_000
 
@@ -62,8 +62,8 @@ def lexical_top_k(queries: DataFrame, chunks: DataFrame, k: int, salts: int = 8)
 
     Chunks that contain the query come from a substring join.  The coverage score depends only on
     the two character sets and on whether the heads agree, so queries and chunks are grouped by
-    those and each pair of groups is scored once; per group only the first ``k`` chunks can be in
-    the result.
+    those; the best groups per query group come from a pruned inverted index, and per group only the
+    first ``k`` chunks can be in the result.
     """
     q = queries.select("query_id", tx.alias_norm(F.col("query")).alias("qn")).where("qn <> ''")
     c = cut(chunks.select("chunk_id", "ord", tx.alias_norm(F.col("content")).alias("cn")).where("cn <> ''"))
@@ -80,11 +80,7 @@ def lexical_top_k(queries: DataFrame, chunks: DataFrame, k: int, salts: int = 8)
     qs, cs = cut(signed(q, "qn", "qkey").drop("qn")), cut(signed(c, "cn", "ckey").drop("cn"))
     qg = qs.groupBy("qkey", "items", "head").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
     cg = cs.groupBy("ckey", "items", "head").agg(F.min("ord").alias("first_ord"))
-    pairs = overlap_counts(qg, cg, "qkey", "ckey", "items", salts)
-    pairs = pairs.join(qg.select("qkey", F.size("items").alias("_q"), F.col("head").alias("_qh")), "qkey").join(cg.select("ckey", F.col("head").alias("_ch"), "first_ord"), "ckey")
-    bonus = F.when(F.col("_ch").startswith(F.col("_qh")), F.lit(5.0)).otherwise(F.lit(0.0))
-    scored = pairs.withColumn("lexical_score", F.round(F.col("overlap") / F.col("_q") * 40.0 + bonus, 4))
-    best = top_k(scored, "qkey", [F.desc("lexical_score"), F.col("first_ord")], k, "_g").select("qkey", "ckey", "lexical_score")
+    best = best_overlaps(qg, cg, k, 40.0, 5.0, salts).select("qkey", "ckey", F.col("score").alias("lexical_score"))
     firsts = top_k(cs.select("ckey", "chunk_id", "ord"), "ckey", [F.col("ord")], k, "_m").drop("_m")
     near = best.join(firsts, "ckey").join(qs.select("query_id", "qkey"), "qkey").select("query_id", "chunk_id", "ord", "lexical_score")
     merged = inside.unionByName(near).groupBy("query_id", "chunk_id", "ord").agg(F.max("lexical_score").alias("lexical_score"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
+from corpusloom.plans.scan import top_k
 from corpusloom.plans.session import cut
 
 KEY_LENGTHS = (1, 2, 4, 8, 16, 32)
@@ -61,20 +62,103 @@ def contained_pairs(needles: DataFrame, hay: DataFrame, needle: str = "needle",
     return hits.join(h, "_tid").where(F.instr(F.col(text), F.col(needle)) > 0).select(needle, text)
 
 
+class _ItemIndex:
+    """Inverted index of a right side ``(key, items, extra columns)`` of distinct item sets.
+
+    Each posting carries the item set as a bit mask of the 62 most frequent items plus the list of
+    its other items, so that a pair is counted with one bit operation in the usual case.  Postings
+    are salted by their key, so that a frequent item is spread over several tasks.
+    """
+
+    BITS = 62
+
+    def __init__(self, right: DataFrame, key: str, items: str, extra: list[str], salts: int):
+        self.salts = salts
+        freq = right.select(F.explode(items).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("df"))
+        self.freq = cut(freq)
+        top = self.freq.orderBy(F.desc("df"), "item").limit(self.BITS).collect()
+        self.bits = {r["item"]: 1 << i for i, r in enumerate(top)}
+        self.postings = cut(
+            right.select(
+                F.explode(items).alias("item"), key, *extra, self.mask(F.col(items)).alias("r_mask"), self.rest(F.col(items)).alias("r_rest"),
+                F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("salt"),
+            )
+        )
+
+    def mask(self, items: Column) -> Column:
+        if not self.bits:
+            return F.lit(0).cast("bigint")
+        table = F.create_map(*[F.lit(v) if isinstance(v, str) else F.lit(v).cast("bigint") for kv in self.bits.items() for v in kv])
+        zero = F.lit(0).cast("bigint")
+        return F.aggregate(items, zero, lambda m, x: m.bitwiseOR(F.coalesce(F.try_element_at(table, x), zero)))
+
+    def rest(self, items: Column) -> Column:
+        return F.filter(items, lambda x: ~x.isin(*self.bits)) if self.bits else items
+
+    def ask(self, left: DataFrame, key: str, items: str) -> DataFrame:
+        """Left sets with their items that occur on the right, rarest first, as ``ordered``."""
+        known = left.select(key, F.explode(items).alias("item")).join(self.freq, "item").groupBy(key).agg(
+            F.sort_array(F.collect_list(F.struct("df", "item"))).alias("o")
+        )
+        return cut(
+            left.withColumn("n", F.size(items)).drop(items).join(known, key).withColumn("ordered", F.col("o.item"))
+            .withColumn("l_mask", self.mask(F.col("o.item"))).withColumn("l_rest", self.rest(F.col("o.item")))
+        )
+
+    def overlap(self) -> Column:
+        others = F.when((F.size("l_rest") > 0) & (F.size("r_rest") > 0), F.size(F.array_intersect("l_rest", "r_rest"))).otherwise(F.lit(0))
+        return F.bit_count(F.col("l_mask").bitwiseAND(F.col("r_mask"))) + others
+
+    def meet(self, asked: DataFrame, needed: Column) -> DataFrame:
+        """Pairs that share at least ``needed`` items, each once: it must share one of the
+        ``|left| - needed + 1`` rarest items and is taken at the first of them."""
+        prefix = F.slice("ordered", F.lit(1), F.greatest(F.lit(0), F.size("ordered") - needed + 1))
+        probes = F.transform(
+            prefix,
+            lambda x, i: F.struct(
+                x.alias("item"), self.mask(F.slice("ordered", F.lit(1), i)).alias("b_mask"), self.rest(F.slice("ordered", F.lit(1), i)).alias("b_rest")
+            ),
+        )
+        keep = [c for c in asked.columns if c not in ("o", "ordered")]
+        left = asked.withColumn("needed", needed).select(*keep, "needed", F.explode(probes).alias("x")).select(*keep, "needed", "x.*").withColumn(
+            "salt", F.explode(F.sequence(F.lit(0), F.lit(self.salts - 1)))
+        )
+        first = (F.col("b_mask").bitwiseAND(F.col("r_mask")) == 0) & ((F.size("b_rest") == 0) | ~F.arrays_overlap("b_rest", "r_rest"))
+        return left.join(self.postings, ["item", "salt"]).where(first).withColumn("overlap", self.overlap()).where("overlap >= needed")
+
+
 def overlap_counts(left: DataFrame, right: DataFrame, left_key: str, right_key: str, items: str, salts: int = 8, at_least: int = 2) -> DataFrame:
-    """Numbers of shared items of two sides of ``(key, items array)``: an inverted-index join.
+    """Numbers of shared items of two sides of ``(key, items array)``, from ``at_least`` on.
+
+    Callers group equal item sets first, so that the two sides hold distinct sets only.
+    """
+    index = _ItemIndex(right, right_key, items, [], salts)
+    asked = index.ask(left.select(left_key, items), left_key, items)
+    return index.meet(asked, F.lit(at_least)).select(left_key, right_key, F.col("overlap").cast("int").alias("overlap"))
+
+
+def best_overlaps(left: DataFrame, right: DataFrame, k: int, per_share: float, head_bonus: float, salts: int = 8, probe_rows: int = 1000) -> DataFrame:
+    """Best ``k`` right groups per left group by ``round(per_share * overlap / |left| + bonus, 4)``.
 
-    Frequent items are spread by a salt on the right key.  Callers group equal item sets first, so
-    that the two sides hold distinct sets only.
+    ``left(qkey, items, head)``, ``right(ckey, items, head, first_ord)`` with distinct item sets; the
+    bonus counts where the right head starts with the left head; ties go by ``first_ord``; an overlap
+    below two does not count.  Exact, in two passes over an inverted index: a few right groups that
+    hold a rare item of the left set give a lower bound of its k-th score; only pairs with enough
+    shared items to reach that bound are formed in the second pass.
     """
-    spread = F.pmod(F.xxhash64(right_key), F.lit(salts))
-    r = right.select(right_key, spread.alias("_salt"), F.explode(items).alias("_item"))
-    l = left.select(left_key, F.explode(items).alias("_item")).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-    )
-    return (
-        l.join(r, ["_item", "_salt"])
-        .groupBy(left_key, right_key)
-        .agg(F.count(F.lit(1)).cast("int").alias("overlap"))
-        .where(F.col("overlap") >= at_least)
-    )
+    index = _ItemIndex(right.withColumnRenamed("head", "r_head"), "ckey", "items", ["r_head", "first_ord"], salts)
+    asked = index.ask(left.select("qkey", "items", F.col("head").alias("l_head")), "qkey", "items")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        bonus = F.when(F.col("r_head").startswith(F.col("l_head")), F.lit(head_bonus)).otherwise(F.lit(0.0))
+        return pairs.select("qkey", "ckey", "first_ord", F.round(F.col("overlap") / F.col("n") * per_share + bonus, 4).alias("score"))
+
+    order = [F.desc("score"), F.col("first_ord")]
+    usual = F.filter("o", lambda x: x["df"] >= k)
+    probe = asked.where(F.size(usual) > 0).withColumn("item", F.get(usual, F.lit(0))["item"])
+    some = top_k(index.postings, "item", [F.xxhash64("ckey")], probe_rows, "_r").drop("_r", "salt")
+    tried = probe.join(some, "item").withColumn("overlap", index.overlap()).where("overlap >= 2")
+    bound = top_k(scored(tried), "qkey", order, k, "_r").groupBy("qkey").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bound"))
+    least = F.ceil((F.coalesce("bound", F.lit(0.0)) - head_bonus - 1e-4) / per_share * F.col("n")).cast("int")
+    met = index.meet(asked.join(bound, "qkey", "left"), F.greatest(F.lit(2), least))
+    return top_k(scored(met), "qkey", order, k, "_r").drop("_r")

@@ -50,9 +50,9 @@ def flatten_sheet_rows(cells: DataFrame, part_rows: int = 100_000) -> DataFrame:
     return parts.select("book", "sheet_no", "sheet", "part_no", F.concat(head, F.array_join("lines", "\n")).alias("text"))
 
 
-def read_chapters(spark: SparkSession, root: str) -> DataFrame:
-    """Chunks of chapter JSON files ``(chapter_file, doc_name, chapter, chunk_index, chunk columns)``."""
-    df = spark.read.schema(CHAPTER_SCHEMA).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(root, multiLine=True)
+def read_chapters(spark: SparkSession, root: str, multi_line: bool = True) -> DataFrame:
+    """Chunks of chapter JSON files (one per file, or one per line) ``(chapter_file, doc_name, chapter, chunk_index, chunk columns)``."""
+    df = spark.read.schema(CHAPTER_SCHEMA).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(root, multiLine=multi_line)
     return df.select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("chapter_file"), "doc_name", "chapter", F.posexplode("chunks").alias("chunk_index", "c")
     ).select("path", "chapter_file", "doc_name", "chapter", "chunk_index", "c.*")
@@ -64,9 +64,9 @@ def clean_record_text(c: Column) -> Column:
     return F.btrim(F.regexp_replace(flat, r"^(?:[（(]?\d+[）).、]\s*|\.\s+)", ""), F.lit(RECORD_TRIM))
 
 
-def read_records(spark: SparkSession, root: str) -> DataFrame:
-    """Records of record JSON files with cleaned texts; id, equipment and fault are required."""
-    df = spark.read.schema(RECORD_SCHEMA).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(root, multiLine=True)
+def read_records(spark: SparkSession, root: str, multi_line: bool = True) -> DataFrame:
+    """Records of record JSON files (one per file, or one per line) with cleaned texts; id, equipment and fault are required."""
+    df = spark.read.schema(RECORD_SCHEMA).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(root, multiLine=multi_line)
     r = df.select("doc_name", F.posexplode("records").alias("ord", "r")).select("doc_name", "ord", "r.*")
     lists = ("causes", "actions", "consequences", "precautions", "key_components")
     texts = ("record_id", "equipment", "fault", "symptom")
