@@ -53,7 +53,9 @@ def contained_pairs(needles: DataFrame, hay: DataFrame, needle: str = "needle",
     # written out, so that the planner knows its size and can choose a broadcast where it is small
     n = cut(n.withColumn("_head", F.xxhash64(F.substring(F.col(needle), F.lit(1), F.col("_k")))))
     used = sorted(r[0] for r in n.select("_k").distinct().collect())  # at most six values
-    h = cut(hay.select(text).where(f"{text} <> ''").distinct().withColumn("_tid", F.monotonically_increasing_id()))
+    # a fixed number of partitions: cutting texts into substrings costs far more than their bytes say
+    parts = max(hay.sparkSession.sparkContext.defaultParallelism, int(hay.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    h = cut(hay.select(text).where(f"{text} <> ''").repartition(parts, text).distinct().withColumn("_tid", F.monotonically_increasing_id()))
     heads = F.concat(F.array().cast("array<struct<k:int,h:bigint>>"), *[
         F.transform(_head_hashes(text, k), _tagged(k)) for k in used
     ])
