@@ -124,7 +124,9 @@ def stream_transitions(log: DataFrame, allowed: Mapping[str, Sequence[str]] = ev
         prev = [before, *names[:-1]]
         state.update((names[-1],))
         if ms:
-            state.setTimeoutTimestamp(int(pdf["ts"].max().timestamp() * 1000) + ms)
+            # a late row must not ask for a time before the watermark
+            due = int(pdf["ts"].max().timestamp() * 1000) + ms
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"run_id": pdf["run_id"].tolist(), "seq": pdf["seq"].tolist(), "before": prev, "state": names, "is_valid": [m in moves for m in zip(prev, names)]})
 
     kind = GroupStateTimeout.EventTimeTimeout if timeout else GroupStateTimeout.NoTimeout

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +119,7 @@ def test_silent_run_fails_by_timeout(spark, tmp_path):
         with open(tmp_path / f"{n}.json", "w") as f:
             for r in rows:
                 f.write(json.dumps(dict(zip(("run_id", "seq", "state", "ts"), r))) + "\n")
+        os.utime(tmp_path / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))
     s = spark.readStream.schema("run_id string, seq long, state string, ts timestamp").option("maxFilesPerTrigger", 1).json(str(tmp_path))
     out = jobs.run_to_table(jobs.stream_transitions(s, timeout="1 hour", delay="1 second"), "t").collect()
     assert ("r", "starting", "failed", True) in {(r.run_id, r.before, r.state, r.is_valid) for r in out}
