@@ -19,14 +19,14 @@ from corpusloom.streaming import jobs
 # --- sources and sinks: what is read was written by Spark from the tables ----------------------------
 
 
-@case("a01_read_text_corpus", "SELECT lang AS folder, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM documents GROUP BY lang")
+@case("a01_read_text_corpus", "SELECT lang AS folder, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS total FROM documents GROUP BY lang")
 def _(spark, sf):
     path = scratch_path(spark, "corpus")
     lines = tables(spark, sf)("documents").select("lang", F.col("doc_id").cast("string").alias("value"))
-    lines.write.partitionBy("lang").text(path)
+    lines.write.option("maxRecordsPerFile", 1000).partitionBy("lang").text(path)
     got = rd.read_text_corpus(spark, path)
     ids = got.select(F.regexp_extract("path", "lang=([^/]+)", 1).alias("folder"), F.explode(F.filter(F.split("content", r"\s+"), lambda x: x != "")).alias("id"))
-    return ids.groupBy("folder").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.col("id").cast("long"))), lambda x: x.cast("string")), ",").alias("ids"))
+    return ids.groupBy("folder").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("id").cast("long")).alias("total"))
 
 
 @case(
