@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat, decontaminate, forest, licenses, lines, pii, quality
+from corpusloom.llm import bpe, chat, decontaminate, forest, licenses, lines, neardup, pii, quality
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +113,8 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query()
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
