@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat, decontaminate, forest, licenses, lines, neardup, pii, quality
+from corpusloom.llm import bpe, chat, decontaminate, forest, licenses, lines, neardup, passages, pii, quality
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -118,3 +118,8 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@query()
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
