@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.plans.session import cut
 
-TREES, BITS, SAMPLE, BLOCK = 24, 24, 4096, 4096
+TREES, BITS, SAMPLE, BLOCK = 32, 24, 4096, 4096
 
 
 def usable(vec: Column) -> Column:
@@ -27,7 +27,7 @@ def renewed(df: DataFrame) -> DataFrame:
     return df.toDF(*df.columns)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", share: float = 0.6, least: int = 1000, trees: int = TREES, bits: int = BITS, sample: int = SAMPLE, block: int = BLOCK, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", share: float = 0.8, least: int = 1000, trees: int = TREES, bits: int = BITS, sample: int = SAMPLE, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """Columns query_id, rank (from 1), vec_id, score: the k nearest found of every row that ``is_query`` accepts.
 
     Nearness is Euclidean distance in double precision on the original vectors, ties go to the smaller id. A query

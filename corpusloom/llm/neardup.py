@@ -48,7 +48,7 @@ def signatures(hashes: np.ndarray, row: np.ndarray, weight: np.ndarray, rows: in
     level = np.arange(len(src)) - np.repeat(np.cumsum(top + 1) - (top + 1), top + 1)
     low = np.where(level == 0, 0.0, 2.0 ** (level - 1))
     width = np.where(level == 0, 1.0, low)
-    state = mix(hashes[src] + (level.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    state = mix(mix(hashes[src]) + (level.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
     time, owner, limit = np.zeros(len(src)), row[src], weight[src].astype(np.float64)
     whole = limit >= low + width
     step = np.uint64(0xD1342543DE82EF95)
