@@ -33,10 +33,9 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and whether the ids decode to the text."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    kept = docs.select("doc_id", "lang", "source", "text")
-    ids = bpe.encode(kept, path, pattern).withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256)).drop("text")
-    back = bpe.decode(ids, path, pattern)
-    return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("decodes"))
+    both = bpe.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), path, pattern)
+    same = F.sha2("decoded", 256) == F.sha2(F.coalesce("text", F.lit("")), 256)
+    return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("decodes"))
 
 
 STAGES = [

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Code points (or ids) taken at once, and distinct strings a worker remembers; both only bound memory.
-PIECE, REMEMBER = 1_000_000, 1_000_000
+PIECE, REMEMBER = 500_000, 500_000
 #: A blank at either end of a text or next to other white space.
 BLANKS = r"^ | $|[\s\x0b\x1c-\x1f\x{85}\pZ] | [\s\x0b\x1c-\x1f\x{85}\pZ]"
 
@@ -80,7 +80,7 @@ class Engine:
         self.find = regex.compile(pattern).findall
         self.rank = dict(zip(tokens, ids))
         self.single = np.array([self.rank.get(bytes([b]), -1) for b in range(256)], dtype=np.int32)
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         self.con.execute("SET disabled_optimizers = 'join_order,build_side_probe_side'")  # joins keep the order of their left side
         self.con.register("given", pa.table({"id": pa.array(ids, pa.int32()), "h": [t.hex() for t in tokens]}))
         self.con.execute("CREATE TABLE vocab AS SELECT * FROM given")
@@ -213,7 +213,7 @@ def engine(path: str, pattern: str) -> Engine:
 
 
 def _mapped(df: DataFrame, column: str, out: T.StructType, convert) -> DataFrame:
-    """Adds what ``convert`` makes of pieces of ``column`` as the last column of ``out``."""
+    """Adds the columns that ``convert`` makes of pieces of ``column`` as the last ones of ``out``."""
 
     def run(batches):
         from corpusloom.llm.bpe import Engine
@@ -223,7 +223,8 @@ def _mapped(df: DataFrame, column: str, out: T.StructType, convert) -> DataFrame
             sizes = [x or 0 for x in (pc.utf8_length(col) if pa.types.is_string(col.type) else col.value_lengths()).to_pylist()]
             for a in Engine.chunks(sizes):
                 part = batch.slice(a.start, a.stop - a.start)
-                yield pa.RecordBatch.from_arrays([*part.columns, convert(part.column(part.schema.get_field_index(column)))], names=out.names)
+                yield pa.RecordBatch.from_arrays([*part.columns, *convert(part.column(part.schema.get_field_index(column)))], names=out.names)
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, out)
 
@@ -244,7 +245,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_c
     def convert(col):
         from corpusloom.llm.bpe import engine
 
-        return engine(path, pattern).encode(col)
+        return [engine(path, pattern).encode(col)]
 
     return _mapped(df, text_col, T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]), convert)
 
@@ -256,10 +257,25 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_c
     def convert(col):
         from corpusloom.llm.bpe import engine
 
-        return pa.array(engine(path, pattern).decode(col), pa.binary())
+        return [pa.array(engine(path, pattern).decode(col), pa.binary())]
 
     return _mapped(df, ids_col, T.StructType([*df.schema.fields, T.StructField(bytes_col, T.BinaryType())]), convert)
 
 
+def encode_and_decode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
+    """encode, then decode of its ids, in one pass: one Python worker per core instead of two."""
+    _fresh(df, ids_col)
+    _fresh(df, bytes_col)
+
+    def convert(col):
+        from corpusloom.llm.bpe import engine
+
+        ids = engine(path, pattern).encode(col)
+        return [ids, pa.array(engine(path, pattern).decode(ids), pa.binary())]
+
+    added = [T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(bytes_col, T.BinaryType())]
+    return _mapped(df, text_col, T.StructType([*df.schema.fields, *added]), convert)
+
+
 def ids_sha256(ids_col: str = "ids"):
     return F.sha2(F.array_join(F.col(ids_col).cast("array<string>"), ","), 256)

@@ -43,8 +43,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = bpe.encode(docs, path, pattern).select("doc_id", "ids", bpe.ids_sha256().alias("ids_sha256"), F.size("ids").cast("long").alias("n_tokens"))
-    return bpe.decode(ids, path, pattern).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = bpe.encode_and_decode(docs, path, pattern)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_sha256().alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 CHAT_SQL = r"""

@@ -259,6 +259,8 @@ def test_byte_bpe_equals_tiktoken(spark, docs, texts):
     back = {r["doc_id"]: r for r in bpe.decode(ids, path, p.PATTERN).collect()}
     for i, t in [*enumerate(texts), *((1000 + i, t) for i, t in enumerate(odd))]:
         assert back[i]["ids"] == token.encode_ordinary(t or "") and bytes(back[i]["decoded"]) == (t or "").encode()
+    once = bpe.encode_and_decode(df, path, p.PATTERN).collect()
+    assert all(r["ids"] == back[r["doc_id"]]["ids"] and r["decoded"] == back[r["doc_id"]]["decoded"] for r in once)
     assert bpe.encode(empty(spark), path, p.PATTERN).count() == 0
     with pytest.raises(ValueError):
         bpe.encode(df.withColumn("ids", F.lit(1)), path, p.PATTERN)
