@@ -11,6 +11,7 @@ from corpusloom.operators import context as cx
 from corpusloom.operators import lexical as lx
 from corpusloom.operators import retrieval as rt
 from corpusloom.operators import vectors as vx
+from corpusloom.plans.scan import joined_parts
 from corpusloom.plans.session import cut, tables
 
 # three ranked lists over documents: an arithmetic seed list, embedding neighbours and BM25 hits
@@ -195,7 +196,9 @@ def record_corpus(t):
     gr = v.graph(t)
     r = v.records(t)
     chunks = cut(r.select(gb.record_chunk_id(F.col("doc_name"), F.col("record_id")).alias("chunk_id"), F.col("ord"), rec.render_chunk().alias("content")))
-    desc = gb.render_nodes(gr).where("part_no = 0").select("entity_name", "entity_type", F.col("entity_name").alias("ord"), F.array_join("descriptions", tx.SEP).alias("description"))
+    parts = gb.render_nodes(gr).select("entity_name", "entity_type", "part_no", "descriptions")
+    desc = joined_parts(parts, ["entity_name", "entity_type"], "descriptions")
+    desc = desc.select("entity_name", "entity_type", F.col("entity_name").alias("ord"), F.array_join("descriptions", tx.SEP).alias("description"))
     vectors = cut(vx.embed(chunks.select(F.col("chunk_id").alias("id"), "content"), vx.hashed_embedder(32)).select("id", "embedding"))
     sources = gr.node_facets.where("facet = 'source'").select("entity_name", F.col("value").alias("source_id"))
     return rt.Corpus(chunks, cut(desc), gr.edges, sources, vectors, part_aliases(t), lx.bm25_index(chunks))

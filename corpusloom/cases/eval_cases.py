@@ -46,7 +46,8 @@ def _(spark, sf):
     "i03_recall_rate",
     f"""WITH {BM25}, ex AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
     got AS (SELECT DISTINCT item_id, cid // 1000000 AS doc_id FROM bm)
-    SELECT ex.item_id AS query_id, round_even(count(got.doc_id) / count(*) * 100.0, 4) AS recall FROM ex LEFT JOIN got USING (item_id, doc_id) GROUP BY 1""",
+    SELECT b.item_id AS query_id, coalesce(round_even(count(got.doc_id) / nullif(count(ex.doc_id), 0) * 100.0, 4), 0.0) AS recall
+        FROM benchmark b LEFT JOIN ex USING (item_id) LEFT JOIN got ON got.item_id = ex.item_id AND got.doc_id = ex.doc_id GROUP BY 1""",
 )
 def _(spark, sf):
     from corpusloom.plans.textjoin import contained_pairs
@@ -58,7 +59,7 @@ def _(spark, sf):
     expected = truth.select(F.col("item_id").alias("query_id"), F.concat(F.lit("doc::"), "doc_id").alias("id"))
     hits = lx.bm25_top_k(_bench(t), lx.bm25_index(doc_chunks(t)), 4)
     got = hits.select("query_id", F.concat(F.lit("chunk::"), F.floor(F.col("chunk_id") / 1000000)).alias("id"))
-    return ev.recall_rate(expected, got)
+    return ev.recall_rate(expected, got, b.select(F.col("item_id").alias("query_id")))
 
 
 @case(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.plans.scan import ordered_parts, prefix_scan, top_k
+from corpusloom.plans.scan import joined_parts, ordered_parts, prefix_scan, top_k
 
 # fixed values: prefixes selecting a search mode, default mode
 MODE_PREFIXES = ("graph_text_hybrid", "graph_only", "text_only")
@@ -96,9 +96,9 @@ def build_context(queries: DataFrame, entities: DataFrame, sources: DataFrame, n
     by_score = ["_neg", "rank"]
     e = truncate_by_tokens(entities.withColumn("_neg", -F.col("score")), "query_id", by_score, "description", node_budget)
     line = csv_row(F.col("entity_name"), F.col("entity_type"), F.round("score", 4).cast("string"), F.col("description"))
-    e = ordered_parts(e.withColumn("line", line), "query_id", by_score, "line", "e").where("part_no = 0").select("query_id", "e")
+    e = joined_parts(ordered_parts(e.withColumn("line", line), "query_id", by_score, "line", "e"), "query_id", "e")
     s = truncate_by_tokens(sources, "query_id", "rank", "content", text_budget).withColumn("line", csv_row(F.col("chunk_id"), F.col("content")))
-    s = ordered_parts(s, "query_id", "rank", "line", "s").where("part_no = 0").select("query_id", "s")
+    s = joined_parts(ordered_parts(s, "query_id", "rank", "line", "s"), "query_id", "s")
     block = F.concat(
         F.lit("\n-----Sources-----\n```csv\nid,content\r\n"), F.array_join(F.coalesce("s", _empty()), ""),
         F.lit("\n```\n-----Entities-----\n```csv\nentity,entity_type,score,description\r\n"), F.array_join(F.coalesce("e", _empty()), ""), F.lit("\n```\n"),

@@ -92,8 +92,9 @@ def parse_record_ids(raw: Column) -> Column:
     return F.when(v.startswith("["), F.when(listed.isNull(), F.array(v)).otherwise(tx.clean_list(listed))).otherwise(tx.split_markers(v, [tx.SEP]))
 
 
-def recall_rate(expected: DataFrame, retrieved: DataFrame) -> DataFrame:
-    """``(query_id, recall)`` in percent from long ``expected(query_id, id)`` and ``retrieved(query_id, id)``.
+def recall_rate(expected: DataFrame, retrieved: DataFrame, queries: DataFrame) -> DataFrame:
+    """``(query_id, recall)`` in percent for each of ``queries(query_id)`` from long ``expected(query_id, id)`` and
+    ``retrieved(query_id, id)``; a query without expected ids has 0.
 
     An expected id is hit if it or its tail after the last ``::`` matches a retrieved id or tail.
     """
@@ -107,7 +108,8 @@ def recall_rate(expected: DataFrame, retrieved: DataFrame) -> DataFrame:
     hits = keyed(expected).join(keyed(retrieved).select("query_id", "key").distinct(), ["query_id", "key"], "left_semi")
     hits = hits.select("query_id", "id").distinct().withColumn("_hit", F.lit(1))
     per = e.select("query_id", _s(F.col("id")).alias("id")).join(hits, ["query_id", "id"], "left")
-    return per.groupBy("query_id").agg(F.bround(F.count("_hit") / F.count(F.lit(1)) * 100.0, 4).alias("recall"))
+    rates = per.groupBy("query_id").agg(F.bround(F.count("_hit") / F.count(F.lit(1)) * 100.0, 4).alias("recall"))
+    return queries.select("query_id").distinct().join(rates, "query_id", "left").select("query_id", F.coalesce("recall", F.lit(0.0)).alias("recall"))
 
 
 # --- scores and results ------------------------------------------------------------------------------

@@ -263,7 +263,7 @@ def delete_edges(gone: DataFrame, edges: DataFrame) -> DataFrame:
 # --- components ----------------------------------------------------------------------------------
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``(entity_name, component)`` with the smallest name as component label.
 
     Alternating large-star and small-star steps: every step is one partial ``min`` and one join, so
@@ -289,14 +289,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     names = edges.select(F.explode(F.array("src", "dst")).alias("entity_name")).distinct()
     e = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
     mark = None
-    for _ in range(max_rounds):
+    while True:
         e = cut(small_star(large_star(e)))
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError("components did not converge")
     return names.join(e.select(F.col("a").alias("entity_name"), F.col("b").alias("component")), "entity_name", "left").withColumn(
         "component", F.coalesce("component", "entity_name")
     )

@@ -252,7 +252,7 @@ def merge_nodes(candidates: DataFrame, existing: Graph | None = None) -> tuple[D
         facets = facets.unionByName(existing.node_facets)
     best = F.struct(-F.col("v"), F.col("f"))
     nodes = votes.groupBy("entity_name").agg(F.min_by("entity_type", best).alias("entity_type"))
-    return nodes, facets.distinct()
+    return nodes, facets if existing is None else facets.distinct()
 
 
 def canonical_edges(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -260,24 +260,23 @@ def canonical_edges(edges: DataFrame, src: str = "src", dst: str = "dst") -> Dat
     return edges.withColumns({src: F.least(src, dst), dst: F.greatest(src, dst)})
 
 
-def merge_edges(candidates: DataFrame, existing: Graph | None = None) -> tuple[DataFrame, DataFrame]:
-    """``(edges, edge_facets)``: weights added up, distinct texts; candidates whose source already
-    stands on the existing edge are not counted again, so a re-run changes nothing."""
-    c = canonical_edges(candidates)
-    if existing is not None:
+def merge_edges(candidates: DataFrame, existing: Graph | None = None, count_once: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(edges, edge_facets)``: weights added up, distinct texts of all candidates.  ``count_once``: the weight of a
+    candidate whose source already stands on the existing edge is not added again, so a re-run changes nothing."""
+    c = w = canonical_edges(candidates)
+    if existing is not None and count_once:
         seen = existing.edge_facets.where(F.col("facet").isin("source", "source_set")).select(
             "src", "dst", F.col("value").alias("_ref")
         )
-        c = c.withColumn("_ref", F.coalesce("source_id", "source_set")).join(seen, ["src", "dst", "_ref"], "left_anti").drop("_ref")
-    edges = c.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+        w = c.withColumn("_ref", F.coalesce("source_id", "source_set")).join(seen, ["src", "dst", "_ref"], "left_anti").drop("_ref")
+    edges = w.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     facets = _facets(
         c, ["src", "dst"],
         {"description": "description", "keywords": "keywords", "relation_type": "relation_type", "source": "source_id", "source_set": "source_set"},
     ).where("NOT (facet = 'relation_type' AND value = '')")
     if existing is not None:
         edges = edges.unionByName(existing.edges.select("src", "dst", "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-        facets = facets.unionByName(existing.edge_facets)
-    facets = facets.distinct()
+        facets = facets.unionByName(existing.edge_facets).distinct()
     untyped = edges.join(facets.where("facet = 'relation_type'"), ["src", "dst"], "left_anti").select(
         "src", "dst", F.lit("relation_type").alias("facet"), F.lit(UNSPECIFIED).alias("value")
     )
@@ -307,14 +306,14 @@ def stub_nodes(edges: DataFrame, edge_facets: DataFrame, nodes: DataFrame) -> tu
     return missing.select("entity_name", F.lit(STUB_TYPE).alias("entity_type")), facets
 
 
-def build_graph(node_candidates: DataFrame, edge_candidates: DataFrame, source_sets: DataFrame | None = None, existing: Graph | None = None, review=None) -> Graph:
-    """Merge candidates into a graph.  ``review`` may change the candidates first."""
+def build_graph(node_candidates: DataFrame, edge_candidates: DataFrame, source_sets: DataFrame | None = None, existing: Graph | None = None, review=None, count_once: bool = False) -> Graph:
+    """Merge candidates into a graph.  ``review`` may change the candidates first; ``count_once``: see merge_edges."""
     if review is not None:
         node_candidates, edge_candidates = review(node_candidates, edge_candidates)
     nodes, nf = merge_nodes(node_candidates, existing)
     if existing is not None:
         nodes = nodes.unionByName(existing.nodes.join(nodes, "entity_name", "left_anti").select("entity_name", "entity_type"))
-    edges, ef = merge_edges(edge_candidates, existing)
+    edges, ef = merge_edges(edge_candidates, existing, count_once)
     # each merged table is read several times below and by every user of the graph
     nodes, nf, edges, ef = cut(nodes), cut(nf), cut(edges), cut(ef)
     stubs, sf = stub_nodes(edges, ef, nodes)

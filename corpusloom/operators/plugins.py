@@ -25,24 +25,25 @@ Extractor = Callable[[str], str]
 
 def rule_extractor(text: str) -> str:
     """Offline stand-in for a model: capitalised words become entities, neighbours get a relation."""
-    names = list(dict.fromkeys(re.findall(r"\b[A-Z][a-z]{3,}\b", text)))[:20]
+    names = list(dict.fromkeys(re.findall(r"\b[A-Z][a-z]{3,}\b", text)))
     rows = [f'("entity"<|>{n}<|>TERM<|>{n} in text)' for n in names]
     rows += [f'("relationship"<|>{a}<|>{b}<|>follow each other<|>Near | sequence<|>1)' for a, b in zip(names, names[1:])]
     return "##".join(rows) + "<|COMPLETE|>"
 
 
 def extract(chunks: DataFrame, extractor: Extractor = rule_extractor, rounds: int = 0, more: Callable[[str, str], str | None] | None = None) -> DataFrame:
-    """Responses ``(chunk_id, ord, response)`` of ``chunks(chunk_id, ord, content)``.
+    """Responses ``(chunk_id, ord, response, error)`` of ``chunks(chunk_id, ord, content)``.
 
     Up to ``rounds`` times ``more(text, response so far)`` may add text; null ends it.  A failing
-    call gives a null response.
+    call gives a null response and its message as ``error``, so that an outage can be counted.
     """
     kinds = dict(chunks.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
+            out, errors = [], []
             for text in pdf["content"]:
+                error = None
                 try:
                     got = extractor(text)
                     for _ in range(rounds if more else 0):
@@ -50,12 +51,13 @@ def extract(chunks: DataFrame, extractor: Extractor = rule_extractor, rounds: in
                         if not extra:
                             break
                         got += extra
-                except Exception:  # noqa: BLE001
-                    got = None
+                except Exception as e:  # noqa: BLE001
+                    got, error = None, f"{type(e).__name__}: {e}"
                 out.append(got)
-            yield pd.DataFrame({"chunk_id": pdf["chunk_id"], "ord": pdf["ord"], "response": pd.Series(out, dtype=object, index=pdf.index)})
+                errors.append(error)
+            yield pd.DataFrame({"chunk_id": pdf["chunk_id"], "ord": pdf["ord"], "response": pd.Series(out, dtype=object, index=pdf.index), "error": pd.Series(errors, dtype=object, index=pdf.index)})
 
-    return chunks.select("chunk_id", "ord", "content").mapInPandas(run, f"chunk_id {kinds['chunk_id']}, ord {kinds['ord']}, response string")
+    return chunks.select("chunk_id", "ord", "content").mapInPandas(run, f"chunk_id {kinds['chunk_id']}, ord {kinds['ord']}, response string, error string")
 
 
 def pair_scorer(score: Callable[[str, str], float | None], query: str = "query", text: str = "content") -> Column:

@@ -190,6 +190,13 @@ def ordered_parts(
     )
 
 
+def joined_parts(parts: DataFrame, keys: Sequence[str] | str, items: str) -> DataFrame:
+    """One list per group from ordered_parts, for callers whose result is one value per group by nature."""
+    keys = _names(keys)
+    whole = F.sort_array(F.collect_list(F.struct("part_no", items)))
+    return parts.groupBy(*keys).agg(F.flatten(F.transform(whole, lambda p: p[items])).alias(items))
+
+
 def top_k(df: DataFrame, keys: Sequence[str] | str, order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows per group; Spark pushes the limit below the shuffle (WindowGroupLimit)."""
     w = Window.partitionBy(*_names(keys)).orderBy(*order)

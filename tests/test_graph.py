@@ -36,11 +36,22 @@ def test_rerun_changes_nothing(spark):
     r = records(spark)
     n, e = gb.records_to_candidates(r)
     first = gb.build_graph(n, e)
-    again = gb.build_graph(n, e, existing=first)
+    again = gb.build_graph(n, e, existing=first, count_once=True)
     for a, b in ((first.nodes, again.nodes), (first.edges, again.edges), (first.node_facets, again.node_facets), (first.edge_facets, again.edge_facets)):
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*a.columns).collect()))
 
 
+def test_merging_into_a_graph_adds_weights_and_texts(spark):
+    n, e = gb.records_to_candidates(records(spark))
+    first = gb.build_graph(n, e)
+    more = e.withColumn("description", F.concat(F.coalesce("description", F.lit("")), F.lit(" again")))
+    again = gb.build_graph(n, more, existing=first)
+    old, new = ({(r.src, r.dst): r.weight for r in g.edges.collect()} for g in (first, again))
+    assert new == {k: 2 * w for k, w in old.items()}
+    texts = lambda g: {(r.src, r.dst, r.value) for r in g.edge_facets.where("facet = 'description'").collect()}
+    assert texts(first) < texts(again)
+
+
 def test_section_scope_and_rules(spark):
     rows = [("柴油机维护与修理_v1_3.md", "r1", "泵", "卡滞", "", [], [], [], [], [], "", "book.md > 液压设备 > 泵", ""), ("舵机手册", "r2", "舵", "漏油", "", [], [], [], [], [], "", "b > x", "")]
     n, e, s = gb.resolve_parents(records(spark, rows))

@@ -77,7 +77,7 @@ def test_evidence_and_recall(spark):
     assert df.select(ev.parse_evidence_ids(F.col("e")).alias("x")).first().x == ["doc.md::llm_001", "doc.md::llm_002", "doc.md::llm_003"]
     expected = spark.createDataFrame([("a", "船舶.md::llm_038"), ("b", "d::001"), ("b", "d::002")], "query_id string, id string")
     got = spark.createDataFrame([("a", "chunk-faultcase-1"), ("a", "llm_038"), ("b", "002"), ("b", "003")], "query_id string, id string")
-    assert {r.query_id: r.recall for r in ev.recall_rate(expected, got).collect()} == {"a": 100.0, "b": 50.0}
+    assert {r.query_id: r.recall for r in ev.recall_rate(expected, got, spark.createDataFrame([("a",), ("b",), ("c",)], "query_id string")).collect()} == {"a": 100.0, "b": 50.0, "c": 0.0}
 
 
 def test_summary_fixture(spark):
@@ -123,3 +123,27 @@ def test_silent_run_fails_by_timeout(spark, tmp_path):
     s = spark.readStream.schema("run_id string, seq long, state string, ts timestamp").option("maxFilesPerTrigger", 1).json(str(tmp_path))
     out = jobs.run_to_table(jobs.stream_transitions(s, timeout="1 hour", delay="1 second"), "t").collect()
     assert ("r", "starting", "failed", True) in {(r.run_id, r.before, r.state, r.is_valid) for r in out}
+
+
+def test_context_keeps_every_line_of_a_long_list(spark):
+    from corpusloom.operators import context as cx
+
+    queries = spark.createDataFrame([("q",)], "query_id string")
+    entities = spark.createDataFrame([], "query_id string, rank int, entity_name string, entity_type string, score double, description string")
+    sources = spark.range(10_005).select(F.lit("q").alias("query_id"), F.col("id").cast("int").alias("rank"), F.col("id").cast("string").alias("chunk_id"), F.lit("").alias("content"))
+    text = cx.build_context(queries, entities, sources).first().context
+    assert text.count("\r\n") == 10_005 + 2 and text.index("\n10003,") < text.index("\n10004,")
+
+
+def test_extraction_keeps_every_name_and_reports_errors(spark):
+    from corpusloom.operators import plugins as pl
+
+    names = " ".join(f"N{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(40))
+    chunks = spark.createDataFrame([("c", 1, names)], "chunk_id string, ord int, content string")
+    assert pl.extract(chunks).first().response.count('("entity"') == 40
+
+    def fails(text):
+        raise RuntimeError("down")
+
+    row = pl.extract(chunks, fails).first()
+    assert row.response is None and row.error == "RuntimeError: down"
