@@ -57,7 +57,18 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._loom_path = path
+    return table
+
+
+def drop(*cuts: DataFrame) -> None:
+    """Delete tables of ``cut`` that nothing reads any more, and have Spark drop the shuffle files of finished jobs."""
+    spark = cuts[0].sparkSession
+    for table in cuts:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._loom_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark._jvm.System.gc()  # Spark drops shuffle files once the driver has collected the plans that wrote them
 
 
 def tables(spark: SparkSession, sf_dir: str):
