@@ -27,6 +27,11 @@ def split_words(line: Column) -> Column:
     return F.when(line == "", F.array().cast("array<string>")).otherwise(F.split(line, " "))
 
 
+def word_list(text: Column) -> Column:
+    """Words of a text (null: none), lower-cased; as split_words(words_line(text)), in one pass."""
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
+
+
 def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only what an operator reads, under names of its own, so that extra columns cannot clash: id, text."""
     return df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))

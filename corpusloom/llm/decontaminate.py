@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import SHINGLE, SIMILAR, split_words, texts, words_line
+from corpusloom.llm.common import SHINGLE, SIMILAR, texts, word_list
 from corpusloom.plans.session import cut
 
 #: Fingerprints of windows at similarity 0.8 differ in about 10 of 64 bits (deviation 3), so 20 leaves out 1 in 5,000 at that edge.
@@ -60,7 +60,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     fingerprinted and compared once, however many documents hold them. Blocks of the fingerprints find every item
     of the window's size within ``radius``; exact similarity decides.
     """
-    listed = items.select(F.col(f"`{item_id}`").alias("item"), split_words(words_line(F.col(f"`{item_text}`"))).alias("words")).where(F.size("words") > 0).distinct()
+    listed = items.select(F.col(f"`{item_id}`").alias("item"), word_list(F.col(f"`{item_text}`")).alias("words")).where(F.size("words") > 0).distinct()
     k = F.least(F.size("words"), F.lit(SHINGLE))
     listed = cut(listed.select("item", F.size("words").alias("n"), k.alias("k"), grams(F.col("words"), k).alias("grams")))
     sizes = sorted(r["k"] for r in listed.select("k").distinct().collect())
@@ -72,7 +72,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     index = cut(places.select("k", "gram", "n", "q").distinct())
     small = index.count() <= BROADCAST_ROWS
 
-    rows = texts(docs, id_col, text_col).select("id", split_words(words_line(F.col("text"))).alias("words"))
+    rows = texts(docs, id_col, text_col).select("id", word_list(F.col("text")).alias("words"))
     found = []
     for size in sizes:
         at = rows.where(F.size("words") >= size).select("id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - size)).alias("p"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import SHINGLE, split_words, words_line
+from corpusloom.llm.common import SHINGLE, word_list
 
 #: Words taken at once in a task; only bounds memory.
 PIECE = 400_000
@@ -17,7 +17,7 @@ PIECE = 400_000
 
 def word_hashes(text: Column) -> Column:
     """array<bigint>: a 64-bit hash per word."""
-    return F.transform(split_words(words_line(text)), lambda w: F.xxhash64(w))
+    return F.transform(word_list(text), lambda w: F.xxhash64(w))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -272,13 +272,38 @@ def test_compact_windows_cover_every_subsequence_once():
     rng = np.random.default_rng(4)
     for n, t in ((30, 5), (12, 12), (40, 1)):
         v = rng.integers(1, 12, n).astype(np.uint64)
-        found = passages.compact_windows(v, passages.minima(v, np.full(n, n), t), n)
+        at = passages.minima(v, np.full(n, n), t)
+        left, right = passages.compact_windows(v, at, np.zeros(len(at), int), np.zeros(1, int), np.full(1, n))
+        found = list(zip(left, at, right))
         for i in range(n):
             for j in range(i + t - 1, n):
                 over = [c for a, c, b in found if a <= i <= c <= j <= b]
                 assert over == [i + int(np.argmin(v[i : j + 1]))]
 
 
+def test_overlaid_windows_agree_with_every_subsequence():
+    import numpy as np
+
+    rng, t, hashes, enough = np.random.default_rng(5), 6, 4, 2
+    count = np.array([30, 0, 3, 25, 6, 40])
+    shingle = passages.mix(rng.integers(1, 25, int(count.sum())).astype(np.uint64))
+    hit = np.unique(shingle)[::3]
+    row, first, last, k, s, f = passages.overlaid(shingle, count, hit, t, hashes, enough)
+    want = []
+    for r, (a, n) in enumerate(zip(np.cumsum(count) - count, count)):
+        starts, met = [], {}
+        for i in range(a, a + n - t + 1):
+            best = [(int(shingle[i + int(np.argmin(passages.values(shingle[i : i + t], g)))]), g) for g in range(hashes)]
+            met[i] = {x for x in best if x[0] in set(hit.tolist())}
+            if len(met[i]) >= enough:
+                starts.append(i)
+        runs = passages.runs(np.isin(np.arange(len(shingle)), starts), t)
+        want += [(r, x, y, {m for i in range(x, y - t + 1) for m in met[i]}) for x, y in runs]
+    assert [(r, a, b) for r, a, b in zip(row, first, last)] == [w[:3] for w in want] and len(want) > 3
+    for i, w in enumerate(want):
+        assert {(int(x), int(g)) for x, g in zip(s[k == i], f[k == i])} == w[3]
+
+
 def test_passages_find_every_exact_run(spark, docs, texts):
     runs = {}
     for i, t in enumerate(texts):
