@@ -62,13 +62,18 @@ def cut(df: DataFrame) -> DataFrame:
     return table
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have Spark drop the shuffle files of finished jobs: it does so once the driver has collected their plans."""
+    spark._jvm.System.gc()
+
+
 def drop(*cuts: DataFrame) -> None:
-    """Delete tables of ``cut`` that nothing reads any more, and have Spark drop the shuffle files of finished jobs."""
+    """Delete tables of ``cut`` that nothing reads any more, and sweep."""
     spark = cuts[0].sparkSession
     for table in cuts:
         path = spark._jvm.org.apache.hadoop.fs.Path(table._loom_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    spark._jvm.System.gc()  # Spark drops shuffle files once the driver has collected the plans that wrote them
+    sweep(spark)
 
 
 def tables(spark: SparkSession, sf_dir: str):
