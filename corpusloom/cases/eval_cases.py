@@ -265,7 +265,8 @@ def _(spark, sf):
     "i17_quota_fill",
     f"""WITH {v.REC}, o AS (SELECT *, row_number() OVER (ORDER BY ord) AS k FROM rec), s AS (SELECT k, doc_name, record_id, unnest(['cause_explanation', 'repair_method', 'key_components']) AS type, unnest([1, 2, 3]) AS j FROM o)
     SELECT doc_name || '::' || record_id || ' | 依据原始表述整理。' AS evidence, type FROM s
-    WHERE (k <= 10) OR (k BETWEEN 11 AND 25 AND j > 1) OR (k BETWEEN 26 AND 50 AND j = 3)""",
+    WHERE (k <= 10) OR (k BETWEEN 11 AND 25 AND j > 1) OR (k BETWEEN 26 AND 50 AND j = 3)
+    UNION ALL SELECT doc_name || '::' || record_id || ' | 依据原始表述整理。', 'repair_method' FROM o WHERE k <= 12""",
 )
 def _(spark, sf):
     return ev.quota_fill(v.records(tables(spark, sf))).select("evidence", "type")

@@ -214,22 +214,30 @@ def _(spark, sf):
     return g.largest_component(nodes, e)[1].select("src", "dst")
 
 
-@case("f14_components_dense", None)
+@case(
+    "f14_components_dense",
+    f"""WITH RECURSIVE {v.PS}, e AS (SELECT src AS a, dst AS b FROM ps UNION ALL SELECT dst, src FROM ps),
+    c(n, root) USING KEY (n) AS (SELECT a, min(least(a, b)) FROM e GROUP BY a
+        UNION SELECT e.a, min(x.root) FROM c x JOIN e ON e.b = x.n JOIN recurring.c y ON y.n = e.a WHERE x.root < y.root GROUP BY e.a)
+    SELECT root AS component, count(*) AS n FROM c GROUP BY root""",
+)
 def _(spark, sf):
     c = g.connected_components(v.part_supplier(tables(spark, sf)))
     return c.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
 
 
-@case("f15_node_embeddings", None)
+@case(
+    "f15_random_walks",
+    f"""WITH RECURSIVE {v.PS}, bw AS (SELECT src AS a, dst AS b FROM ps UNION ALL SELECT dst, src FROM ps),
+    num AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY b) AS no, count(*) OVER (PARTITION BY a) AS deg FROM bw),
+    w(entity_name, walk, step, cur, nodes) AS (SELECT DISTINCT a, k, 0, a, a FROM bw, (VALUES (0), (1)) t(k)
+        UNION ALL SELECT entity_name, walk, step + 1, b, nodes || '>' || b FROM w JOIN num
+            ON a = cur AND no = ('0x' || substring(md5(entity_name || '~' || walk || '~' || (step + 1) || '~3'), 1, 15))::BIGINT % deg + 1 WHERE step < 5)
+    SELECT entity_name, walk, nodes FROM w WHERE step = 5""",
+)
 def _(spark, sf):
-    out = g.node_embeddings(v.hierarchy(tables(spark, sf)), dimensions=16, num_walks=4, walk_length=10)
-    return out.select("entity_name", F.size(_to_array("vector")).alias("dims"))
-
-
-def _to_array(c):
-    from pyspark.ml.functions import vector_to_array
-
-    return vector_to_array(F.col(c))
+    walks = g.random_walks(v.part_supplier(tables(spark, sf)), num_walks=2, walk_length=6)
+    return walks.select("entity_name", "walk", F.array_join("nodes", ">").alias("nodes"))
 
 
 MUT = f"""{v.PS}, mut AS (SELECT 'P' || l_partkey AS src, 'S' || l_suppkey AS dst, count(*)::DOUBLE AS weight FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1, 2)"""

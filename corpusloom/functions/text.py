@@ -71,13 +71,39 @@ def alias_norm(c: Column) -> Column:
 
 
 def clean_str(c: Column) -> Column:
-    """Entities decoded, trimmed, control characters (newline and tab included) deleted."""
-    out = strip(text_or_empty(c))
-    for entity, char in HTML_ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
+    """Entities decoded once, trimmed, control characters (newline and tab included) deleted."""
+    out = let(strip(text_or_empty(c)), lambda t: F.when(F.contains(t, F.lit("&")), decode_entities(t)).otherwise(t))
     return F.regexp_replace(out, r"[\x00-\x1f\x7f-\x9f]", "")
 
 
+def decode_entities(text: Column) -> Column:
+    """Named and numeric HTML entities (with semicolon) as characters; unknown ones stay.
+
+    The distinct entities of the text are replaced one by one, those for an ampersand last, so that what
+    they produce is not decoded again.
+    """
+    from html.entities import html5
+
+    table = "\x01".join(f"&{name}\x02{char}" for name, char in sorted(html5.items()) if name.endswith(";"))
+    named = F.str_to_map(F.lit(table), F.lit("\x01"), F.lit("\x02"))  # folded to one literal
+
+    def numbered(e: Column) -> Column:
+        digits = F.regexp_extract(e, "([0-9A-Fa-f]+);$", 1)
+        code = F.when(e.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+    def char(e: Column) -> Column:
+        return F.when(e.startswith("&#"), numbered(e)).otherwise(F.try_element_at(named, e))
+
+    def replaced(start: Column, pairs: Column) -> Column:
+        return F.aggregate(pairs, start, lambda acc, p: F.replace(acc, p["e"], p["c"]))
+
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit("&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"), F.lit(0)))
+    known = F.filter(F.transform(found, lambda e: F.struct(e.alias("e"), char(e).alias("c"))), lambda p: p["c"].isNotNull())
+    return let(known, lambda k: replaced(replaced(text, F.filter(k, lambda p: p["c"] != "&")), F.filter(k, lambda p: p["c"] == "&")))
+
+
 def md5_id(c: Column, prefix: str = "") -> Column:
     return F.concat(F.lit(prefix), F.md5(c))
 

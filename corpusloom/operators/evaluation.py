@@ -314,7 +314,7 @@ def record_summary() -> Column:
 
 
 def qa_candidates_pairs(records: DataFrame, category: str = "fault_distinction") -> DataFrame:
-    """Distinction questions for neighbouring faults of one equipment, in (fault, record) order.
+    """Distinction questions for neighbouring faults of one equipment, in (fault, record) order: not all pairs.
 
     Each fault is represented by its first record and paired with the next fault.  Pairing every
     fault with every other one would grow with the square of the largest equipment, and a question
@@ -441,13 +441,24 @@ def classify_question_type(question_type: Column, question: Column, rules=TYPE_R
     return out.otherwise(F.lit(DEFAULT_TYPE))
 
 
+# fixed values: kind and answer of the questions that fill up a set
+FILL_TYPE, FILL_ANSWER = "repair_method", "依据文档排查"
+
+
 def quota_fill(records: DataFrame, ord_col: str = "ord", quotas=QUOTAS, templates: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Question set of at most the last quota's size, filled record by record: a record adds a question
-    of a kind while the set is smaller than that kind's quota.
+    of a kind while the set is smaller than that kind's quota.  What is then missing comes from the first
+    records with equipment and fault, as repair questions with a general answer.
 
     Records are read in order in short batches, only those that can still add something.
     """
     spark = records.sparkSession
+
+    def question(row, kind: str, answer: str) -> tuple[str, str, str, str]:
+        stems = (templates or {}).get(kind) or ("{equip}{fault}？",)
+        stem = stems[sum(row["record_id"].encode()) % len(stems)]
+        return stem.format(equip=row["equipment"], fault=row["fault"]), answer, f"{row['doc_name']}::{row['record_id']} | 依据原始表述整理。", kind
+
     r = records.where((_s(F.col("equipment")) != "") | (_s(F.col("fault")) != "")).select(
         F.col(ord_col).alias("o"), "doc_name", "record_id", "equipment", "fault", *[tx.clean_list(F.col(c)).alias(c) for c, _t, _q in quotas]
     )
@@ -466,9 +477,10 @@ def quota_fill(records: DataFrame, ord_col: str = "ord", quotas=QUOTAS, template
             after = row["o"]
             for c, kind, quota in quotas:
                 if row[c] and len(out) < quota:
-                    stems = (templates or {}).get(kind) or ("{equip}{fault}？",)
-                    stem = stems[sum(row["record_id"].encode()) % len(stems)]
-                    out.append((stem.format(equip=row["equipment"], fault=row["fault"]), "；".join(row[c]), f"{row['doc_name']}::{row['record_id']} | 依据原始表述整理。", kind))
+                    out.append(question(row, kind, "；".join(row[c])))
+    if len(out) < total:
+        rest = r.where((F.col("equipment") != "") & (F.col("fault") != "")).orderBy("o").limit(total - len(out)).collect()
+        out += [question(row, FILL_TYPE, FILL_ANSWER) for row in rest]
     return spark.createDataFrame(out, "question string, gold_answer string, evidence string, type string")
 
 

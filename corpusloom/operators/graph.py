@@ -333,7 +333,8 @@ def random_walks(edges: DataFrame, num_walks: int = 10, walk_length: int = 40, s
     cur = cur.select("entity_name", "walk", F.array("entity_name").alias("nodes"))
     for step in range(1, walk_length):
         at = cur.withColumn("a", F.element_at("nodes", -1)).join(deg, "a")
-        draw = F.pmod(F.xxhash64("entity_name", "walk", F.lit(step), F.lit(seed)), F.col("deg")) + 1
+        digits = F.substring(F.md5(F.concat_ws("~", "entity_name", "walk", F.lit(step), F.lit(seed))), 1, 15)
+        draw = F.conv(digits, 16, 10).cast("long") % F.col("deg") + 1
         cur = at.withColumn("no", draw).join(numbered, ["a", "no"]).select(
             "entity_name", "walk", F.concat("nodes", F.array("b")).alias("nodes")
         )

@@ -43,7 +43,8 @@ def candidate_ids(seeds: DataFrame, vector_hits: DataFrame, queries: DataFrame,
     """
     head = chunks.select("chunk_id", "ord").orderBy("ord").limit(scan_limit)
     numbered = prefix_scan(head.withColumn("_all", F.lit(0)), "_all", "ord", row_number="rank").select("_all", "chunk_id", "rank")
-    everyone = queries.select("query_id", F.lit(0).alias("_all")).join(numbered, "_all").select("query_id", F.lit(3).alias("src"), "rank", "chunk_id")
+    places = queries.select("query_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(scan_limit).cast("long"))).alias("rank"))
+    everyone = places.join(numbered.withColumn("rank", F.col("rank").cast("long")), "rank").select("query_id", F.lit(3).alias("src"), "rank", "chunk_id")
     given = [df.select("query_id", F.lit(i).alias("src"), F.col("rank").cast("long").alias("rank"), tx.strip(F.col("chunk_id")).alias("chunk_id")) for i, df in ((1, seeds), (2, vector_hits))]
     merged = given[0].unionByName(given[1]).unionByName(everyone).where("chunk_id <> ''")
     firsts = merged.groupBy("query_id", "chunk_id").agg(F.min(F.struct("src", "rank")).alias("o"))

@@ -91,18 +91,24 @@ def read_qa_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of GraphML files; attributes are found through the ``key`` declarations."""
+    """Nodes and edges of GraphML files; attributes are found through the ``key`` declarations of their own file."""
     data = "data array<struct<_VALUE:string,_key:string>>"
 
-    def rows(tag: str, schema: str) -> DataFrame:
-        return spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", "true").schema(schema).load(path)
+    def read(tag: str, schema: str) -> DataFrame:
+        df = spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", "true").schema(schema).load(path)
+        return df.select("*", F.col("_metadata.file_path").alias("_file"))
+
+    # one row per file; its list has one entry per attribute
+    declared = read("key", "_id string, `_attr.name` string, _for string").select("_file", F.col("_id").alias("id"), F.col("`_attr.name`").alias("name"), F.col("_for").alias("kind"))
+    keys = declared.groupBy("_file").agg(F.collect_set(F.struct("id", "name", F.coalesce("kind", F.lit("all")).alias("kind"))).alias("_keys"))
 
-    keys = rows("key", "_id string, `_attr.name` string, _for string").select("_id", "`_attr.name`", "_for").collect()  # one row per attribute
+    def rows(tag: str, schema: str) -> DataFrame:
+        return read(tag, schema).join(keys, "_file", "left")
 
     def attr(kind: str, name: str) -> Column:
-        ids = [k[0] for k in keys if k[1] == name and k[2] in (kind, "all", None)]
-        hit = F.filter("data", lambda d: d["_key"].isin(*ids)) if ids else F.array()
-        return F.coalesce(F.get(hit, F.lit(0))["_VALUE"], F.lit("")) if ids else F.lit("")
+        ids = F.transform(F.filter("_keys", lambda k: (k["name"] == name) & k["kind"].isin(kind, "all")), lambda k: k["id"])
+        hit = F.filter("data", lambda d: F.array_contains(ids, d["_key"]))
+        return F.coalesce(F.get(hit, F.lit(0))["_VALUE"], F.lit(""))
 
     nodes = rows("node", f"_id string, {data}").select(
         unquote(F.col("_id")).alias("entity_name"), unquote(attr("node", "entity_type")).alias("entity_type"),

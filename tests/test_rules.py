@@ -147,3 +147,22 @@ def test_extraction_keeps_every_name_and_reports_errors(spark):
 
     row = pl.extract(chunks, fails).first()
     assert row.response is None and row.error == "RuntimeError: down"
+
+
+def test_entities_are_decoded_once(spark):
+    import html
+
+    from corpusloom.functions import text as tx
+
+    texts = ["a &eacute; b", "&#8217;&#x4e2d;&#X4E2D;", "&amp;eacute; &eacute;", "&#38;lt; &lt;", "&amp;#8217; &#8217;", "&nosuch; &", "plain", "&CounterClockwiseContourIntegral;"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(tx.decode_entities(F.col("t"))).collect()] == [html.unescape(t) for t in texts]
+
+
+def test_quota_fill_takes_general_questions_at_last(spark):
+    from corpusloom.operators import evaluation as ev
+
+    rows = [(i, "d", f"r{i}", "pump", f"fault {i}", [], ["act"], [], [], []) for i in range(3)]
+    df = spark.createDataFrame(rows, "ord int, doc_name string, record_id string, equipment string, fault string, causes array<string>, actions array<string>, precautions array<string>, key_components array<string>, consequences array<string>")
+    got = ev.quota_fill(df).collect()
+    assert [r["gold_answer"] for r in got] == ["act"] * 3 + [ev.FILL_ANSWER] * 3
