@@ -71,8 +71,10 @@ def alias_norm(c: Column) -> Column:
 
 
 def clean_str(c: Column) -> Column:
-    """Entities decoded once, trimmed, control characters (newline and tab included) deleted."""
-    out = let(strip(text_or_empty(c)), lambda t: F.when(F.contains(t, F.lit("&")), decode_entities(t)).otherwise(t))
+    """Common entities decoded, trimmed, control characters (newline and tab included) deleted."""
+    out = strip(text_or_empty(c))
+    for entity, char in HTML_ENTITIES:
+        out = F.replace(out, F.lit(entity), F.lit(char))
     return F.regexp_replace(out, r"[\x00-\x1f\x7f-\x9f]", "")
 
 
