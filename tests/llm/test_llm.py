@@ -319,6 +319,26 @@ def test_passages_find_every_exact_run(spark, docs, texts):
     assert passages.repeated_passages(empty(spark)).count() == 0
 
 
+def test_passages_list_every_member_of_a_family(spark):
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, parts = [], {}
+    for family in range(40):
+        base = fresh(60)
+        for member in range(8):
+            mine = list(base)
+            for k in rng.sample((10, 18, 26, 34, 42, 50), rng.randint(1, 2)):
+                mine[k] = fresh(1)[0]
+            # half of the members go straight on with a passage of another family
+            more = rows[rng.randrange(len(rows))][1].split()[:60] if rows and member % 2 else []
+            parts[len(rows)] = mine + more
+            rows.append((len(rows), " ".join(mine + more + fresh(20))))
+    bags = {i: [Counter(tuple(w[j : j + 5]) for j in range(a, a + 56)) for a in range(0, len(w), 60)] for i, w in parts.items()}
+    want = {i for i in bags if any(similarity(x, y) >= 0.8 for j in bags if i != j for x in bags[i][:1] for y in bags[j])}
+    got = {r["doc_id"] for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) > 100 and not want - got
+
+
 def test_pipeline_stages_keep_the_columns_of_documents(spark):
     import corpus_pipeline
 
