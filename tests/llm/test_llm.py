@@ -319,6 +319,43 @@ def test_passages_find_every_exact_run(spark, docs, texts):
     assert passages.repeated_passages(empty(spark)).count() == 0
 
 
+def test_matches_cover_every_similar_window():
+    import numpy as np
+
+    rng, t = random.Random(8), 46
+    hashed = lambda w: np.array([hash(tuple(w[i : i + 5])) & (2**63 - 1) for i in range(len(w) - 4)], np.uint64)
+    cases = []
+    for n in (54, 80, 160, 300):
+        for rate in (0.01, 0.02, 0.03, 0.04):
+            for vocabulary in (6, 10**6):
+                one = [rng.randrange(vocabulary) for _ in range(n)]
+                two = []
+                for w in one:
+                    kind = rng.choice("rid") if rng.random() < rate else ""
+                    two += {"": [w], "r": [-rng.randrange(10**6)], "i": [w, -rng.randrange(10**6)], "d": []}[kind]
+                cases.append((one, two if rng.random() < 0.7 else two[n // 2 :] + two[: n // 2]))
+    eighty = list(range(80))
+    cases.append((eighty, [-w if w in (30, 55) else w for w in eighty]))
+    cases.append((list(range(50)), [-1, *range(1, 49), -2]))
+    cases.append((list(range(50)), [*range(25), -1, -2, *range(25, 50)]))
+    cases.append((list(range(600)), [-w if w % 36 == 35 else w for w in range(600)]))
+    found = 0
+    for one, two in cases:
+        x, y = hashed(one), hashed(two)
+        got = passages.matches(x, y, t, 0.8)
+        for a, b, p, q, score in got:
+            assert score == pytest.approx(similarity(Counter(x[a:b].tolist()), Counter(y[p:q].tolist()))) and score >= 0.8 and b - a >= t
+        covered = {k for a, b, *_ in got for k in range(a, b)}
+        bags = [Counter(y[j : j + t + more].tolist()) for more in (0, 2) for j in range(len(y) - t - more + 1)]
+        for i in range(0, len(x) - t + 1, 3):
+            bag = Counter(x[i : i + t].tolist())
+            if any(similarity(bag, other) >= 0.8 for other in bags):
+                found += 1
+                inner = set(range(i, i + t))
+                assert len(inner - covered) == 0 or any(x[k] not in y for k in inner - covered) and len(inner & covered) >= t - 10, (i, one, two)
+    assert found > 200
+
+
 def test_passages_list_every_member_of_a_family(spark):
     rng = random.Random(11)
     fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
