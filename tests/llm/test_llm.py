@@ -356,6 +356,13 @@ def test_matches_cover_every_similar_window():
     assert found > 200
 
 
+def test_passages_at_the_edge_meet_in_enough_functions():
+    from math import comb
+
+    n, m = passages.HASHES, passages.ENOUGH
+    assert sum(comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(m, n + 1)) > 0.989
+
+
 def test_passages_list_every_member_of_a_family(spark):
     rng = random.Random(11)
     fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
