@@ -95,6 +95,24 @@ def test_decontamination_equals_brute_force(spark, docs, texts):
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == set(range(len(texts))) - {d for d, _ in want}
 
 
+def test_decontamination_finds_items_in_another_order(spark):
+    rng = random.Random(9)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    a, b, c = fresh(32), fresh(32), fresh(20)
+    held = [fresh(50) + b + a + fresh(50), b + a, fresh(3) + a + b, c + a + fresh(7) + b + c, fresh(9) + a + fresh(50)]
+    items = [a + b, b + a + ["x"] * 3]
+    docs, bench = (spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(x)], f"{name} long, text string") for name, x in (("doc_id", held), ("item_id", items)))
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.find_leaks(docs, bench).collect()}
+    want = {}
+    for d, w in enumerate(held):
+        for i, item in enumerate(items):
+            n = len(item)
+            best = max(similarity(shingle_bag(" ".join(w[s : s + n])), shingle_bag(" ".join(item))) for s in range(max(1, len(w) - n + 1)))
+            if best >= 0.8:
+                want[d, i] = best
+    assert got == pytest.approx(want) and (0, 0) in want and (3, 0) not in want
+
+
 def test_license_places_and_containment(spark, docs, texts):
     got = {r["doc_id"]: r for r in licenses.scan_licenses(docs).collect()}
     assert len(got) == len(texts)
