@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat, decontaminate, forest, licenses, lines, neardup, passages, pii, quality
+from corpusloom.llm import bpe, chat, decontaminate, forest, licenses, lines, neardup, passages, pii, quality, repair, spelling, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +123,84 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: crc32 by its own table: BYTES is a list of byte values.
+CRC_TABLE = """crc(tab) AS (SELECT list(x ORDER BY i) FROM (SELECT i, list_reduce(list_concat([i], range(8)::UBIGINT[]),
+    lambda acc, k: CASE WHEN acc % 2 = 1 THEN xor(acc >> 1, 3988292384::UBIGINT) ELSE acc >> 1 END) AS x FROM (SELECT unnest(range(256))::UBIGINT AS i)))"""
+BYTES = """flatten(list_transform(string_split(s, ''), lambda c: CASE WHEN s = '' THEN [] WHEN unicode(c) < 128 THEN [unicode(c)::UBIGINT]
+    ELSE [(192 + unicode(c) // 64)::UBIGINT, (128 + unicode(c) % 64)::UBIGINT] END))"""
+CRC = f"xor(list_reduce(list_concat([4294967295::UBIGINT], {BYTES}), lambda acc, b: xor(acc >> 8, tab[((xor(acc, b) & 255) + 1)::BIGINT])), 4294967295::UBIGINT)"
+
+SPELLING_SQL = rf"""
+WITH RECURSIVE {CRC_TABLE},
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+g AS (SELECT doc_id, run, count(*) AS times, coalesce(doc_id::VARCHAR, '') || ':' || run AS s FROM r WHERE length(run) >= 5 GROUP BY doc_id, run),
+h AS (SELECT run, times, {CRC} AS h FROM g, crc),
+d AS (SELECT times, CASE WHEN h % 97 = 0 THEN run[1 : (h % length(run))::BIGINT] || run[(h % length(run))::BIGINT + 2 :] ELSE run END AS word FROM h),
+v AS MATERIALIZED (SELECT word, sum(times)::BIGINT AS n FROM d WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+c AS (SELECT word, n, p, word[1 : p - 1] || word[p + 1 :] AS without FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM v)),
+e AS MATERIALIZED (SELECT DISTINCT a, b, bn FROM (
+    SELECT x.word AS a, y.word AS b, y.n AS bn FROM c x JOIN c y ON x.without = y.without AND x.p = y.p AND x.word <> y.word
+    UNION ALL SELECT c.word, v.word, v.n FROM c JOIN v ON c.without = v.word
+    UNION ALL SELECT v.word, c.word, c.n FROM c JOIN v ON c.without = v.word)),
+k AS (SELECT a, b, bn, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY bn DESC, b) AS place FROM e),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN bn >= 2 * v.n THEN b END AS form, CASE WHEN bn >= 2 * v.n THEN bn END AS form_n
+    FROM v LEFT JOIN k ON k.a = v.word AND place = 1),
+t(word, reached) AS (SELECT word, word FROM f UNION ALL SELECT t.word, f.form FROM t JOIN f ON f.word = t.reached WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, t.reached AS root, f.n, f.n_near, f.form_n FROM f JOIN t ON t.word = f.word JOIN f l ON l.word = t.reached AND l.form IS NULL
+"""
+
+
+@query(SPELLING_SQL)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.word_counts(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+@query()
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+# step: the cheapest (cost, edits) by conversation and state (0 nothing, 1 after the system row, 2 assistant next, 3 user or end next);
+# up to two insertions may precede an edit, and follow the last row.
+REPAIR_SQL = rf"""
+WITH RECURSIVE {CRC_TABLE},
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+k AS (SELECT *, {CRC} % 20 AS kind FROM c, crc),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM k WHERE kind <> 0),
+o AS (SELECT conv_id, turn, role, text, left(role, 1) AS initial, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said,
+    row_number() OVER w AS i, lag(left(role, 1)) OVER w AS prior, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth
+    FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+r AS MATERIALIZED (SELECT *, CASE WHEN said = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM o),
+ins(a, b, edits, price) AS (VALUES (0, 0, '', 0), (1, 1, '', 0), (2, 2, '', 0), (3, 3, '', 0), (0, 2, 'I', 5), (1, 2, 'I', 5), (2, 3, 'I', 5), (3, 2, 'I', 5), (0, 3, 'II', 10), (1, 3, 'II', 10), (2, 2, 'II', 10), (3, 3, 'II', 10)),
+step(conv_id, i, state, best) AS (
+    SELECT conv_id, 0, 0, {{'cost': 0, 'audit': ''}} FROM (SELECT DISTINCT conv_id FROM r)
+    UNION ALL
+    SELECT conv_id, i, state, min(best) FROM (
+        SELECT p.conv_id, p.i + 1 AS i, m.state, {{'cost': p.best.cost + n.price + m.price + CASE WHEN r.fault = 't' AND m.edit <> 'D' THEN 5 ELSE 0 END, 'audit': p.best.audit || n.edits || m.edit}} AS best
+        FROM step p JOIN r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1 JOIN ins n ON n.a = p.state
+        JOIN (VALUES (0, 's', 1, 'K', 0), (0, 'u', 2, 'K', 0), (1, 'u', 2, 'K', 0), (3, 'u', 2, 'K', 0), (2, 'a', 3, 'K', 0), (0, NULL, 2, 'R', 1), (1, NULL, 2, 'R', 1), (2, NULL, 3, 'R', 1), (3, NULL, 2, 'R', 1),
+            (0, NULL, 0, 'D', 2), (1, NULL, 1, 'D', 2), (2, NULL, 2, 'D', 2), (3, NULL, 3, 'D', 2)) m(a, initial, state, edit, price)
+            ON m.a = n.b AND (m.initial IS NULL OR m.initial = r.initial) AND (m.edit = 'D' OR r.fault NOT IN ('b', 'd'))) q
+    GROUP BY conv_id, i, state),
+z AS (SELECT conv_id, min({{'cost': best.cost + n.price, 'audit': best.audit || n.edits}}) AS best FROM step JOIN (SELECT conv_id AS c2, max(i) AS last FROM r GROUP BY conv_id) l ON c2 IS NOT DISTINCT FROM conv_id AND i = last JOIN ins n ON n.a = state AND n.b IN (0, 3) GROUP BY conv_id),
+e AS (SELECT conv_id, unnest(string_split(best.audit, '')) AS edit, generate_subscripts(string_split(best.audit, ''), 1) AS pos FROM z),
+x AS (SELECT *, count(*) FILTER (edit <> 'I') OVER w AS i, count(*) FILTER (edit <> 'D') OVER w AS nth FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+y AS (SELECT x.conv_id, x.pos, x.edit, CASE WHEN x.edit <> 'I' THEN r.role END AS role, CASE WHEN x.edit <> 'I' THEN r.text ELSE '' END AS text, x.nth,
+    max(CASE WHEN x.edit = 'K' AND x.nth = 1 AND r.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY x.conv_id) AS sys
+    FROM x LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM x.conv_id AND r.i = x.i WHERE x.edit <> 'D'),
+w AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (nth - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY pos) AS said FROM y GROUP BY conv_id),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (prior IS NOT NULL AND prior || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+every AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT v.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+    coalesce(z.best.cost, 0)::BIGINT AS cost, coalesce(z.best.audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM every v LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM v.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM v.conv_id LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM v.conv_id
+"""
+
+
+@query(REPAIR_SQL)
+def op13_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
