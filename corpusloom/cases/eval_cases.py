@@ -105,14 +105,14 @@ def _(spark, sf):
     return tables(spark, sf)("labels").select("doc_id", s.alias("score"), ev.score_label(s).alias("label"), F.array_join(shown, "|").alias("modes"))
 
 
-def results(t):
-    """Events as judged answers, long form: user = question, event type = mode."""
+def results(t, *more):
+    """Events as judged answers, long form: user = question, event type = mode; ``more`` columns follow."""
     e = t("events")
     whole = F.floor("value").cast("int")
     return e.select(
         F.col("user_id").cast("string").alias("question_id"), F.col("event_type").alias("mode"), F.col("event_id").alias("ord"),
         F.when(F.col("event_type") == "error", F.concat(F.lit("[ERROR] timeout "), "event_id")).otherwise(F.concat(F.lit("answer "), "event_id")).alias("answer"),
-        (F.pmod(whole, F.lit(3)) - 1).alias("score"), whole.cast("long").alias("rt_ms"), (F.pmod(whole, F.lit(5)) * 25.0).alias("recall"),
+        (F.pmod(whole, F.lit(3)) - 1).alias("score"), whole.cast("long").alias("rt_ms"), (F.pmod(whole, F.lit(5)) * 25.0).alias("recall"), *more,
     )
 
 

@@ -186,17 +186,48 @@ def _(spark, sf):
     return nodes.select("entity_name").distinct()
 
 
-# --- streams ------------------------------------------------------------------------------------------
+# --- streams: three files (rows dealt out of order), and the query stopped and started again between them ---------
 
 
-@case(
-    "j01_stream_ingest",
-    f"""WITH d AS (SELECT DISTINCT {q.clean('text')} AS text FROM documents), dd AS (SELECT 'doc-' || md5(text) AS doc_id, text FROM d), {q.chunk_cte('dd', 200, 20)}
-    SELECT full_doc_id, 'chunk-' || md5(content) AS chunk_id, chunk_order_index, tokens FROM chunks""",
-)
+def _replayed(spark, files, run):
+    """``run(stream, out, checkpoint)`` after each file has come; the state after the last one."""
+    src, out, checkpoint = scratch_path(spark, "in"), scratch_path(spark, "out"), scratch_path(spark, "checkpoint")
+    for k, part in enumerate(files):
+        part.write.parquet(f"{src}/{k}")
+        got = run(jobs.folder_stream(spark, part.schema, src), out, checkpoint)
+    return got
+
+
+def _thirds(df, key):
+    return [df.where(F.pmod(F.xxhash64(key), F.lit(3)) == k) for k in range(3)]
+
+
+def _by_time(events):
+    """Three spans of ten days; every third event of a span's last 50 minutes comes with the next file."""
+    minute = F.expr("timestampdiff(MINUTE, TIMESTAMP_NTZ'2024-01-01', ts)")
+    span = F.floor(minute / 14400)
+    late = (minute % 14400 >= 14350) & (F.col("event_id") % 3 == 0)
+    place = F.least(F.lit(2), (span + late.cast("int")).cast("int"))
+    return [events.where(place == k) for k in range(3)]
+
+
+INGEST_SQL = f"""WITH d AS (SELECT DISTINCT {q.clean('text')} AS text FROM documents), dd AS (SELECT 'doc-' || md5(text) AS doc_id, text FROM d), {q.chunk_cte('dd', 200, 20)}
+    SELECT full_doc_id, 'chunk-' || md5(content) AS chunk_id, chunk_order_index, tokens FROM chunks"""
+
+
+@case("j01_stream_ingest", INGEST_SQL)
 def _(spark, sf):
-    s = jobs.stream_ingest(jobs.table_stream(spark, sf, "documents"), 200, 20)
-    return jobs.run_to_table(s, "ingest").select("full_doc_id", "chunk_id", "chunk_order_index", "tokens")
+    files = _thirds(tables(spark, sf)("documents"), "doc_id")
+    got = _replayed(spark, files, lambda s, out, cp: jobs.run_to_table(jobs.stream_ingest(s, 200, 20), out, cp))
+    return got.select("full_doc_id", "chunk_id", "chunk_order_index", "tokens")
+
+
+@case("j01_stream_ingest_known", INGEST_SQL.replace("FROM documents)", "FROM documents WHERE doc_id % 5 <> 0 EXCEPT SELECT " + q.clean("text") + " FROM documents WHERE doc_id % 5 = 0)"))
+def _(spark, sf):
+    docs = tables(spark, sf)("documents")
+    known = docs.where("doc_id % 5 = 0").select(tx.md5_id(tx.clean_str(F.col("text")), "doc-").alias("doc_id"))
+    got = _replayed(spark, _thirds(docs.where("doc_id % 5 <> 0"), "doc_id"), lambda s, out, cp: jobs.run_to_table(jobs.stream_ingest(s, 200, 20, processed=known), out, cp))
+    return got.select("full_doc_id", "chunk_id", "chunk_order_index", "tokens")
 
 
 @case(
@@ -204,17 +235,33 @@ def _(spark, sf):
     "SELECT 'a' || user_id AS id, max(event_id) AS seq, arg_max(event_type = 'error', event_id) AS deleted FROM events GROUP BY user_id",
 )
 def _(spark, sf):
-    s = _log(lambda name: jobs.table_stream(spark, sf, name))
-    return jobs.stream_alias_state(s).select("id", "seq", "deleted")
+    files = _thirds(tables(spark, sf)("events"), "event_id")
+    got = _replayed(spark, files, lambda s, out, cp: jobs.run_alias_state(_log(lambda _name: s), out, cp, parts=8))
+    return got.select("id", "seq", "deleted")
+
+
+MODE_COLS = """count(*) AS completed, count(*) FILTER (score = 1) AS correct_count, count(*) FILTER (score = 0) AS partial_count, count(*) FILTER (score = -1) AS wrong_count,
+    round_even(count(*) FILTER (score = 1) / count(*) * 100, 2) AS accuracy_percent, round_even(avg(rt_ms), 2) AS avg_response_time_ms, round_even(avg(recall), 4)::DOUBLE AS avg_recall_rate"""
+
+
+@case("j03_stream_result_summary", f"WITH {RES} SELECT mode, {MODE_COLS} FROM res GROUP BY mode")
+def _(spark, sf):
+    files = _thirds(tables(spark, sf)("events"), "event_id")
+    return _replayed(spark, files, lambda s, out, cp: jobs.run_latest(jobs.stream_result_summary(results(lambda _name: s)), out, cp))
 
 
 @case(
-    "j03_stream_result_summary",
-    f"""WITH {RES} SELECT mode, count(*) AS completed, count(*) FILTER (score = 1) AS correct_count, count(*) FILTER (score = 0) AS partial_count, count(*) FILTER (score = -1) AS wrong_count,
-    round_even(count(*) FILTER (score = 1) / count(*) * 100, 2) AS accuracy_percent, round_even(avg(rt_ms), 2) AS avg_response_time_ms, round_even(avg(recall), 4)::DOUBLE AS avg_recall_rate FROM res GROUP BY mode""",
+    "j03_stream_result_windows",
+    f"""WITH {RES} SELECT epoch(w)::BIGINT AS started, mode, {MODE_COLS} FROM (SELECT res.*, time_bucket(INTERVAL 6 HOUR, ts) AS w FROM res JOIN events ON event_id = ord)
+    WHERE w + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY w, mode""",
 )
 def _(spark, sf):
-    return jobs.run_complete(jobs.stream_result_summary(results(lambda name: jobs.table_stream(spark, sf, name))), "summary")
+    def run(s, out, cp):
+        e = results(lambda _name: s, "ts")
+        return jobs.run_to_table(jobs.stream_result_summary(e, "6 hours", "1 hour"), out, cp)
+
+    got = _replayed(spark, _by_time(tables(spark, sf)("events")), run)
+    return got.select(F.unix_seconds("window.start").alias("started"), *[c for c in got.columns if c != "window"])
 
 
 @case(
@@ -222,8 +269,12 @@ def _(spark, sf):
     f"""SELECT run_id, seq, before, state, before || '>' || state IN ({MOVE_SQL}) AS is_valid FROM (SELECT user_id AS run_id, event_id AS seq, event_type AS state, coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id), 'idle') AS before FROM events)""",
 )
 def _(spark, sf):
-    log = jobs.table_stream(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("state"), "ts")
-    return jobs.run_to_table(jobs.stream_transitions(log, MOVES), "transitions")
+    events = tables(spark, sf)("events").select(F.col("user_id").alias("run_id"), "event_id", F.col("event_type").alias("state"), "ts")
+    # the last file is a clock: one row of no run that moves the watermark past all others
+    clock = events.limit(1).select(F.lit(-1).cast("long").alias("run_id"), F.lit(-1).cast("long").alias("event_id"), F.lit("idle").alias("state"), F.lit("2100-01-01").cast("timestamp_ntz").alias("ts"))
+    files = [*_by_time(events), clock]
+    got = _replayed(spark, files, lambda s, out, cp: jobs.run_to_table(jobs.stream_transitions(s.withColumnRenamed("event_id", "seq"), MOVES), out, cp))
+    return got.where("run_id >= 0")
 
 
 @case(
@@ -234,5 +285,8 @@ def _(spark, sf):
     SELECT request_id, n_chunks, n_chars FROM r WHERE last + INTERVAL 30 MINUTE < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
 )
 def _(spark, sf):
-    c = jobs.table_stream(spark, sf, "events").select(F.col("user_id").alias("request_id"), "ts", F.col("props").alias("text"))
-    return jobs.run_to_table(jobs.stream_latency(c), "latency").select("request_id", "n_chunks", "n_chars")
+    def run(s, out, cp):
+        c = s.select(F.col("user_id").alias("request_id"), "ts", F.col("props").alias("text"))
+        return jobs.run_to_table(jobs.stream_latency(c), out, cp)
+
+    return _replayed(spark, _by_time(tables(spark, sf)("events")), run).select("request_id", "n_chunks", "n_chars")

@@ -62,6 +62,12 @@ def cut(df: DataFrame) -> DataFrame:
     return table
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def sweep(spark: SparkSession) -> None:
     """Have Spark drop the shuffle files of finished jobs: it does so once the driver has collected their plans."""
     spark._jvm.System.gc()
@@ -71,8 +77,8 @@ def drop(*cuts: DataFrame) -> None:
     """Delete tables of ``cut`` that nothing reads any more, and sweep."""
     spark = cuts[0].sparkSession
     for table in cuts:
-        path = spark._jvm.org.apache.hadoop.fs.Path(table._loom_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, fs = hadoop_path(spark, table._loom_path)
+        fs.delete(path, True)
     sweep(spark)
 
 

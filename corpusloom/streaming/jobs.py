@@ -1,65 +1,157 @@
 """Streaming forms of the incremental operators.
 
-Each gives on the same input what its batch operator gives; windows in append mode keep back what the
-watermark has not closed.  Checkpoints live in the shared folder.
+Each gives on the same input what its batch operator gives; rows that wait for the watermark come out once it has passed
+them. Every run names its output and its checkpoint folder: a run that is started again with the same names goes on where
+the last one ended. What has been written is found on storage, never in the driver's memory.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from corpusloom.functions import text as tx
 from corpusloom.operators import chunks as ck
 from corpusloom.operators import evaluation as ev
-from corpusloom.plans.session import scratch_path
+from corpusloom.plans.session import hadoop_path
 
+#: State with lists and timers needs this store.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table file replayed as a stream; wall-clock times become timestamps."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    s = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+def folder_stream(spark: SparkSession, schema: T.StructType, folder: str) -> DataFrame:
+    """Parquet folders below ``folder`` as a stream, each file once; wall-clock times become timestamps."""
+    s = spark.readStream.schema(schema).parquet(f"{folder}/*")
     for f in schema.fields:
         if f.dataType.typeName() == "timestamp_ntz":
             s = s.withColumn(f.name, F.col(f.name).cast("timestamp"))
     return s
 
 
-def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Run an append stream over all available input into a table and read it back."""
+def _run(writer, checkpoint: str) -> None:
+    """Take in all that is there and stop."""
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def run_to_table(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Append what a stream gives for the input that is new since the last run; the whole table is returned.
+
+    The file sink's log in ``out`` lists the files of finished batches: a batch that is repeated after a failure adds
+    nothing twice, and files of a broken one are not read.
+    """
     spark = stream.sparkSession
-    out, cp = scratch_path(spark, label), scratch_path(spark, f"{label}-cp")
-    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
+    with _state_store(spark):
+        _run(stream.writeStream.format("parquet").option("path", out).outputMode("append"), checkpoint)
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_merged(stream: DataFrame, label: str, merge, schema, mode: str = "append") -> DataFrame:
-    """Run a stream whose batches are folded into a table by ``merge(old table or None, batch)``.
+class _state_store:
+    """The state store that transitions need, for the time a query is started; a stream's checkpoint keeps its choice."""
+
+    name = "spark.sql.streaming.stateStore.providerClass"
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> None:
+        self.before = self.spark.conf.get(self.name)
+        self.spark.conf.set(self.name, ROCKSDB)
+
+    def __exit__(self, *_) -> None:
+        self.spark.conf.set(self.name, self.before)
+
+
+def _children(spark: SparkSession, folder: str, prefix: str) -> dict[int, str]:
+    """Folders ``prefix<number>`` by number."""
+    path, fs = hadoop_path(spark, folder)
+    if not fs.exists(path):
+        return {}
+    found = (s.getPath() for s in fs.listStatus(path))
+    return {int(p.getName()[len(prefix) :]): p.toString() for p in found if p.getName().startswith(prefix)}
+
+
+def _finished(spark: SparkSession, out: str) -> list[int]:
+    """Batch ids whose version is complete (Spark marks a finished write), ascending."""
+    def done(folder: str) -> bool:
+        path, fs = hadoop_path(spark, f"{folder}/_SUCCESS")
+        return fs.exists(path)
+
+    return sorted(v for v, folder in _children(spark, out, "v=").items() if done(folder))
 
-    Every batch writes a new version named by its id; a repeated batch starts again from the version
-    before it, so a restart cannot count anything twice.
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path, fs = hadoop_path(spark, folder)
+    fs.delete(path, True)
+
+
+def run_latest(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Run a complete-mode aggregation; its newest state is returned.
+
+    Each batch writes the version named by its id, so a repeated batch overwrites itself; the version before stays for
+    those who still read it, older ones are deleted.
     """
     spark = stream.sparkSession
-    root, cp = scratch_path(spark, label), scratch_path(spark, f"{label}-cp")
-    seen: list[int] = []
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        before = [b for b in seen if b < batch_id]
-        old = spark.read.schema(schema).parquet(f"{root}/v={before[-1]}") if before else None
-        merge(old, batch).write.mode("overwrite").parquet(f"{root}/v={batch_id}")
-        if batch_id not in seen:
-            seen.append(batch_id)
+        batch.write.mode("overwrite").parquet(f"{out}/v={batch_id}")
+        for old in _finished(spark, out)[:-2]:
+            _delete(spark, f"{out}/v={old}")
+
+    _run(stream.writeStream.foreachBatch(fold).outputMode("complete"), checkpoint)
+    versions = _finished(spark, out)
+    return spark.read.schema(stream.schema).parquet(f"{out}/v={versions[-1]}") if versions else spark.createDataFrame([], stream.schema)
+
+
+def _parts(spark: SparkSession, out: str, before: int | None = None) -> dict[int, list[int]]:
+    """By hash partition, the finished versions that hold it, ascending; only those before a batch."""
+    held: dict[int, list[int]] = {}
+    for v in _finished(spark, out):
+        if before is None or v < before:
+            for p in _children(spark, f"{out}/v={v}", "part="):
+                held.setdefault(p, []).append(v)
+    return held
 
-    q = stream.writeStream.foreachBatch(fold).option("checkpointLocation", cp).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    if not seen:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/v={seen[-1]}")
+
+def keyed_state(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
+    """The newest version of every hash partition of a table kept by ``run_keyed``."""
+    paths = [f"{out}/v={vs[-1]}/part={p}" for p, vs in sorted(_parts(spark, out).items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def run_keyed(stream: DataFrame, out: str, checkpoint: str, key: str, merge: Callable[[DataFrame], DataFrame], parts: int = 64) -> DataFrame:
+    """Run a stream whose batches are merged into a table by ``key``; the table is returned.
+
+    ``merge`` makes one frame of the rows of old state and batch, row by key. State lies in ``parts`` partitions by the
+    key's hash (choose it by the size of the state; it stays fixed). A batch reads and writes only partitions of which it
+    has keys, as version ``v=<batch id>``. A repeated batch starts from the versions before it and overwrites its own, so
+    nothing counts twice; a version that was not finished is never read. Of a partition, the version in use and the one
+    before it are kept.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+    place = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.withColumn("part", place).persist()
+        touched = [r["part"] for r in batch.select("part").distinct().collect()]  # at most ``parts`` numbers
+        if touched:
+            held = _parts(spark, out, batch_id)
+            rows = batch.drop("part")
+            old = [f"{out}/v={held[p][-1]}/part={p}" for p in touched if p in held]
+            if old:
+                rows = spark.read.schema(schema).parquet(*old).unionByName(rows)
+            merge(rows).withColumn("part", place).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{out}/v={batch_id}")
+            for p in touched:
+                for v in held.get(p, [])[:-1]:
+                    _delete(spark, f"{out}/v={v}/part={p}")
+        batch.unpersist()
+
+    _run(stream.writeStream.foreachBatch(fold), checkpoint)
+    return keyed_state(spark, out, schema)
 
 
 def stream_ingest(docs: DataFrame, max_tokens: int = 1200, overlap: int = 100, delay: str | None = None, processed: DataFrame | None = None) -> DataFrame:
@@ -76,17 +168,15 @@ def stream_ingest(docs: DataFrame, max_tokens: int = 1200, overlap: int = 100, d
     return ck.chunk_by_tokens(d, "doc_id", "text", max_tokens, overlap)
 
 
-def stream_alias_state(events: DataFrame) -> DataFrame:
-    """Alias log stream folded to the last event per id (tombstones included; ``replay_aliases`` reads it)."""
-    cols = [c for c in events.columns if c != "id"]
-    schema = events.select("id", *cols).schema
+def last_events(rows: DataFrame) -> DataFrame:
+    """The last event per id (tombstones included; ``replay_aliases`` reads it)."""
+    cols = [c for c in rows.columns if c != "id"]
+    return rows.groupBy("id").agg(F.max_by(F.struct(*cols), "seq").alias("e")).select(*[F.col("id") if c == "id" else F.col(f"e.{c}").alias(c) for c in rows.columns])
 
-    def merge(old: DataFrame | None, batch: DataFrame) -> DataFrame:
-        rows = batch.select("id", *cols)
-        both = rows if old is None else old.unionByName(rows)
-        return both.groupBy("id").agg(F.max_by(F.struct(*cols), "seq").alias("e")).select("id", *[F.col(f"e.{c}").alias(c) for c in cols])
 
-    return run_merged(events, "alias-state", merge, schema)
+def run_alias_state(events: DataFrame, out: str, checkpoint: str, parts: int = 64) -> DataFrame:
+    """Alias log stream folded to the last event per id, whatever the order in which events arrive."""
+    return run_keyed(events, out, checkpoint, "id", last_events, parts)
 
 
 def stream_result_summary(results: DataFrame, window: str | None = None, delay: str = "10 minutes") -> DataFrame:
@@ -97,43 +187,92 @@ def stream_result_summary(results: DataFrame, window: str | None = None, delay:
     return r.groupBy("mode").agg(*ev.mode_aggregates())
 
 
-def run_complete(stream: DataFrame, label: str) -> DataFrame:
-    """Run a complete-mode aggregation and return its last state."""
-    return run_merged(stream, label, lambda _old, batch: batch, stream.schema, "complete")
+class _Moves(StatefulProcessor):
+    """Rows of a run wait in a list until the watermark has passed them, then they leave in order."""
+
+    def __init__(self, moves: set[tuple[str, str]], start: str, timeout_us: int):
+        self.moves, self.start, self.timeout = moves, start, timeout_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "state string, us long")
+        self.held = handle.getListState("held", "us long, seq string, state string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for pdf in rows:
+            self.held.appendList(list(zip(pdf["us"].tolist(), pdf["seq"].tolist(), pdf["state"].tolist())))
+            first = pdf["us"].min() if first is None else min(first, pdf["us"].min())
+        self._wake(int(first))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted(self.held.get(), key=lambda r: (r[0], _order(r[1]))) if self.held.exists() else []
+        ready = [r for r in held if r[0] <= now]
+        if ready:
+            later = held[len(ready) :]
+            self.held.put(later) if later else self.held.clear()
+        else:
+            later = held
+        before, since = self.last.get() if self.last.exists() else (self.start, None)
+        out = []
+        for us, seq, state in ready:
+            if self._silent(since, us):
+                out.append((None, before, "failed"))
+                before = self.start
+            out.append((seq, before, state))
+            before, since = state, us
+        if self._silent(since, min(now, later[0][0]) if later else now):
+            out.append((None, before, "failed"))
+            before, since = self.start, None
+        if since is not None:
+            self.last.update((before, since))
+        elif self.last.exists():
+            self.last.clear()
+        if self.timeout and since is not None:
+            self._wake(since + self.timeout)
+        if later:
+            self._wake(later[0][0])
+        if out:
+            yield pd.DataFrame({"run_id": [key[0]] * len(out), "seq": [r[0] for r in out], "before": [r[1] for r in out], "state": [r[2] for r in out], "is_valid": [r[1:] in self.moves for r in out]})
+
+    def _silent(self, since: int | None, until: int) -> bool:
+        return bool(self.timeout) and since is not None and since + self.timeout <= until
+
+    def _wake(self, us: int) -> None:
+        """At the first whole millisecond from ``us`` on."""
+        self.handle.registerTimer(-(-us // 1000))
+
+    def close(self) -> None:
+        pass
+
+
+def _order(seq: str | None) -> tuple:
+    """Numbers by value, ahead of other names; null first."""
+    try:
+        return (0,) if seq is None else (1, int(seq), "")
+    except ValueError:
+        return (2, 0, seq)
 
 
 def stream_transitions(log: DataFrame, allowed: Mapping[str, Sequence[str]] = ev.TRANSITIONS, start: str = "idle", timeout: str | None = None, delay: str = "1 hour") -> DataFrame:
-    """Moves per run with their verdict: ``log(run_id, seq, state, ts)`` to ``(run_id, seq, before, state,
-    is_valid)``.
+    """Moves per run with their verdict: ``log(run_id, seq, state, ts)`` to ``(run_id, seq, before, state, is_valid)``.
 
-    The state of a run is its last state name.  With ``timeout`` a run that stays silent that long in
-    event time is reported as a move to ``failed``.
+    Rows may arrive in any order and in any batch: a row waits until the watermark (``delay`` behind the latest time seen)
+    has passed it, and the rows of a run leave by (ts, seq), so each meets its true predecessor. Rows that come later than
+    that are dropped. With ``timeout`` a run that stays silent so long in event time is reported as a move to ``failed``
+    (seq null) and starts anew, also between two rows that arrive together. Run it with ``run_to_table``, which chooses a
+    state store that has lists and timers; a run's list holds what came within the delay.
     """
     moves = {(a, b) for a, bs in allowed.items() for b in bs}
     rid, sid = (dict(log.dtypes)[c] for c in ("run_id", "seq"))
-    ms = int(pd.Timedelta(timeout).total_seconds() * 1000) if timeout else 0
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get[0] if state.exists else start
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"run_id": [key[0]], "seq": [None], "before": [before], "state": ["failed"], "is_valid": [(before, "failed") in moves]})
-            return
-        pdf = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        names = pdf["state"].tolist()
-        prev = [before, *names[:-1]]
-        state.update((names[-1],))
-        if ms:
-            # a late row must not ask for a time before the watermark
-            due = int(pdf["ts"].max().timestamp() * 1000) + ms
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"run_id": pdf["run_id"].tolist(), "seq": pdf["seq"].tolist(), "before": prev, "state": names, "is_valid": [m in moves for m in zip(prev, names)]})
-
-    kind = GroupStateTimeout.EventTimeTimeout if timeout else GroupStateTimeout.NoTimeout
-    src = log.withWatermark("ts", delay) if timeout else log
-    return src.groupBy("run_id").applyInPandasWithState(
-        step, f"run_id {rid}, seq {sid}, before string, state string, is_valid boolean", "last string", "append", kind
+    src = log.withWatermark("ts", delay).select("run_id", F.col("seq").cast("string").alias("seq"), "state", "ts", F.unix_micros("ts").alias("us"))
+    made = src.groupBy("run_id").transformWithStateInPandas(
+        _Moves(moves, start, int(pd.Timedelta(timeout) / pd.Timedelta(microseconds=1)) if timeout else 0),
+        f"run_id {rid}, seq string, before string, state string, is_valid boolean", "Append", "EventTime",
     )
+    return made.withColumn("seq", F.col("seq").cast(sid))
 
 
 def stream_latency(chunks: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:

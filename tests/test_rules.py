@@ -1,5 +1,4 @@
 import json
-import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +9,6 @@ from corpusloom.operators import chunks as ck
 from corpusloom.operators import evaluation as ev
 from corpusloom.operators import store as st
 from corpusloom.sources import readers as rd
-from corpusloom.streaming import jobs
 
 EVENT = "seq long, id string, datasource_id string, canonical_name string, entity_type string, alias string, enabled boolean, reviewed boolean, deleted boolean, updated_at string"
 
@@ -114,17 +112,6 @@ def test_ids_must_be_unique(spark):
         st.assign_doc_ids(spark.createDataFrame([(1, "a"), (1, "b")], "i int, text string"), id_col="i")
 
 
-def test_silent_run_fails_by_timeout(spark, tmp_path):
-    for n, rows in enumerate(([("r", 1, "starting", "2024-01-01 00:00:00")], [("other", 2, "starting", "2024-01-02 00:00:00")], [("other", 3, "running", "2024-01-02 00:00:01")])):
-        with open(tmp_path / f"{n}.json", "w") as f:
-            for r in rows:
-                f.write(json.dumps(dict(zip(("run_id", "seq", "state", "ts"), r))) + "\n")
-        os.utime(tmp_path / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))
-    s = spark.readStream.schema("run_id string, seq long, state string, ts timestamp").option("maxFilesPerTrigger", 1).json(str(tmp_path))
-    out = jobs.run_to_table(jobs.stream_transitions(s, timeout="1 hour", delay="1 second"), "t").collect()
-    assert ("r", "starting", "failed", True) in {(r.run_id, r.before, r.state, r.is_valid) for r in out}
-
-
 def test_context_keeps_every_line_of_a_long_list(spark):
     from corpusloom.operators import context as cx
 
