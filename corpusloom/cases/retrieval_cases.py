@@ -211,3 +211,23 @@ def doc_chunks(t):
 def _(spark, sf):
     t = tables(spark, sf)
     return lx.bm25_top_k(_bench(t), lx.bm25_index(doc_chunks(t)), 4)
+
+
+@case(
+    "g18_bm25_of_candidates",
+    f"""WITH cand AS (SELECT b.item_id, row_number() OVER (PARTITION BY b.item_id ORDER BY doc_id) AS ord, doc_id FROM benchmark b JOIN documents d ON d.doc_id % 20 = b.item_id % 20),
+    tk AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS t FROM documents),
+    c AS (SELECT item_id, ord, doc_id, t, len(t) AS dl FROM cand JOIN tk USING (doc_id) WHERE len(t) > 0),
+    st AS (SELECT item_id, count(*) AS n, avg(dl) AS avgdl FROM c GROUP BY 1),
+    tf AS (SELECT item_id, ord, doc_id, dl, term, count(*) AS tf FROM (SELECT *, unnest(t) AS term FROM c) GROUP BY ALL),
+    i0 AS (SELECT item_id, term, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf JOIN st USING (item_id) GROUP BY 1, 2),
+    mi AS (SELECT item_id, avg(idf) AS m FROM i0 GROUP BY 1), qt AS (SELECT DISTINCT item_id, unnest({TERMS}) AS term FROM benchmark),
+    sc AS (SELECT item_id, ord, doc_id, round(sum(CASE WHEN idf < 0 THEN 0.25 * m ELSE idf END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS s
+        FROM qt JOIN i0 USING (item_id, term) JOIN mi USING (item_id) JOIN tf USING (item_id, term) JOIN st USING (item_id) GROUP BY ALL)
+    SELECT item_id AS query_id, rank, 'd' || doc_id AS chunk_id, s AS bm25_score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, ord) AS rank FROM sc WHERE s > 0) WHERE rank <= 4""".replace("\\\\", "\\"),
+)
+def _(spark, sf):
+    t = tables(spark, sf)
+    docs = _chunks(t)
+    mine = t("benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 20).alias("m")).join(docs.select("chunk_id", "ord", (F.col("ord") % 20).alias("m")), "m")
+    return lx.bm25_of_candidates(mine.select("query_id", "ord", "chunk_id"), _bench(t), docs)

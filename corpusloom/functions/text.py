@@ -145,11 +145,8 @@ def take_tokens(c: Column, budget: Column | int) -> Column:
 
 def analyse(c: Column) -> Column:
     """Search terms of a text: lower-cased letter/digit runs; Han runs give characters and bigrams."""
-    runs = F.regexp_extract_all(
-        F.lower(text_or_empty(c)),
-        F.lit(r"\p{IsHan}+|[\p{L}\p{N}&&[^\p{IsHan}]]+"),
-        F.lit(0),
-    )
+    low = F.lower(text_or_empty(c))
+    runs = F.regexp_extract_all(low, F.lit(r"\p{IsHan}+|[\p{L}\p{N}&&[^\p{IsHan}]]+"), F.lit(0))
 
     def han_terms(x: Column) -> Column:
         n = F.length(x)
@@ -159,9 +156,11 @@ def analyse(c: Column) -> Column:
         chars = F.split(x, "")
         return F.when(n > 1, F.concat(bigrams, chars)).otherwise(chars)
 
-    return F.flatten(
+    mixed = F.flatten(
         F.transform(runs, lambda x: F.when(x.rlike(r"^\p{IsHan}"), han_terms(x)).otherwise(F.array(x)))
     )
+    # most texts have no Han character: their runs are their terms
+    return F.when(low.rlike(r"\p{IsHan}"), mixed).otherwise(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
 
 
 def keyword_terms(query: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
@@ -93,57 +93,147 @@ def lexical_top_k(queries: DataFrame, chunks: DataFrame, k: int, salts: int = 8)
 
 @dataclass
 class Bm25Index:
-    """``postings(term, chunk_id, tf)``, ``chunks(chunk_id, ord, dl)``, ``terms(term, df, idf)`` and the
-    corpus scalars."""
+    """``postings(term, chunk_id, ord, gain)``, ``terms(term, df, idf, peak)`` and the largest df.
+
+    ``gain`` is what a posting adds for a weight of one, ``peak`` its largest value of the term.
+    """
 
     postings: DataFrame
-    chunks: DataFrame
     terms: DataFrame
-    avgdl: float
     max_df: int
 
 
-def bm25_index(chunks: DataFrame, analyser: Callable[[Column], Column] = tx.analyse, epsilon: float = 0.25) -> Bm25Index:
+def _idf(n: Column, df: Column) -> Column:
+    return F.log(n - df + 0.5) - F.log(df + 0.5)
+
+
+def _gain(tf: Column, dl: Column, avgdl: Column, k1: float, b: float) -> Column:
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+
+
+def bm25_index(chunks: DataFrame, analyser: Callable[[Column], Column] = tx.analyse, epsilon: float = 0.25, k1: float = 1.5, b: float = 0.75) -> Bm25Index:
     """Inverted index of ``chunks(chunk_id, ord, content)``; keep its tables to answer many batches."""
-    toks = cut(chunks.select("chunk_id", "ord", analyser(F.col("content")).alias("t")).where(F.size("t") > 0))
-    postings = cut(toks.select("chunk_id", F.explode("t").alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf")))
-    docs = toks.select("chunk_id", "ord", F.size("t").alias("dl"))
-    n, total = docs.agg(F.count(F.lit(1)), F.sum("dl")).first()
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.withColumn("idf", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    raw = cut(raw)
+    # written before it is filtered: a filter would be pushed down and analyse every text a second time
+    toks = cut(chunks.select("chunk_id", "ord", analyser(F.col("content")).alias("t"))).where(F.size("t") > 0)
+    n, total = toks.agg(F.count(F.lit(1)), F.sum(F.size("t"))).first()
+    # the chunk's own columns travel with its terms, so that no later join has to fetch them
+    rows = toks.select("chunk_id", "ord", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    counted = rows.groupBy("term", "chunk_id", "ord", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    avgdl = F.lit(total / n if n else 1.0)
+    postings = cut(counted.select("term", "chunk_id", "ord", _gain(F.col("tf"), F.col("dl"), avgdl, k1, b).alias("gain")))
+    raw = cut(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("gain").alias("peak")).withColumn("idf", _idf(F.lit(float(n)), F.col("df"))))
     mean, max_df = raw.agg(F.avg("idf"), F.max("df")).first()
     # a term in more than half of the chunks gets a share of the mean instead of a negative weight
     terms = raw.withColumn("idf", F.when(F.col("idf") < 0, F.lit(epsilon * (mean or 0.0))).otherwise(F.col("idf")))
-    return Bm25Index(postings, docs, terms, (total or 0) / n if n else 0.0, max_df or 0)
+    return Bm25Index(postings, terms, max_df or 0)
 
 
-def bm25_scores(index: Bm25Index, query_terms: DataFrame, k1: float = 1.5, b: float = 0.75, among: DataFrame | None = None) -> DataFrame:
-    """``(query_id, chunk_id, ord, score)`` of positive scores.
+def _hits(index: Bm25Index, weights: DataFrame) -> DataFrame:
+    """``(query_id, chunk_id, ord, part)`` per posting of the terms of ``weights(query_id, term, w)``.
 
-    ``query_terms(query_id, term)``; ``among(query_id, chunk_id)`` restricts the candidates.  The
-    postings of a frequent term are spread over as many splits as their number asks for.
+    The postings of a frequent term are spread over as many splits as their number asks for.
     """
     splits = max(1, -(-index.max_df // POSTING_ROWS))
-    q = query_terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf")).join(index.terms, "term")
-    p = index.postings
+    p, on = index.postings, ["term"]
     if splits > 1:
-        q = q.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-        p = p.withColumn("_s", F.pmod(F.xxhash64("chunk_id"), F.lit(splits)).cast("int"))
-    on = ["term", "_s"] if splits > 1 else ["term"]
-    hits = p.join(q, on)
-    if among is not None:
-        hits = hits.join(among, ["query_id", "chunk_id"], "left_semi")
-    hits = hits.join(index.chunks, "chunk_id")
-    gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / index.avgdl))
-    return hits.groupBy("query_id", "chunk_id", "ord").agg(F.round(F.sum(gain * F.col("qf")), 6).alias("score")).where("score > 0")
+        weights = weights.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+        p, on = p.withColumn("_s", F.pmod(F.xxhash64("chunk_id"), F.lit(splits)).cast("int")), ["term", "_s"]
+    return p.join(weights, on).select("query_id", "chunk_id", "ord", (F.col("w") * F.col("gain")).alias("part"))
+
+
+def _summed(hits: DataFrame) -> DataFrame:
+    return hits.groupBy("query_id", "chunk_id", "ord").agg(F.sum("part").alias("part"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tx.keyword_terms(F.col("query"))).alias("term"))
 
 
-def bm25_top_k(queries: DataFrame, index: Bm25Index, k: int = 4, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """Best chunks per query ``(query_id, rank, chunk_id, bm25_score)``, ties by chunk order."""
-    scores = bm25_scores(index, query_terms(queries), k1, b)
+def _weights(index: Bm25Index, terms: DataFrame) -> DataFrame:
+    """``(query_id, term, df, w, peak)``: a term's weight counts each time the query names it."""
+    q = terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf")).join(index.terms, "term")
+    return q.select("query_id", "term", "df", (F.col("idf") * F.col("qf")).alias("w"), "peak")
+
+
+def bm25_scores(index: Bm25Index, terms: DataFrame) -> DataFrame:
+    """``(query_id, chunk_id, ord, score)``: all positive scores of ``terms(query_id, term)``."""
+    return _summed(_hits(index, _weights(index, terms))).withColumn("score", F.round("part", 6)).drop("part").where("score > 0")
+
+
+#: Postings per wanted row that the first look at a query's most valuable terms may read.
+PROBE = 1000
+#: Scores are rounded to six places; a bound has to miss by more than that.
+SLACK = 2e-6
+
+
+def bm25_plan(queries: DataFrame, index: Bm25Index, k: int) -> DataFrame:
+    """``(query_id, term, df, w, must, tail, least)``: which postings a query has to read in full.
+
+    A query's terms stand by the most that a posting of theirs can add. The rarest and heaviest of them (as many as
+    ``PROBE * k`` postings hold, the first one always) give every query ``k`` chunks whose scores the k-th best final score
+    cannot be below: the floor. A chunk that has none of the terms before some place can reach at most what the terms from
+    there on add together; where that is below the floor, their postings need not be searched for new chunks (``must`` is
+    false), only read for chunks found already. ``tail`` is the most that
+    those terms can add, ``least`` (0 unless weights are negative) the least that all can.
+    """
+    w = _weights(index, query_terms(queries))
+    top = F.greatest(F.col("w") * F.col("peak"), F.lit(0.0))
+    by_top = Window.partitionBy("query_id").orderBy(F.desc("top"), "df", "term")  # the terms of one query text
+    w = w.withColumn("top", top).withColumn("low", F.least(F.col("w") * F.col("peak"), F.lit(0.0)))
+    before = by_top.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    onward = by_top.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    w = w.withColumn("read", F.sum("df").over(before)).withColumn("rest", F.sum("top").over(onward)).withColumn("place", F.row_number().over(by_top))
+    w = cut(w.withColumn("least", F.sum("low").over(Window.partitionBy("query_id"))))
+    probe = _summed(_hits(index, w.where((F.col("read") <= PROBE * k) | (F.col("place") == 1)).select("query_id", "term", "w")))
+    w = w.join(_floors(probe, w, k), "query_id", "left")
+    must = F.coalesce(F.col("rest") >= F.col("floor"), F.lit(True))
+    w = w.withColumn("must", must).withColumn("tail", F.coalesce(F.max(F.when(~must, F.col("rest"))).over(Window.partitionBy("query_id")), F.lit(0.0)))
+    return w.select("query_id", "term", "df", "w", "must", "tail", "least")
+
+
+def _floors(parts: DataFrame, w: DataFrame, k: int) -> DataFrame:
+    """``(query_id, floor)``: what the k-th best score is at least, from sums over some terms; no row below k chunks."""
+    best = top_k(parts, "query_id", [F.desc("part"), F.col("ord")], k).groupBy("query_id").agg(F.min("part").alias("kth"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k)
+    least = w.groupBy("query_id").agg(F.first("least").alias("least"))
+    return best.join(least, "query_id").select("query_id", (F.col("kth") + F.col("least") - SLACK).alias("floor"))
+
+
+def bm25_reads(plan: DataFrame) -> DataFrame:
+    """``(query_id, postings, searched)`` of a ``bm25_plan``: all postings of its terms, and those searched for chunks."""
+    return plan.groupBy("query_id").agg(F.sum("df").alias("postings"), F.sum(F.when(F.col("must"), F.col("df")).otherwise(0)).alias("searched"))
+
+
+def bm25_top_k(queries: DataFrame, index: Bm25Index, k: int = 4) -> DataFrame:
+    """Best chunks per query ``(query_id, rank, chunk_id, bm25_score)``, ties by chunk order; exact (see ``bm25_plan``)."""
+    plan = cut(bm25_plan(queries, index, k))
+    found = cut(_summed(_hits(index, plan.where("must").select("query_id", "term", "w"))))
+    # the sums so far raise the floor; only chunks that can still reach it get the rest of their score
+    tails = plan.groupBy("query_id").agg(F.first("tail").alias("tail"))
+    found = found.join(tails, "query_id").join(_floors(found, plan, k), "query_id", "left")
+    found = cut(found.where(F.col("floor").isNull() | (F.col("part") + F.col("tail") >= F.col("floor"))).select("query_id", "chunk_id", "ord", "part"))
+    late = plan.where("not must").select("query_id", "term", "w")
+    held = index.postings.join(found.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    more = _hits(Bm25Index(held, index.terms, index.max_df), late).join(found.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
+    scores = _summed(found.unionByName(more)).withColumn("score", F.round("part", 6)).where("score > 0")
+    return top_k(scores, "query_id", [F.desc("score"), F.col("ord")], k).select("query_id", "rank", "chunk_id", F.col("score").alias("bm25_score"))
+
+
+def bm25_of_candidates(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, k: int = 4, analyser: Callable[[Column], Column] = tx.analyse, epsilon: float = 0.25, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """Best chunks per query among its own candidates, which are also the corpus that its statistics come from.
+
+    ``candidates(query_id, ord, chunk_id)`` as of ``candidate_ids``; result as of ``bm25_top_k``, ties by candidate order.
+    Every sum is grouped by query, so candidate lists may be of any size.
+    """
+    toks = chunks.join(candidates.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", analyser(F.col("content")).alias("t"))
+    toks = cut(toks).where(F.size("t") > 0)
+    corpus = cut(candidates.select("query_id", "ord", "chunk_id").join(toks.select("chunk_id", "t", F.size("t").alias("dl")), "chunk_id"))
+    stats = corpus.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    tf = cut(corpus.select("query_id", "ord", "chunk_id", "dl", F.explode("t").alias("term")).groupBy("query_id", "ord", "chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+    raw = cut(tf.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df")).join(stats, "query_id").withColumn("idf", _idf(F.col("n"), F.col("df"))))
+    mean = raw.groupBy("query_id").agg(F.avg("idf").alias("mean"))
+    asked = query_terms(queries).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
+    w = raw.join(asked, ["query_id", "term"]).join(mean, "query_id")
+    w = w.withColumn("w", F.col("qf") * F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf"))).select("query_id", "term", "w", "avgdl")
+    part = F.col("w") * _gain(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
+    scores = _summed(tf.join(w, ["query_id", "term"]).withColumn("part", part)).withColumn("score", F.round("part", 6)).where("score > 0")
     return top_k(scores, "query_id", [F.desc("score"), F.col("ord")], k).select("query_id", "rank", "chunk_id", F.col("score").alias("bm25_score"))

@@ -186,3 +186,28 @@ def test_score_pair(spark):
     assert (got["燃油系统"].score, got["燃油系统"].exact) == (1020.0, True)
     assert (got["卡滞（阀）"].score, got["卡滞（阀）"].exact) == (1025.0, True)
     assert (got["阀"].score, got["阀"].exact) == (0.0, False)
+
+
+def test_bounded_bm25_equals_all_scores(spark):
+    """The bounds leave out postings, never results; with ties, repeated query terms and fewer than k hits."""
+    import random
+
+    from corpusloom.operators import lexical as lx
+
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(60)]
+    text = lambda n: " ".join(words[min(59, int(rng.expovariate(0.08)))] for _ in range(n))
+    chunks = spark.createDataFrame([(f"c{i}", i, text(rng.randint(1, 60))) for i in range(400)] + [("copy", 400, "w59 w58"), ("copy2", 401, "w59 w58"), ("none", 402, "")], "chunk_id string, ord int, content string")
+    queries = spark.createDataFrame([(i, text(rng.randint(2, 12))) for i in range(30)] + [(90, "w59 w58"), (91, "nowhere else"), (92, ""), (93, "w0 w1 w0")], "query_id int, query string")
+    index = lx.bm25_index(chunks)
+    lx.PROBE, before = 10, lx.PROBE
+    try:
+        got = {(r.query_id, r["rank"]): (r.chunk_id, r.bm25_score) for r in lx.bm25_top_k(queries, index, 4).collect()}
+        reads = lx.bm25_reads(lx.bm25_plan(queries, index, 4)).agg({"postings": "sum", "searched": "sum"}).first()
+    finally:
+        lx.PROBE = before
+    rows = {}
+    for r in lx.bm25_scores(index, lx.query_terms(queries)).collect():
+        rows.setdefault(r.query_id, []).append((-r.score, r.ord, r.chunk_id))
+    want = {(q, k + 1): (c, -s) for q, rs in rows.items() for k, (s, _, c) in enumerate(sorted(rs)[:4])}
+    assert got == want and reads["sum(searched)"] < reads["sum(postings)"]
