@@ -40,3 +40,10 @@ def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def hash128(*cols: Column) -> list[Column]:
     """Two 64-bit hashes: enough bits that 10^12 keys do not meet by chance."""
     return [F.xxhash64(*cols).alias("h1"), F.xxhash64(F.lit("second"), *cols).alias("h2")]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of the frame has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name

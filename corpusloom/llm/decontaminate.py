@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import SHINGLE, SIMILAR, texts, word_list
+from corpusloom.llm.common import SHINGLE, SIMILAR, free_name, texts, word_list
 from corpusloom.plans.session import cut
 
 #: Fingerprints of windows at similarity 0.8 differ in about 10 of 64 bits (deviation 3), so 20 leaves out 1 in 5,000 at that edge.
@@ -129,5 +129,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 def drop_leaked(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs``, all columns, whose id find_leaks does not list; rows without id are judged by their text's
     own leaks as one document."""
-    leaked = find_leaks(docs, items, id_col, text_col).select(F.col(id_col).alias("leaked_id")).distinct()
-    return docs.join(cut(leaked), F.col(f"`{id_col}`").eqNullSafe(F.col("leaked_id")), "left_anti")
+    name = free_name(docs, "leaked")
+    leaked = find_leaks(docs, items, id_col, text_col).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(cut(leaked), F.col(f"`{id_col}`").eqNullSafe(F.col(name)), "left_anti")

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import SIMILAR, texts
+from corpusloom.llm.common import SIMILAR, free_name, hash128, texts, word_list
 from corpusloom.llm.shingles import flat, mix, shingles, slices, word_hashes
-from corpusloom.plans.session import cut
+from corpusloom.plans.session import cut, drop
 
 #: Two texts at similarity 0.8 agree in a band with probability 0.8^8 = 0.17 and in none of 64 with 8 in a million.
 BANDS, ROWS = 64, 8
-SEEDS = {"level": 0x51, "place": 0x7C15, "slot": 0xA3, "height": 0xE7}
+SEEDS = {"slot": 0xA3, "height": 0xE7}
 
 
 def counted(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,8 +85,8 @@ def bands_of(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """id, content (two hashes of the shingle multiset), bands; per input row."""
-    out = T.StructType([docs.schema["id"], T.StructField("c1", T.LongType()), T.StructField("c2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    """id, bands, slots (a byte of each signature slot); per input row."""
+    out = T.StructType([docs.schema["id"], T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("slots", T.BinaryType())])
 
     def run(batches):
         for batch in batches:
@@ -97,38 +97,47 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     d = min(b, c + 500)
                     h, count = shingles(words[ends[c] : ends[d]], size[c:d])
                     h, r, w = counted(h, np.repeat(np.arange(d - c), count))
-                    one = mix(h ^ mix(w.astype(np.uint64)))
-                    content = np.zeros((2, d - c), np.uint64)
-                    np.add.at(content[0], r, one)
-                    np.add.at(content[1], r, mix(one ^ np.uint64(SEEDS["place"])))
-                    found = bands_of(signatures(h, r, w, d - c, bands * rows), bands, rows)
+                    sig = signatures(h, r, w, d - c, bands * rows)
+                    found = bands_of(sig, bands, rows)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(d - c + 1, dtype=np.int32) * bands), pa.array(found.ravel().view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(c, d - c), *(pa.array(x.view(np.int64)) for x in content), lists], names=out.names)
+                    low = (mix(sig.view(np.uint64)) & np.uint64(0xFF)).astype(np.uint8)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(c, d - c), lists, pa.array([x.tobytes() for x in low], pa.binary())], names=out.names)
 
     return docs.select("id", word_hashes(F.col("text")).alias("words")).mapInArrow(run, out)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
-    """Those pairs (a, b) whose texts' shingle multisets overlap by ``similar`` or more, with the similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct()
-    some = docs.join(ids, docs["id"] == ids["need"], "left_semi").select("id", word_hashes(F.col("text")).alias("words"))
-    some = cut(some)
-    both = pairs.join(some.withColumnsRenamed({"id": "a", "words": "wa"}), "a").join(some.withColumnsRenamed({"id": "b", "words": "wb"}), "b")
+def verified(pairs: DataFrame, hashed: DataFrame, similar: float) -> DataFrame:
+    """Those pairs (a, b) whose texts' shingle multisets overlap by ``similar`` or more, with the similarity; ``hashed`` has
+    the word hashes of each id."""
+    both = pairs.join(hashed.withColumnsRenamed({"id": "a", "words": "wa"}), "a").join(hashed.withColumnsRenamed({"id": "b", "words": "wb"}), "b")
     out = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("similarity", T.DoubleType())])
 
     def run(batches):
         for batch in batches:
-            got = []
             sides = [flat(batch.column(k)) for k in (2, 3)]
             ends = [np.concatenate([[0], np.cumsum(s)]) for _, s in sides]
+            ids = [batch.column(k).to_numpy() for k in (0, 1)]
+            known: dict[int, tuple] = {}  # a text's shingles are counted once a batch
+
+            def bag(side, i):
+                key = ids[side][i]
+                if key not in known:
+                    (w, s), e = sides[side], ends[side]
+                    h = shingles(w[e[i] : e[i + 1]], s[i : i + 1])[0]
+                    known[key] = (*np.unique(h, return_counts=True), len(h))
+                return known[key]
+
+            got = np.zeros(batch.num_rows)
             for i in range(batch.num_rows):
-                x, y = (shingles(w[e[i] : e[i + 1]], s[i : i + 1])[0] for (w, s), e in zip(sides, ends))
-                (u, p), (v, q) = (np.unique(z, return_counts=True) for z in (x, y))
-                _, i1, i2 = np.intersect1d(u, v, assume_unique=True, return_indices=True)
-                shared = int(np.minimum(p[i1], q[i2]).sum())
-                got.append(shared / max(1, len(x) + len(y) - shared))
-            keep = np.array(got) >= similar - 1e-12 if got else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.float64())], names=out.names).filter(pa.array(keep))
+                (u, p, m), (v, q, n) = bag(0, i), bag(1, i)
+                if min(m, n) < similar * max(m, n) - 1e-9:  # cannot overlap enough
+                    continue
+                at = np.minimum(np.searchsorted(v, u), max(0, len(v) - 1))
+                same = v[at] == u if len(v) else np.zeros(len(u), bool)
+                shared = int(np.minimum(p[same], q[at[same]]).sum())
+                got[i] = shared / max(1, m + n - shared)
+            keep = got >= similar - 1e-12
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got)], names=out.names).filter(pa.array(keep))
 
     return both.select(F.col("a").cast("long"), F.col("b").cast("long"), "wa", "wb").mapInArrow(run, out)
 
@@ -141,75 +150,165 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.withColumnsRenamed({"id": "b", "root": "r"}), "b").groupBy("a").agg(F.min("r").alias("r"))
         step = cut(labels.join(near, labels["id"] == near["a"], "left").select("id", "root", F.least("root", "r").alias("best")))
-        jump = step.select(F.col("id").alias("via"), F.col("best").alias("far"))
-        after = cut(step.join(jump, step["best"] == jump["via"], "left").select("id", F.col("root").alias("was"), F.least("best", "far").alias("root")))
+        # only labels in use are looked up: few rows, however large a class is
+        used = step.groupBy(F.col("best").alias("via")).agg(F.lit(1).alias("one")).drop("one")
+        jump = step.select("id", F.col("best").alias("far")).join(used, F.col("id") == F.col("via")).select("via", "far")
+        after = cut(step.join(jump, F.col("best") == F.col("via"), "left").select("id", F.col("root").alias("was"), F.least("best", "far").alias("root")))
         labels = after.select("id", "root")
         if after.where("root <> was").isEmpty():
             return labels
 
 
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (id, root) after linking the classes of the ends of ``edges``; works on classes, not on their members."""
+    ends = [labels.withColumnsRenamed({"id": x, "root": f"r{x}"}) for x in ("a", "b")]
+    between = cut(edges.select("a", "b").join(ends[0], "a").join(ends[1], "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct())
+    if between.isEmpty():
+        return labels
+    touched = between.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    new = components(touched, between).select(F.col("id").alias("old"), F.col("root").alias("new")).where("old <> new")
+    return cut(labels.join(new, labels["root"] == new["old"], "left").select("id", F.coalesce("new", "root").alias("root")))
+
+
+#: Bands are worked through in so many parts, each written and deleted by itself.
+PARTS = 4
+#: Rounds in which members outside their bucket's largest class meet one member of it; rows of a block in the last step.
+ROUNDS, BLOCK = 2, 256
+#: The last step reads two texts only if so large a share of their slots agree. Two texts at exactly 0.8 agree in fewer
+#: of 512 with 3 in a million.
+AGREE = 0.72
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per distinct id: id, class_id (smallest id of its class), class_size.
 
     Documents are linked if the multisets of their five-word shingles have a weighted Jaccard similarity of
     ``similar`` or more; classes are what links connect. Texts of fewer than five words are one shingle, texts
     without words (null, empty) are copies of each other. Ids are whole numbers; rows without id take no part; of
-    several rows with one id the smallest text counts. An empty table gives no rows.
-
-    Copies (equal multisets) are grouped first, with map-side aggregation, and only the smallest id of each goes on.
-    Bands of equal signature rows form buckets. No bucket's pairs are written out: a document is compared with the
-    smallest and the largest id of all its buckets, then those not yet connected with each of their buckets' two
-    ends, and at last, in buckets that still hold several classes, every member outside the first one with every
-    member of another class. So each pair that shares a bucket is either compared or connected otherwise.
+    several rows with one id one text counts (that of the smallest hash). An empty table gives no rows.
+
+    Texts of equal words are grouped by hash first, with map-side aggregation, and only the smallest id of each is signed.
+    Bands of equal signature rows form buckets. A document is compared with the smallest and the largest id of all its
+    buckets. In buckets that then still hold several classes, each member outside the largest class is compared with one
+    member of that class, another one each round: whoever belongs to it mostly meets a similar one soon, at one pair a
+    member. What is still open after that is compared in full, signature by signature in blocks inside tasks (``_agreeing``);
+    only pairs of different classes whose signatures agree come out and have their texts compared. So each pair that shares
+    a bucket is decided or connected otherwise, and no step emits the pairs of a group.
     """
     own = texts(docs, id_col, text_col).where(F.col("id").isNotNull()).withColumn("id", F.col("id").cast("long"))
-    seen = cut(signed(own, bands, rows).groupBy("id").agg(F.min(F.struct("c1", "c2", "bands")).alias("s")).select("id", "s.*"))
-    copies = cut(seen.groupBy("c1", "c2").agg(F.min("id").alias("leader")))
-    leads = seen.join(copies, (seen["id"] == copies["leader"]), "left_semi").select("id", "bands")
-    keys = cut(leads.select("id", F.explode("bands").alias("key")))
-    buckets = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("n > 1"))
-    members = cut(keys.join(buckets, "key").select("key", "id", "low", "high"))
-
-    ends = members.groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    nodes = cut(ends.select("id"))
-    edges = cut(verified(_pairs(ends), own, similar))
-    roots = components(nodes, edges)
-
-    open_ = _unsettled(members, roots)
-    more = cut(_pairs(open_.select("id", "low", "high")).join(edges, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        edges = cut(edges.unionByName(verified(more, own, similar)))
-        roots = components(nodes, edges)
-        open_ = cut(_unsettled(members, roots))
-        other = open_.select("key", F.col("id").alias("b"), F.col("root").alias("root_b"))
-        rest = open_.where("root <> low_root").select("key", F.col("id").alias("a"), F.col("root").alias("root_a")).join(other, "key").where("root_a <> root_b")
-        rest = cut(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(more, ["a", "b"], "left_anti"))
-        if not rest.isEmpty():
-            edges = cut(edges.unionByName(verified(rest, own, similar)))
-            roots = components(nodes, edges)
-
-    roots = roots.withColumnsRenamed({"id": "leader"})
-    classes = cut(copies.join(roots, "leader", "left").select("c1", "c2", F.coalesce("root", "leader").alias("class_id")))
-    named = cut(seen.select("id", "c1", "c2").join(classes, ["c1", "c2"]).select("id", "class_id"))
+    seen = own.select("id", word_list(F.col("text")).alias("w")).select("id", *hash128("w"))
+    seen = cut(seen.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("s"), F.count(F.lit(1)).alias("n")).select("id", "s.*", "n"))
+    copies = cut(seen.groupBy("h1", "h2").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1"))
+    others = cut(seen.join(copies, ["h1", "h2"]).where("id <> leader").select("id"))
+    leads = own.join(others, "id", "left_anti")
+    twice = seen.where("n > 1").select("id", "h1", "h2")  # ids with several rows: the text that counts
+    if not twice.isEmpty():
+        h = dict(zip(("k1", "k2"), hash128(word_list(F.col("text")))))
+        some = leads.join(twice, "id").where((h["k1"] == F.col("h1")) & (h["k2"] == F.col("h2"))).select("id", "text")
+        leads = leads.join(twice, "id", "left_anti").unionByName(some.groupBy("id").agg(F.min("text").alias("text")))
+    signs = cut(signed(leads, bands, rows))
+
+    parts = []
+    for p in range(PARTS):
+        size = -(-bands // PARTS)
+        keys = signs.select("id", F.explode(F.slice("bands", p * size + 1, size)).alias("key"))
+        shared = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("n > 1"))
+        parts.append(cut(keys.join(shared.drop("n"), "key").select("key", "id", "low", "high")))
+        drop(shared)
+    members = parts[0]
+    for part in parts[1:]:
+        members = members.unionByName(part)
+    slots = cut(signs.select("id", "slots").join(members.select("id").distinct(), "id", "left_semi"))
+    drop(signs)
+
+    ends = cut(members.groupBy("id").agg(F.array(F.min("low"), F.max("high")).alias("ends")))
+    labels = ends.select("id", F.col("id").alias("root"))
+    hashed = cut(leads.join(ends.select("id"), "id", "left_semi").select("id", word_hashes(F.col("text")).alias("words")))
+    tried = cut(_pairs(ends))
+    labels = merged(labels, cut(verified(tried, hashed, similar)))
+    for turn in range(ROUNDS + 1):
+        open_ = _open(members, labels)
+        if open_.isEmpty():
+            break
+        asked = _agreeing(open_, slots) if turn == ROUNDS else _met(open_, turn)
+        asked = cut(asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+        labels = merged(labels, cut(verified(asked, hashed, similar)))
+        tried = tried.unionByName(asked)
+
+    named = seen.join(copies.select("h1", "h2", "leader"), ["h1", "h2"], "left").select("id", F.coalesce("leader", "id").alias("leader"))
+    named = cut(named.join(labels.withColumnRenamed("id", "own"), F.col("leader") == F.col("own"), "left").select("id", F.coalesce("root", "leader").alias("class_id")))
     sizes = cut(named.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")))
+    drop(hashed, slots, *parts)
     return named.join(sizes, "class_id").select(F.col("id").alias(id_col), "class_id", "class_size")
 
 
 def _pairs(ends: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of each id with its low and high."""
-    both = ends.select("id", F.explode(F.array("low", "high")).alias("end")).where("id <> end")
+    """Distinct pairs a < b of each id with its ends."""
+    both = ends.select("id", F.explode("ends").alias("end")).where("id <> end")
     return both.select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct()
 
 
-def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members, with their class and that of their bucket's smallest id, of buckets that hold several classes."""
-    named = cut(members.join(roots, "id"))
-    mixed = named.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.min_by("root", "id").alias("low_root")).where("first <> last")
-    return named.join(cut(mixed.select("key", "low_root")), "key")
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, id, root, of buckets that hold several classes, and main, the bucket's largest class."""
+    named = cut(members.select("key", "id").join(labels, "id"))
+    sizes = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    return cut(named.join(mixed.select("key", "main"), "key"))
+
+
+def _met(open_: DataFrame, turn: int) -> DataFrame:
+    """Each member outside the main class with one of that class, by a hash that differs between turns."""
+    host = open_.where("root = main").groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("b"))
+    return open_.where("root <> main").select("key", F.col("id").alias("a")).join(host, "key").select("a", "b")
+
+
+def _agreeing(open_: DataFrame, slots: DataFrame) -> DataFrame:
+    """a, b: members of different classes of a bucket whose signatures agree in AGREE of their slots.
+
+    Buckets are cut into blocks by a hash of the id; a task gets two blocks at a time and compares their signatures.
+    """
+    sizes = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = open_.select("key", "id", "root").join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.select("key", "id", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("key", "id", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(slots, "id")
+    tiles = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "block", "id", "root", "slots")
+    return tiles.mapInArrow(_compared, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+
+
+def _compared(batches):
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+        cols = [table.column(c).to_numpy() for c in ("key", "i", "j")]
+        starts = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in cols])])) if len(table) else np.zeros(0, int)
+        for a, b in zip(starts[:-1], starts[1:]):
+            yield from _tile(table.slice(a, b - a))
+        rest = table.slice(starts[-1]) if len(starts) else None
+    if rest is not None:
+        yield from _tile(rest)
+
+
+def _tile(rows: pa.Table):
+    """Agreeing pairs of one tile; each member outside its most frequent class is compared with all others at once."""
+    block, ids, root = (rows.column(c).to_numpy() for c in ("block", "id", "root"))
+    sig = np.frombuffer(b"".join(rows.column("slots").to_pylist()), np.uint8).reshape(len(ids), -1)
+    names, count = np.unique(root, return_counts=True)
+    two = block.min() != block.max()
+    need = AGREE * sig.shape[1]
+    left, right = [], []
+    for x in np.flatnonzero(root != names[count.argmax()]).tolist():
+        other = np.flatnonzero((root != root[x]) & ((block != block[x]) if two else True))
+        hit = other[(sig[other] == sig[x]).sum(axis=1) >= need]
+        left.append(np.full(len(hit), ids[x]))
+        right.append(ids[hit])
+    if left:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
     """Rows of ``docs``, all columns, whose id is the smallest of its class; rows without id stay."""
     classes = near_duplicates(docs, id_col, text_col, similar)
-    gone = cut(classes.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("gone_id")))
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("gone_id"), "left_anti")
+    name = free_name(docs, "gone")
+    gone = cut(classes.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias(name)))
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(name), "left_anti")

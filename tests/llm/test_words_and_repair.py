@@ -215,3 +215,42 @@ def test_a_long_conversation_of_copies(spark):
     long = spark.range(6000).select(F.lit(1).cast("long").alias("conv"), (F.col("id") % 3000).alias("turn"), F.lit("user").alias("role"), F.when(F.col("id") % 10 == 0, F.concat(F.lit("n"), F.col("id"), F.lit("."))).otherwise("again.").alias("text"))
     r = repair.repair(long, long.select("conv").distinct()).first()
     assert (r["gaps"], r["blank"], r["truncated"], r["duplicate"]) == (0, 0, 0, 5399) and len(r["audit"]) == 6000 and r["cost"] >= 2 * 5399
+
+
+def test_a_large_group_of_near_copies_is_compared_in_proportion(spark, monkeypatch):
+    """Variants of one text, many below 0.8 of each other: classes as by brute force, and a pair row per member and round."""
+    import test_llm as plain
+
+    from corpusloom.llm import neardup
+
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(120)]
+
+    def variant():
+        words = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 2, 3, 4, 5])):
+            words[at] = f"x{rng.randrange(10**6)}"
+        return " ".join(words)
+
+    texts = [variant() for _ in range(260)] + [variant()] * 3 + [" ".join(rng.sample(base, 60)) for _ in range(5)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, gone string")
+    bags = [plain.shingle_bag(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and plain.similarity(bags[i], bags[j]) >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    compared = []
+    real = neardup.verified
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(neardup, "verified", counted)
+    monkeypatch.setattr(neardup, "BLOCK", 50)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs).collect()}
+    assert got == dict(enumerate(root)) and sum(compared) < 20 * len(texts) < len(texts) ** 2 / 6
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
