@@ -219,14 +219,17 @@ def _(spark, sf):
     return c.select("category", "question", F.md5("gold_answer").alias("answer_md5"), F.array_join("record_keys", "|").alias("record_key"))
 
 
+# 300 pair numbers per equipment, spread over all pairs of its records
 @case(
     "i14_qa_candidates_pairs",
-    f"""WITH {v.REC}, f AS (SELECT equipment, fault, arg_min({KEY}, record_id || doc_name) AS k FROM rec GROUP BY 1, 2),
-    p AS (SELECT *, lead(fault) OVER w AS nf, lead(k) OVER w AS nk FROM f WINDOW w AS (PARTITION BY equipment ORDER BY fault))
-    SELECT equipment || '中，“' || fault || '”与“' || nf || '”有什么区别？' AS question, k || '|' || nk AS record_keys FROM p WHERE nf IS NOT NULL""",
+    f"""WITH {v.REC}, o AS (SELECT equipment, fault, {KEY} AS k, row_number() OVER (PARTITION BY equipment ORDER BY fault, record_id, doc_name) - 1 AS pos FROM rec),
+    t AS (SELECT equipment, count(*) * (count(*) - 1) // 2 AS n FROM o GROUP BY 1 HAVING count(*) > 1), a AS (SELECT equipment, unnest(range(least(300, n))) AS k, n FROM t),
+    d AS (SELECT equipment, k * n // least(300, n) AS p FROM a)
+    SELECT x.equipment || '中，“' || x.fault || '”与“' || y.fault || '”有什么区别？' AS question, x.k || '|' || y.k AS record_keys
+    FROM o x JOIN o y ON x.equipment = y.equipment AND x.pos < y.pos JOIN d ON d.equipment = x.equipment AND d.p = y.pos * (y.pos - 1) // 2 + x.pos WHERE x.fault <> y.fault""",
 )
 def _(spark, sf):
-    return ev.qa_candidates_pairs(v.records(tables(spark, sf))).select("question", F.array_join("record_keys", "|").alias("record_keys"))
+    return ev.qa_candidates_pairs(v.records(tables(spark, sf)), per_equipment=300).select("question", F.array_join("record_keys", "|").alias("record_keys"))
 
 
 @case(
@@ -241,7 +244,7 @@ def _(spark, sf):
 @case("i16_select_balanced", None)
 def _(spark, sf):
     r = cut(v.records(tables(spark, sf)))
-    c = ev.qa_candidates_single(r).unionByName(ev.qa_candidates_pairs(r)).unionByName(ev.qa_candidates_pairs(r, "similar_faults")).unionByName(ev.qa_candidates_common(r))
+    c = ev.qa_candidates_single(r).unionByName(ev.qa_candidates_pairs(r, per_equipment=300)).unionByName(ev.qa_candidates_pairs(r, "similar_faults", per_equipment=300)).unionByName(ev.qa_candidates_common(r))
     have = {k: n for k, n in ev.CATEGORY_TARGETS.items() if k not in ("maintenance", "precaution", "consequence")}
     out = ev.select_balanced(cut(c), have)
     return out.groupBy("category").agg(F.count(F.lit(1)).alias("n"))

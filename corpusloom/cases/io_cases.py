@@ -11,6 +11,7 @@ from corpusloom.functions import text as tx
 from corpusloom.operators import chunks as ck
 from corpusloom.operators import graph_build as gb
 from corpusloom.operators import plugins as pl
+from corpusloom.operators import store as st
 from corpusloom.plans.session import scratch_path, tables
 from corpusloom.sources import readers as rd
 from corpusloom.sources import writers as wr
@@ -156,6 +157,18 @@ def _(spark, sf):
 # --- plug-ins ---------------------------------------------------------------------------------------
 
 
+@case(
+    "l02_chunker",
+    f"""WITH l AS (SELECT DISTINCT ON (doc_id) 'd' || doc_id AS doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {q.strip('x')}), lambda x: x <> '') AS parts FROM documents)
+    SELECT doc_id AS full_doc_id, i - 1 AS chunk_order_index, 'chunk-' || md5(content) AS chunk_id, {q.ntok('content')} AS tokens
+    FROM (SELECT doc_id, unnest(parts) AS content, generate_subscripts(parts, 1) AS i FROM l)""",
+)
+def _(spark, sf):
+    docs = tables(spark, sf)("documents").select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), F.col("text").alias("content"), F.lit("pending").alias("status"))
+    _done, chunks = st.process_queue(docs, chunker=ck.chunk_by_separator("\n"))
+    return chunks.select("full_doc_id", F.col("chunk_order_index").cast("long").alias("chunk_order_index"), "chunk_id", F.col("tokens").cast("long").alias("tokens"))
+
+
 @case("l03_extract", None)
 def _(spark, sf):
     d = tables(spark, sf)("documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("ord"), F.col("text").alias("content"))

@@ -21,6 +21,15 @@ def _(spark, sf):
     return docs.select("doc_id", F.length("content").cast("long").alias("n"))
 
 
+ENTITY_TEXT = "' caf&eacute; &#233;&#x4E2D; &euro;5 &amp;lt; &nosuch; ' || doc_id"
+DECODED = "'café é中 €5 &lt; &nosuch; ' || doc_id"
+
+
+@case("b01_assign_doc_ids_entities", f"SELECT DISTINCT 'doc-' || md5({DECODED}) AS doc_id, {DECODED} AS content FROM documents")
+def _(spark, sf):
+    return st.assign_doc_ids(tables(spark, sf)("documents").select(F.expr(ENTITY_TEXT).alias("text")))
+
+
 def _new_docs(t):
     return t("documents").select(
         F.concat(F.lit("d"), "doc_id").alias("doc_id"), F.col("text").alias("content"), F.col("doc_id").alias("ord")

@@ -71,10 +71,9 @@ def alias_norm(c: Column) -> Column:
 
 
 def clean_str(c: Column) -> Column:
-    """Common entities decoded, trimmed, control characters (newline and tab included) deleted."""
-    out = strip(text_or_empty(c))
-    for entity, char in HTML_ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
+    """HTML entities decoded, trimmed, control characters (newline and tab included) deleted."""
+    raw = strip(text_or_empty(c))
+    out = F.when(F.contains(raw, F.lit("&")), decode_entities(raw)).otherwise(raw)
     return F.regexp_replace(out, r"[\x00-\x1f\x7f-\x9f]", "")
 
 

@@ -67,6 +67,28 @@ def chunk_by_tokens(
     )
 
 
+#: Makes chunks of ``(doc_id, content)`` with the columns of ``chunk_by_tokens``.
+Chunker = Callable[[DataFrame], DataFrame]
+
+
+def chunked(docs: DataFrame, id_col: str, text: str, max_tokens: int, overlap: int, chunker: Chunker | None) -> DataFrame:
+    """Chunks by the given chunker, by token windows without one."""
+    if chunker is None:
+        return chunk_by_tokens(docs, id_col, text, max_tokens, overlap)
+    return chunker(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("content"))).select("chunk_id", "full_doc_id", "chunk_order_index", "tokens", "content")
+
+
+def chunk_by_separator(separator: str = "\n", tokens: Callable[[Column], Column] = tx.count_tokens) -> Chunker:
+    """A chunker that cuts at a literal separator; blank parts are no chunks and are not numbered."""
+
+    def cut_up(docs: DataFrame) -> DataFrame:
+        parts = tx.split_markers(tx.text_or_empty(F.col("content")), [separator])
+        rows = docs.select(F.col("doc_id").alias("full_doc_id"), F.posexplode(parts).alias("chunk_order_index", "content"))
+        return rows.select(tx.md5_id(F.col("content"), "chunk-").alias("chunk_id"), "full_doc_id", "chunk_order_index", tokens(F.col("content")).cast("int").alias("tokens"), "content")
+
+    return cut_up
+
+
 def collapse_chunks(chunks: DataFrame, first_doc: str = "full_doc_id") -> DataFrame:
     """One row per chunk id: the last index within a document, then the first document to write it."""
     within = chunks.groupBy("chunk_id", "full_doc_id").agg(

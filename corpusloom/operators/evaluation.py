@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.plans.scan import neighbours, top_k
+from corpusloom.plans.scan import neighbours, prefix_scan, top_k
+from corpusloom.plans.session import cut
 
 # fixed values: score labels, preferred mode, error patterns, timing keys
 SCORE_LABELS = {1: "正确", 0: "回避或不足", -1: "错误"}
@@ -313,18 +314,58 @@ def record_summary() -> Column:
     return F.concat(F.concat_ws("；", *parts), F.lit("。"))
 
 
-def qa_candidates_pairs(records: DataFrame, category: str = "fault_distinction") -> DataFrame:
-    """Distinction questions for neighbouring faults of one equipment, in (fault, record) order: not all pairs.
+def pair_order(records: DataFrame) -> DataFrame:
+    """``(equipment, pos, fault, doc_name, record_id, summary)``: an equipment's records from 0, by (fault, record).
 
-    Each fault is represented by its first record and paired with the next fault.  Pairing every
-    fault with every other one would grow with the square of the largest equipment, and a question
-    set of a few entries never needs that.
+    It stands for all pairs of an equipment without storing one: the records at places i < j are pair number
+    j * (j - 1) / 2 + i, so n records have the numbers from 0 to n * (n - 1) / 2 - 1.
     """
-    first = records.groupBy("equipment", "fault").agg(
-        F.min_by(F.struct("doc_name", "record_id", record_summary().alias("summary")), F.struct("record_id", "doc_name")).alias("r")
-    ).select("equipment", "fault", "r.*")
-    nxt = neighbours(first, "equipment", "fault", {"n_fault": "fault", "n_doc": "doc_name", "n_id": "record_id", "n_summary": "summary"}, 1)
-    pairs = nxt.where("n_fault IS NOT NULL")
+    some = records.select("equipment", "fault", "record_id", "doc_name", record_summary().alias("summary"))
+    numbered = prefix_scan(some, "equipment", ["fault", "record_id", "doc_name"], row_number="pos")
+    return numbered.withColumn("pos", F.col("pos") - 1)
+
+
+def _pairs_of(n: Column) -> Column:
+    return F.call_function("div", n * (n - 1), F.lit(2))
+
+
+def drawn_pairs(order: DataFrame, per_equipment: int) -> DataFrame:
+    """``(equipment, p)``: pair numbers spread evenly over all pairs of each equipment, all of them if there are fewer."""
+    size = order.groupBy("equipment").agg(F.count(F.lit(1)).alias("n")).select("equipment", _pairs_of(F.col("n")).alias("all")).where("all > 0")
+    size = size.withColumn("m", F.least(F.lit(per_equipment).cast("long"), F.col("all")))
+    k = size.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    return k.select("equipment", F.expr("k * (all div m) + (k * (all % m)) div m").alias("p"))
+
+
+def pairs_at(order: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The two records of each asked pair ``numbers(equipment, p)``; the second one's columns begin with ``n_``.
+
+    Numbers are turned back into places by a square root, corrected where rounding missed by one; the join is by equipment
+    and place, so that a large equipment is spread over tasks.
+    """
+    near = F.floor((F.sqrt(F.col("p") * 8.0 + 1) + 1) / 2).cast("long")
+    asked = numbers.withColumn("j", near)
+    j = F.when(_pairs_of(F.col("j")) > F.col("p"), F.col("j") - 1).when(_pairs_of(F.col("j") + 1) <= F.col("p"), F.col("j") + 1).otherwise(F.col("j"))
+    asked = asked.withColumn("j", j).select("equipment", (F.col("p") - _pairs_of(F.col("j"))).alias("pos"), F.col("j").alias("n_pos"))
+    second = order.select("equipment", *[F.col(c).alias(f"n_{c}") for c in ("pos", "fault", "doc_name", "record_id", "summary")])
+    return asked.join(order, ["equipment", "pos"]).join(second, ["equipment", "n_pos"])
+
+
+def _every_pair(order: DataFrame) -> DataFrame:
+    """All pair numbers, a row of records at a time."""
+    return order.where("pos > 0").select("equipment", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pos") - 1)).alias("i"), "pos").select("equipment", (_pairs_of(F.col("pos")) + F.col("i")).alias("p"))
+
+
+def qa_candidates_pairs(records: DataFrame, category: str = "fault_distinction", per_equipment: int | None = None) -> DataFrame:
+    """Distinction questions for pairs of records of one equipment with different faults, the earlier one by (fault, record)
+    first.
+
+    Every pair can be asked for (``pairs_at``). By default all are rendered, which is as many rows as there are pairs; with
+    ``per_equipment`` only so many pair numbers, spread evenly, are turned into questions, as a question set needs.
+    """
+    order = cut(pair_order(records))
+    numbers = _every_pair(order) if per_equipment is None else drawn_pairs(order, per_equipment)
+    pairs = pairs_at(order, numbers).where("fault <> n_fault")
     e, a, b = F.col("equipment"), F.col("fault"), F.col("n_fault")
 
     def text(*parts) -> Column:
@@ -335,10 +376,10 @@ def qa_candidates_pairs(records: DataFrame, category: str = "fault_distinction")
     else:
         question, lead = text("排查", e, "时，“", a, "”和“", b, "”容易混淆，应重点看哪些区别？"), "区分时可重点看："
     answer = text(lead, "“", a, "”", F.col("summary"), "“", b, "”", F.col("n_summary"))
-    proof = text(F.concat_ws("::", "doc_name", "record_id"), "; ", F.concat_ws("::", "n_doc", "n_id"), " | 依据 ", F.col("record_id"), ",", F.col("n_id"), " 对应故障卡与原始表述整理。")
+    proof = text(F.concat_ws("::", "doc_name", "record_id"), "; ", F.concat_ws("::", "n_doc_name", "n_record_id"), " | 依据 ", F.col("record_id"), ",", F.col("n_record_id"), " 对应故障卡与原始表述整理。")
     return pairs.select(
         F.lit(category).alias("category"), question.alias("question"), answer.alias("gold_answer"), proof.alias("evidence"),
-        F.array("doc_name", "n_doc").alias("docs"), F.array(F.concat_ws("::", "doc_name", "record_id"), F.concat_ws("::", "n_doc", "n_id")).alias("record_keys"),
+        F.array("doc_name", "n_doc_name").alias("docs"), F.array(F.concat_ws("::", "doc_name", "record_id"), F.concat_ws("::", "n_doc_name", "n_record_id")).alias("record_keys"),
     )
 
 

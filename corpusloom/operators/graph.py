@@ -312,10 +312,9 @@ def largest_component(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Da
 
     kept = nodes.join(members, "entity_name", "left_semi").withColumn("entity_name", stable("entity_name"))
     inside = edges.join(members.withColumnRenamed("entity_name", "src"), "src", "left_semi")
-    inside = inside.withColumns({"_a": stable("src"), "_b": stable("dst")}).withColumns(
-        {"src": F.least("_a", "_b"), "dst": F.greatest("_a", "_b")}
-    )
-    return kept, inside.drop("_a", "_b")
+    ends = F.array_sort(F.transform(F.array("src", "dst"), lambda x: tx.strip(tx.clean_str(F.upper(x)))))
+    inside = inside.withColumn("_ends", ends).withColumns({"src": F.get("_ends", F.lit(0)), "dst": F.get("_ends", F.lit(1))})
+    return kept, inside.drop("_ends")
 
 
 # --- walks -----------------------------------------------------------------------------------------

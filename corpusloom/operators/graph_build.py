@@ -70,14 +70,25 @@ def ord_key(df: DataFrame, ord_col: str, pos: Column) -> Column:
 def split_relation_type(keywords: Column) -> Column:
     """``struct(relation_type, keywords)``: the first mark, in fixed order, with a non-blank head."""
     raw = tx.strip(tx.text_or_empty(keywords))
-    out = F.struct(F.lit(UNSPECIFIED).alias("relation_type"), raw.alias("keywords"))
+    none = F.lit(None).cast("string")
+    parts = F.struct(none.alias("head"), none.alias("tail"))
     for mark in reversed(RELATION_MARKS):
         at = F.instr(raw, mark)
-        head = tx.clean_str(F.substring(raw, F.lit(1), at - 1))
-        tail = tx.clean_str(F.substring(raw, at + len(mark), F.length(raw)))
-        pick = F.struct(head.alias("relation_type"), F.when(tail == "", head).otherwise(tail).alias("keywords"))
-        out = F.when((at > 0) & (head != ""), pick).otherwise(out)
-    return out
+        head = tx.strip(F.substring(raw, F.lit(1), at - 1))
+        pick = F.struct(head.alias("head"), F.substring(raw, at + len(mark), F.length(raw)).alias("tail"))
+        parts = F.when((at > 0) & (head != ""), pick).otherwise(parts)
+
+    # only what was picked is cleaned, once
+    def named(p: Column) -> Column:
+        plain = F.struct(F.lit(UNSPECIFIED).alias("relation_type"), raw.alias("keywords"))
+        both = F.struct(p["head"].alias("relation_type"), F.when(p["tail"] == "", p["head"]).otherwise(p["tail"]).alias("keywords"))
+        return F.when(p["head"] != "", both).otherwise(plain)
+
+    def cleaned(p: Column) -> Column:
+        two = F.transform(F.array(p["head"], p["tail"]), lambda x: F.when(x.isNotNull(), tx.clean_str(x)))
+        return tx.let(two, lambda t: F.struct(F.get(t, F.lit(0)).alias("head"), F.get(t, F.lit(1)).alias("tail")))
+
+    return tx.let(tx.let(parts, cleaned), named)
 
 
 def parse_extraction_tuples(responses: DataFrame, chunk_id: str = "chunk_id", text: str = "response", ord_col: str = "ord") -> tuple[DataFrame, DataFrame]:
@@ -92,25 +103,28 @@ def parse_extraction_tuples(responses: DataFrame, chunk_id: str = "chunk_id", te
         "source_id", ord_key(records, "_o", F.col("_p")).alias("ord"), tx.split_markers(body, [TUPLE_MARK]).alias("a")
     )
     a = F.col("a")
+    # cleaned once, into a table: the entity table is part of every expression that decodes
+    rows = cut(rows.select("source_id", "ord", "a", F.transform(a, tx.clean_str).alias("plain"), F.transform(F.slice(a, 1, 3), lambda x: tx.clean_str(F.upper(x))).alias("upper")))
+    plain, upper = F.col("plain"), F.col("upper")
     nodes = (
         rows.where((F.size(a) >= 4) & (F.get(a, F.lit(0)) == '"entity"'))
         .select(
-            tx.clean_str(F.upper(F.get(a, F.lit(1)))).alias("entity_name"),
-            tx.clean_str(F.upper(F.get(a, F.lit(2)))).alias("entity_type"),
+            F.get(upper, F.lit(1)).alias("entity_name"),
+            F.get(upper, F.lit(2)).alias("entity_type"),
             F.lit(1).alias("votes"),
-            tx.clean_str(F.get(a, F.lit(3))).alias("description"),
+            F.get(plain, F.lit(3)).alias("description"),
             "source_id",
             "ord",
         )
         .where(tx.strip(F.col("entity_name")) != "")
     )
     last = F.element_at(a, -1)
-    rel = split_relation_type(tx.clean_str(F.get(a, F.lit(4))))
+    rel = split_relation_type(F.get(plain, F.lit(4)))
     edges = rows.where((F.size(a) >= 5) & (F.get(a, F.lit(0)) == '"relationship"')).select(
-        tx.clean_str(F.upper(F.get(a, F.lit(1)))).alias("src"),
-        tx.clean_str(F.upper(F.get(a, F.lit(2)))).alias("dst"),
+        F.get(upper, F.lit(1)).alias("src"),
+        F.get(upper, F.lit(2)).alias("dst"),
         F.when(last.rlike(r"^[-+]?[0-9]*\.?[0-9]+$"), last.try_cast("double")).otherwise(F.lit(1.0)).alias("weight"),
-        tx.clean_str(F.get(a, F.lit(3))).alias("description"),
+        F.get(plain, F.lit(3)).alias("description"),
         rel["keywords"].alias("keywords"),
         rel["relation_type"].alias("relation_type"),
         "source_id",

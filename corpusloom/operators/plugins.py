@@ -1,6 +1,7 @@
 """Plug-in points: the user's functions and where they run.
 
-* chunker: ``DataFrame -> DataFrame`` (default ``chunk_by_tokens``);
+* chunker: ``DataFrame(doc_id, content) -> chunks`` given to ``process_queue``, ``reindex_documents`` or ``stream_ingest``
+  (default ``chunk_by_tokens``; ``chunks.chunk_by_separator`` makes another);
 * tokenizer / analyser: ``Column -> Column`` (defaults ``count_tokens``, ``analyse``), or ``token_counter`` for
   a Python tokenizer;
 * embedder: ``list[str] -> array`` run by ``vectors.embed``;

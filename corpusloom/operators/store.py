@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.operators import chunks as ck
+from corpusloom.operators.chunks import Chunker
 from corpusloom.plans.scan import prefix_scan
 
 # fixed values: document states
@@ -81,10 +82,13 @@ def docs_by_status(docs: DataFrame, wanted: str) -> DataFrame:
     )
 
 
-def process_queue(status: DataFrame, max_tokens: int = 1200, overlap: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Chunk every queued document; gives (status rows now PROCESSED with chunks_count, chunks)."""
+def process_queue(status: DataFrame, max_tokens: int = 1200, overlap: int = 100, chunker: Chunker | None = None) -> tuple[DataFrame, DataFrame]:
+    """Chunk every queued document; gives (status rows now PROCESSED with chunks_count, chunks).
+
+    ``chunker`` makes chunks of ``(doc_id, content)`` in place of ``chunk_by_tokens``, with the columns of that.
+    """
     queue = status.where(F.col("status").isin("pending", "processing", "failed"))
-    chunks = ck.chunk_by_tokens(queue, "doc_id", "content", max_tokens, overlap)
+    chunks = ck.chunked(queue, "doc_id", "content", max_tokens, overlap, chunker)
     counts = chunks.groupBy("full_doc_id").agg(F.countDistinct("chunk_id").alias("chunks_count"))
     done = (
         queue.drop("chunks_count")
@@ -170,12 +174,12 @@ def purge_document(tables: Mapping[str, DataFrame], doc_ids: DataFrame) -> dict[
 
 
 def reindex_documents(
-    tables: Mapping[str, DataFrame], purge: DataFrame, fresh: DataFrame, max_tokens: int = 1200, overlap: int = 100
+    tables: Mapping[str, DataFrame], purge: DataFrame, fresh: DataFrame, max_tokens: int = 1200, overlap: int = 100, chunker: Chunker | None = None
 ) -> dict[str, DataFrame]:
-    """Purge ``purge(doc_id)`` and index ``fresh(doc_id, content, ord)`` in its place."""
+    """Purge ``purge(doc_id)`` and index ``fresh(doc_id, content, ord)`` in its place, chunked by ``chunker`` if given."""
     left = purge_document(tables, purge)
     queued = enqueue_documents(fresh, left["doc_status"])
-    done, chunks = process_queue(queued, max_tokens, overlap)
+    done, chunks = process_queue(queued, max_tokens, overlap, chunker)
     out = dict(left)
     out["doc_status"] = upsert_replace(left["doc_status"], done, "doc_id")
     out["full_docs"] = upsert_insert_only(left["full_docs"], done.select("doc_id", "content"), "doc_id")

@@ -154,7 +154,7 @@ def run_keyed(stream: DataFrame, out: str, checkpoint: str, key: str, merge: Cal
     return keyed_state(spark, out, schema)
 
 
-def stream_ingest(docs: DataFrame, max_tokens: int = 1200, overlap: int = 100, delay: str | None = None, processed: DataFrame | None = None) -> DataFrame:
+def stream_ingest(docs: DataFrame, max_tokens: int = 1200, overlap: int = 100, delay: str | None = None, processed: DataFrame | None = None, chunker: ck.Chunker | None = None) -> DataFrame:
     """New documents of ``docs(text[, ts])`` to chunks: one document per content id, known ones left out.
 
     With ``delay`` the duplicates are remembered only that long (rows later than the watermark are
@@ -165,7 +165,7 @@ def stream_ingest(docs: DataFrame, max_tokens: int = 1200, overlap: int = 100, d
     d = d.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["doc_id"]) if delay else d.dropDuplicates(["doc_id"])
     if processed is not None:
         d = d.join(processed.select("doc_id"), "doc_id", "left_anti")
-    return ck.chunk_by_tokens(d, "doc_id", "text", max_tokens, overlap)
+    return ck.chunked(d, "doc_id", "text", max_tokens, overlap, chunker)
 
 
 def last_events(rows: DataFrame) -> DataFrame:
