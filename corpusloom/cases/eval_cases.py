@@ -246,8 +246,7 @@ def _(spark, sf):
     r = cut(v.records(tables(spark, sf)))
     c = ev.qa_candidates_single(r).unionByName(ev.qa_candidates_pairs(r, per_equipment=300)).unionByName(ev.qa_candidates_pairs(r, "similar_faults", per_equipment=300)).unionByName(ev.qa_candidates_common(r))
     have = {k: n for k, n in ev.CATEGORY_TARGETS.items() if k not in ("maintenance", "precaution", "consequence")}
-    out = ev.select_balanced(cut(c), have)
-    return out.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return ev.select_balanced(cut(c), have).select("category", "question", "gold_answer", F.array_join("record_keys", "|").alias("record_keys"))
 
 
 WORDS = (("precautions", ("heren", "que ")), ("consequences", ("tion",)), ("repair_method", ("ing",)))

@@ -112,13 +112,23 @@ def _(spark, sf):
     return hits.withColumn("distance", F.round("distance", 6))
 
 
-@case("g13_embed_and_upsert", None)
+@case(
+    "g13_embed_and_upsert",
+    f"""WITH {q.CRC_TABLE}, w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM documents),
+    f AS (SELECT doc_id, unnest(list_concat([w], list_transform(range(1, greatest(length(w) - 1, 1)), lambda j: w[j:j + 2]))) AS s FROM w),
+    n AS (SELECT doc_id, s, count(*) AS n FROM f GROUP BY 1, 2), h AS (SELECT s, {q.CRC_OF} AS h FROM (SELECT DISTINCT s FROM n), crc_table),
+    v AS (SELECT doc_id, h % 64 AS slot, sum(CASE WHEN (h >> 16) % 2 = 1 THEN n ELSE -n END)::DOUBLE AS v FROM n JOIN h USING (s) GROUP BY 1, 2),
+    u AS (SELECT doc_id, sum((slot + 1) * v) / nullif(sqrt(sum(v * v)), 0) AS c FROM v GROUP BY 1)
+    SELECT 'd' || doc_id AS id, lang, 64 AS dims, round(coalesce(c, 0.0), 6) AS checksum FROM documents LEFT JOIN u USING (doc_id)""".replace("\\\\", "\\"),
+)
 def _(spark, sf):
     d = tables(spark, sf)("documents")
     rows = d.select(F.concat(F.lit("d"), "doc_id").alias("id"), F.col("text").alias("content"), "lang")
-    base = vx.embed(rows.where("lang = 'en'").withColumn("content", F.lower("content")), vx.hashed_embedder())
-    out = vx.embed_and_upsert(base, rows.where("lang <> 'en'"), vx.hashed_embedder())
-    return out.select("id", "lang", F.size("embedding").alias("dims"))
+    # all texts first with another content, then those of other languages again as they are, then the English ones
+    base = vx.embed_and_upsert(None, rows.withColumn("content", F.lit("old")))
+    out = vx.embed_and_upsert(vx.embed_and_upsert(base, rows.where("lang <> 'en' or lang is null")), rows.where("lang = 'en'"))
+    weighted = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return out.select("id", "lang", F.size("embedding").alias("dims"), F.round(weighted, 6).alias("checksum"))
 
 
 # --- lexical ----------------------------------------------------------------------------------------

@@ -50,3 +50,12 @@ def chunk_cte(docs: str, max_tokens: int, overlap: int) -> str:
     chunks AS (SELECT doc_id AS full_doc_id, CAST(start // {step} AS INT) AS chunk_order_index,
         CAST(least({max_tokens}, n - start) AS INT) AS tokens,
         {strip(f"array_to_string(t[start+1:start+{max_tokens}], '')")} AS content FROM wins)"""
+
+
+# crc32 by a table made from its polynomial; CRC_OF gives it for the string s, next to the one row of crc_table
+CRC_TABLE = """crc_table(tab) AS (SELECT list(x ORDER BY i) FROM (SELECT i, list_reduce(list_concat([i], range(8)::UBIGINT[]),
+    lambda acc, k: CASE WHEN acc % 2 = 1 THEN xor(acc >> 1, 3988292384::UBIGINT) ELSE acc >> 1 END) AS x FROM (SELECT unnest(range(256))::UBIGINT AS i)))"""
+UTF8 = """flatten(list_transform(string_split(s, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::UBIGINT]
+    WHEN unicode(c) < 2048 THEN [(192 + unicode(c) // 64)::UBIGINT, (128 + unicode(c) % 64)::UBIGINT]
+    ELSE [(224 + unicode(c) // 4096)::UBIGINT, (128 + unicode(c) // 64 % 64)::UBIGINT, (128 + unicode(c) % 64)::UBIGINT] END))"""
+CRC_OF = f"xor(list_reduce(list_concat([4294967295::UBIGINT], {UTF8}), lambda acc, b: xor(acc >> 8, tab[((xor(acc, b) & 255) + 1)::BIGINT])), 4294967295::UBIGINT)::BIGINT"

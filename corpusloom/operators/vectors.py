@@ -152,6 +152,24 @@ def hashed_embedder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
     return embed
 
 
+def feature_vectors(rows: DataFrame, key: str = "id", content: str = "content", dim: int = 64) -> DataFrame:
+    """``(key, embedding array<double>)``: what ``hashed_embedder`` computes, without Python and in double precision.
+
+    Words and their trigrams become (slot, sign) by crc32. They are summed per row and slot before the shuffle, so a text
+    of any length sends at most ``dim`` numbers. Null texts and texts without words give zeros; ``key`` names the row.
+    """
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(content), F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    grams = lambda w: F.concat(F.array(w), F.when(F.length(w) > 2, F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda j: F.substring(w, j, F.lit(3)))).otherwise(F.array().cast("array<string>")))
+    found = rows.select(key, F.explode_outer(F.flatten(F.transform(words, grams))).alias("feature")).withColumn("h", F.crc32("feature"))
+    sign = F.when(F.shiftright("h", 16) % 2 == 1, 1).otherwise(-1)
+    sums = found.groupBy(key, (F.col("h") % dim).cast("int").alias("slot")).agg(F.sum(F.when(F.col("h").isNotNull(), sign)).alias("v"))
+    held = F.map_from_entries(F.filter(F.collect_list(F.struct("slot", F.col("v").cast("double"))), lambda e: e["slot"].isNotNull()))  # at most dim
+    norm = F.sqrt(F.sum(F.col("v") * F.col("v")))
+    dense = sums.groupBy(key).agg(held.alias("m"), norm.alias("norm"))
+    at = lambda k: F.when(F.col("norm") > 0, F.coalesce(F.try_element_at("m", k), F.lit(0.0)) / F.col("norm")).otherwise(F.lit(0.0))
+    return dense.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), at).alias("embedding"))
+
+
 def embed(rows: DataFrame, embedder: Callable[[list[str]], np.ndarray], content: str = "content", batch: int = 32) -> DataFrame:
     """Add ``embedding`` by calling ``embedder`` on batches inside the tasks; a wrong number of
     vectors is an error."""
@@ -172,7 +190,8 @@ def embed(rows: DataFrame, embedder: Callable[[list[str]], np.ndarray], content:
     return rows.mapInPandas(run, schema)
 
 
-def embed_and_upsert(base: DataFrame | None, rows: DataFrame, embedder: Callable[[list[str]], np.ndarray], key: str = "id", batch: int = 32) -> DataFrame:
-    """Embed ``rows(id, content, …)`` and replace the rows of ``base`` that have the same id."""
-    fresh = embed(rows, embedder, "content", batch)
+def embed_and_upsert(base: DataFrame | None, rows: DataFrame, embedder: Callable[[list[str]], np.ndarray] | None = None, key: str = "id", batch: int = 32) -> DataFrame:
+    """Embed ``rows(id, content, …)`` and replace the rows of ``base`` that have the same id; without an embedder by
+    ``feature_vectors``."""
+    fresh = rows.join(feature_vectors(rows, key), key) if embedder is None else embed(rows, embedder, "content", batch)
     return fresh if base is None else upsert_replace(base, fresh, key)
