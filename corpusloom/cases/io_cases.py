@@ -20,14 +20,14 @@ from corpusloom.streaming import jobs
 # --- sources and sinks: what is read was written by Spark from the tables ----------------------------
 
 
-@case("a01_read_text_corpus", "SELECT lang AS folder, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS total FROM documents GROUP BY lang")
+@case("a01_read_text_corpus", "SELECT lang AS folder, md5(text) AS text_md5, length(text) AS n_chars, count(*) AS n FROM documents WHERE text <> '' GROUP BY ALL")
 def _(spark, sf):
     path = scratch_path(spark, "corpus")
-    lines = tables(spark, sf)("documents").select("lang", F.col("doc_id").cast("string").alias("value"))
-    lines.write.option("maxRecordsPerFile", 1000).partitionBy("lang").text(path)
-    got = rd.read_text_corpus(spark, path)
-    ids = got.select(F.regexp_extract("path", "lang=([^/]+)", 1).alias("folder"), F.explode(F.filter(F.split("content", r"\s+"), lambda x: x != "")).alias("id"))
-    return ids.groupBy("folder").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("id").cast("long")).alias("total"))
+    docs = tables(spark, sf)("documents").where("text <> ''").select("lang", F.col("text").alias("value"))
+    # whole texts, many to a file, parted by a character that no text has
+    docs.write.option("maxRecordsPerFile", 500).option("lineSep", "\x1e").partitionBy("lang").text(path)
+    got = rd.read_text_corpus(spark, path).select(F.regexp_extract("path", "lang=([^/]+)", 1).alias("folder"), F.explode(F.split("content", "\x1e")).alias("text"))
+    return got.where("text <> ''").groupBy("folder", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @case(
@@ -81,8 +81,11 @@ def _(spark, sf):
     b = tables(spark, sf)("benchmark").select(
         F.concat(F.lit("q"), "item_id").alias("QuestionID"), F.col("text").alias("Question"), F.lit("a").alias("Gold Answer"), F.concat(F.lit(" e"), "item_id").alias("Evidence"), F.lit("Single").alias("Type")
     )
-    b.write.option("header", "true").option("escape", '"').csv(src)
-    got = rd.read_qa_csv(spark, src)
+    b.where("QuestionID like '%1' or QuestionID like '%4'").write.option("header", "true").option("escape", '"').csv(f"{src}/one")
+    # other files spell and order their columns in another way
+    other = b.where("not (QuestionID like '%1' or QuestionID like '%4')").select(F.col("Evidence").alias("evidence"), F.col("Type").alias("questionType"), F.col("Question").alias("question"), F.col("QuestionID").alias("id"), F.col("Gold Answer").alias("answer"))
+    other.write.option("header", "true").option("escape", '"').csv(f"{src}/two")
+    got = rd.read_qa_csv(spark, f"{src}/*")
     wr.write_qa_json(got, out)
     back = spark.read.schema("Question string, Evidence string").json(out)
     return got.join(back.select(F.col("Evidence").alias("evidence"), F.col("Question").alias("question")), ["question", "evidence"]).select("question_id", "question", "evidence")
@@ -186,6 +189,31 @@ def _(spark, sf):
     return d.select("doc_id", pl.pair_scorer(shared).alias("score"))
 
 
+@case("l04_scored_pairs", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE length(text)::DOUBLE END AS score, CASE WHEN doc_id % 7 = 0 THEN 'ValueError: down' END AS score_error FROM documents")
+def _(spark, sf):
+    def score(a, b):
+        if a == "0":
+            raise ValueError("down")
+        return float(len(b))
+
+    d = tables(spark, sf)("documents").select("doc_id", (F.col("doc_id") % 7).cast("string").alias("query"), F.col("text").alias("content"))
+    return pl.scored_pairs(d, score).select("doc_id", "score", "score_error")
+
+
+@case(
+    "l05_review",
+    """SELECT DISTINCT entity_name, entity_type FROM (SELECT 'DOC ' || doc_id AS entity_name, upper(lang) AS entity_type FROM documents UNION ALL SELECT upper(source), 'SOURCE' FROM documents)
+    WHERE NOT ends_with(entity_name, '7')""",
+)
+def _(spark, sf):
+    # a reviewer takes away what it does not believe, before anything is merged
+    text = F.concat(F.lit('("entity"<|>doc '), "doc_id", F.lit("<|>"), "lang", F.lit("<|>a document)##(\"entity\"<|>"), "source", F.lit("<|>source<|>a source)##"))
+    d = tables(spark, sf)("documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("ord"), text.alias("response"))
+    nodes, edges = gb.parse_extraction_tuples(d)
+    g = gb.build_graph(nodes, edges, review=lambda n, e: (n.where("not endswith(entity_name, '7')"), e))
+    return gb.render_nodes(g).select("entity_name", "entity_type").distinct()
+
+
 @case("l06_token_counter", f"SELECT doc_id, {q.ntok('text')} AS token_count FROM documents")
 def _(spark, sf):
     d = tables(spark, sf)("documents").select("doc_id", F.col("text").alias("content"))

@@ -6,7 +6,7 @@
   a Python tokenizer;
 * embedder: ``list[str] -> array`` run by ``vectors.embed``;
 * extractor: ``str -> str`` run by ``extract``;
-* reranker: ``(query, text) -> score`` wrapped by ``pair_scorer``;
+* reranker: ``(query, text) -> score`` run by ``scored_pairs`` (score and error) or wrapped by ``pair_scorer``;
 * review: ``(nodes, edges) -> (nodes, edges)`` given to ``build_graph``;
 * parent namer: ``(title, rule name) -> name`` column function given to ``resolve_parents``, or a Python
   function wrapped by ``parent_namer``.
@@ -61,8 +61,29 @@ def extract(chunks: DataFrame, extractor: Extractor = rule_extractor, rounds: in
     return chunks.select("chunk_id", "ord", "content").mapInPandas(run, f"chunk_id {kinds['chunk_id']}, ord {kinds['ord']}, response string, error string")
 
 
+def scored_pairs(pairs: DataFrame, score: Callable[[str, str], float | None], query: str = "query", text: str = "content") -> DataFrame:
+    """All columns of ``pairs``, the score of a Python pair scorer and its error: a failing call gives a null score and its
+    message, so that an outage can be counted; no score and no error means that the scorer gave none."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            scores, errors = [], []
+            for a, b in zip(pdf[query], pdf[text]):
+                got, error = None, None
+                try:
+                    got = score(a, b)
+                except Exception as e:  # noqa: BLE001
+                    error = f"{type(e).__name__}: {e}"
+                scores.append(got)
+                errors.append(error)
+            yield pdf.assign(score=pd.Series(scores, dtype="float64", index=pdf.index), score_error=pd.Series(errors, dtype=object, index=pdf.index))
+
+    return pairs.mapInPandas(run, f"{fields}, score double, score_error string")
+
+
 def pair_scorer(score: Callable[[str, str], float | None], query: str = "query", text: str = "content") -> Column:
-    """A Python pair scorer as a column; errors and missing scores are null."""
+    """A Python pair scorer as a column; errors and missing scores are null (``scored_pairs`` tells them apart)."""
 
     @F.pandas_udf("double")
     def run(q: pd.Series, t: pd.Series) -> pd.Series:

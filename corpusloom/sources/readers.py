@@ -79,15 +79,24 @@ def read_records(spark: SparkSession, root: str, multi_line: bool = True) -> Dat
 
 
 def read_qa_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Question rows of CSV files with a BOM and any of the known header spellings, trimmed."""
-    raw = spark.read.option("header", "true").option("multiLine", "true").option("quote", '"').option("escape", '"').csv(path)
-    raw = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns])
-
-    def pick(names: Sequence[str]) -> Column:
-        have = [F.nullif(tx.strip(F.col(f"`{n}`")), F.lit("")) for n in names if n in raw.columns]
-        return F.coalesce(*have, F.lit(""))
-
-    return raw.select(*[pick(names).alias(out) for out, names in QA_HEADERS.items()])
+    """Question rows of CSV files with a BOM and any of the known header spellings, trimmed.
+
+    Every file has its own header: files whose first lines are alike are read together, so that columns are found by
+    name in each, whatever their order. The driver gets one line per file. Empty files have no rows.
+    """
+    at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("at"), "value")
+    by_head: dict[str, list[str]] = {}
+    for r in lines.groupBy("file").agg(F.min_by("value", "at").alias("head")).orderBy("file").collect():
+        by_head.setdefault(r["head"], []).append(r["file"])
+    read = spark.read.option("header", "true").option("multiLine", "true").option("quote", '"').option("escape", '"')
+    out = spark.createDataFrame([], ", ".join(f"{c} string" for c in QA_HEADERS))
+    for files in by_head.values():
+        raw = read.csv(files)
+        raw = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns])
+        have = {out: [F.nullif(tx.strip(F.col(f"`{n}`")), F.lit("")) for n in names if n in raw.columns] for out, names in QA_HEADERS.items()}
+        out = out.unionByName(raw.select(*[F.coalesce(*cols, F.lit("")).alias(c) for c, cols in have.items()]))
+    return out
 
 
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
