@@ -172,7 +172,11 @@ def _(spark, sf):
     return chunks.select("full_doc_id", F.col("chunk_order_index").cast("long").alias("chunk_order_index"), "chunk_id", F.col("tokens").cast("long").alias("tokens"))
 
 
-@case("l03_extract", None)
+@case(
+    "l03_extract",
+    """WITH w AS (SELECT DISTINCT upper(w) AS entity_name FROM (SELECT unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS w FROM documents) WHERE regexp_full_match(w, '[A-Z][a-z]{3,}'))
+    SELECT entity_name, CASE WHEN entity_name = 'THAT' THEN '"UNKNOWN"' ELSE 'TERM' END AS entity_type FROM w""",
+)
 def _(spark, sf):
     d = tables(spark, sf)("documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("ord"), F.col("text").alias("content"))
     nodes, edges = gb.parse_extraction_tuples(pl.extract(d))

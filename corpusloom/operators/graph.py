@@ -263,17 +263,38 @@ def delete_edges(gone: DataFrame, edges: DataFrame) -> DataFrame:
 # --- components ----------------------------------------------------------------------------------
 
 
+#: Rows of one label that a task may get; a label with more is split.
+LABEL_ROWS = 1_000_000
+
+
+def with_smallest(pairs: DataFrame, rows: int) -> DataFrame:
+    """``(a, b, m)``: ``pairs(a, b)``, ``rows`` of them at most, with the smallest of a and all its b.
+
+    Labels of more than ``LABEL_ROWS`` pairs, of which there are at most rows / LABEL_ROWS (so their list may be
+    broadcast), have their pairs dealt over that many splits, and their one row is repeated for each. The minimum
+    itself is taken before the shuffle.
+    """
+    m = pairs.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    if rows <= LABEL_ROWS:
+        return pairs.join(m.drop("n"), "a")
+    m = cut(m.withColumn("splits", F.ceil(F.col("n") / LABEL_ROWS).cast("int")))
+    large = m.where("splits > 1").select("a", "splits")
+    dealt = pairs.join(F.broadcast(large), "a", "left").withColumn("split", F.coalesce(F.pmod(F.xxhash64("b"), F.col("splits")).cast("int"), F.lit(0)))
+    held = m.select("a", "m", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split"))
+    return dealt.select("a", "b", "split").join(held, ["a", "split"]).select("a", "b", "m")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(entity_name, component)`` with the smallest name as component label.
 
-    Alternating large-star and small-star steps: every step is one partial ``min`` and one join, so
-    hub nodes never gather their neighbours in one place, and the number of rounds grows with the
-    logarithm of the graph, not with its diameter.
+    Alternating large-star and small-star steps: every step is one partial ``min`` and one join whose
+    large labels are split, so neither a hub nor the label of a giant component gathers its rows in one
+    task, and the number of rounds grows with the logarithm of the graph, not with its diameter.
     """
+    size = 0
 
     def with_min(pairs: DataFrame) -> DataFrame:
-        m = pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        return pairs.join(m, "a")
+        return with_smallest(pairs, 2 * size)
 
     def large_star(e: DataFrame) -> DataFrame:
         both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.a", "x.b")
@@ -288,13 +309,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     names = edges.select(F.explode(F.array("src", "dst")).alias("entity_name")).distinct()
     e = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
-    mark = None
+    mark, size = None, e.count()
     while True:
         e = cut(small_star(large_star(e)))
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == mark:
             break
-        mark = now
+        mark, size = now, now[0]
     return names.join(e.select(F.col("a").alias("entity_name"), F.col("b").alias("component")), "entity_name", "left").withColumn(
         "component", F.coalesce("component", "entity_name")
     )

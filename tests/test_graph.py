@@ -114,3 +114,29 @@ def test_graphml(spark, tmp_path):
     n, e = rd.read_graphml(spark, str(tmp_path))
     assert {(r.entity_name, r.entity_type, r.description) for r in n.collect()} == {("A", "EQUIPMENT", "pump"), ("B", "", "")}
     assert [(r.src, r.dst, r.weight) for r in e.collect()] == [("A", "B", 2.5)]
+
+
+def test_large_labels_are_split(spark, monkeypatch):
+    """One giant component, one star and a chain: components as by a plain search, with the giant label's rows in many splits."""
+    import random
+
+    from corpusloom.operators import graph as g
+
+    monkeypatch.setattr(g, "LABEL_ROWS", 20)
+    rng = random.Random(2)
+    edges = [(f"n{rng.randrange(300):03d}", f"n{rng.randrange(300):03d}") for _ in range(420)] + [("hub", f"s{i}") for i in range(150)] + [(f"c{i:02d}", f"c{i + 1:02d}") for i in range(60)] + [("x", "x")]
+    parent = {v: v for e in edges for v in e}
+
+    def top(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        parent[b] = a
+    df = spark.createDataFrame(edges, "src string, dst string")
+    assert {r.entity_name: r.component for r in g.connected_components(df).collect()} == {v: top(v) for v in parent}
+    star = spark.createDataFrame([("hub", f"s{i:03d}") for i in range(150)], "a string, b string")
+    got = g.with_smallest(star, 150)
+    assert {tuple(r) for r in got.collect()} == {("hub", f"s{i:03d}", "hub") for i in range(150)}
