@@ -104,6 +104,32 @@ def collapse_chunks(chunks: DataFrame, first_doc: str = "full_doc_id") -> DataFr
 # --- Markdown -------------------------------------------------------------------------------
 
 
+#: Headings folded at a time: appending to a short list is cheap, and so is appending whole lists.
+FOLD = 256
+
+
+def heading_paths(heads: Column) -> Column:
+    """Per heading of ``array<struct<lv, title>>`` its title after those of its ancestors.
+
+    One fold carries the open title of each of the six levels: a heading closes its own level and deeper ones. It runs in
+    blocks, so that the list it builds is not copied for every heading.
+    """
+    texts = "array<string>"
+    nothing = F.array().cast(f"array<{texts}>")
+
+    def step(acc: Column, h: Column) -> Column:
+        levels = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda l: F.when(l < h["lv"], F.get(acc["open"], l - 1)).when(l == h["lv"], h["title"]))
+        return tx.let(levels, lambda now: F.struct(now.alias("open"), F.concat(acc["out"], F.array(F.filter(now, lambda t: t.isNotNull()))).alias("out")))
+
+    def block(acc: Column, b: Column) -> Column:
+        inner = F.aggregate(F.slice(heads, b * FOLD + 1, F.lit(FOLD)), F.struct(acc["open"].alias("open"), nothing.alias("out")), step)
+        return tx.let(inner, lambda x: F.struct(x["open"].alias("open"), F.concat(acc["out"], x["out"]).alias("out")))
+
+    start = F.struct(F.array_repeat(F.lit(None).cast("string"), 6).alias("open"), nothing.alias("out"))
+    blocks = F.sequence(F.lit(0), F.floor(F.size(heads) / FOLD).cast("int"))
+    return F.aggregate(blocks, start, block, lambda acc: acc["out"])
+
+
 def chunk_markdown(docs: DataFrame, id_col: str = "doc_id", name: str = "doc_name", text: str = "text", min_length: int = 30) -> DataFrame:
     """Heading-scoped chunks with breadcrumb, chapter, type and level.
 
@@ -128,30 +154,18 @@ def chunk_markdown(docs: DataFrame, id_col: str = "doc_id", name: str = "doc_nam
     )
     base = base.withColumn("_h", heads)
 
-    def section(s: Column) -> Column:
+    def section(s: Column, paths: Column) -> Column:
         """Body between two headings and the titles of its heading and that heading's ancestors."""
         begin = F.when(s == 0, F.lit(0)).otherwise(F.get(F.col("_h"), s - 1)["p"] + 1)
         end = F.when(s == F.size("_h"), F.size("_m")).otherwise(F.get(F.col("_h"), s)["p"])
         body = F.array_join(F.slice("_m", begin + 1, F.greatest(end - begin, F.lit(0))), "\n")
-        seen = F.slice("_h", F.lit(1), s)
-        # walking outwards from the nearest heading, a heading is an ancestor iff it is
-        # strictly shallower than every heading met before
-        walked = F.aggregate(
-            F.reverse(seen),
-            F.struct(F.lit(99).alias("lv"), F.array().cast("array<string>").alias("path")),
-            lambda acc, h: F.when(
-                h["lv"] < acc["lv"],
-                F.struct(h["lv"].alias("lv"), F.concat(F.array(h["title"]), acc["path"]).alias("path")),
-            ).otherwise(acc),
-        )
+        path = F.when(s == 0, F.array().cast("array<string>")).otherwise(F.get(paths, s - 1))
         level = F.when(s == 0, F.lit(0)).otherwise(F.get(F.col("_h"), s - 1)["lv"])
-        return F.struct(
-            s.alias("section"), body.alias("content"), walked["path"].alias("path"), level.alias("level")
-        )
+        return F.struct(s.alias("section"), body.alias("content"), path.alias("path"), level.alias("level"))
 
-    cut = F.transform(F.sequence(F.lit(0), F.size("_h")), section)
+    sections = tx.let(heading_paths(F.col("_h")), lambda paths: F.transform(F.sequence(F.lit(0), F.size("_h")), lambda s: section(s, paths)))
     out = (
-        base.select(id_col, "doc_name", F.explode(cut).alias("s"))
+        base.select(id_col, "doc_name", F.explode(sections).alias("s"))
         .select(id_col, "doc_name", "s.*")
         .where(F.length("content") >= min_length)
     )

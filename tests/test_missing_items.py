@@ -71,3 +71,28 @@ def test_entities_are_decoded_in_tuples_and_relations(spark):
     assert (e.relation_type, e.keywords, e.weight) == ("Causé", "kéy", 2.0)
     ids = st.assign_doc_ids(spark.createDataFrame([("caf&eacute;",), ("café",)], "text string"))
     assert ids.count() == 1 and ids.select(F.first("content")).first()[0] == "café"
+
+
+def test_headings_of_a_very_long_document(spark):
+    """Breadcrumbs as by a plain stack, in time that grows with the number of headings."""
+    import random
+    import time
+
+    rng = random.Random(1)
+
+    def run(n):
+        heads = [(rng.randint(1, 6), f"t{i}") for i in range(n)]
+        text = "\n".join(f"{'#' * lv} {t}\n{t} body" for lv, t in heads)
+        want, stack = {}, [None] * 7
+        for i, (lv, t) in enumerate(heads):
+            stack[lv:] = [t] + [None] * (6 - lv)
+            want[i + 1] = " > ".join(["doc", *[x for x in stack[1:] if x is not None]])
+        df = spark.createDataFrame([(1, "doc", text)], "doc_id int, doc_name string, text string")
+        start = time.time()
+        got = {r.section: r.breadcrumb for r in ck.chunk_markdown(df, min_length=1).select("section", "breadcrumb").collect()}
+        assert got == want
+        return time.time() - start
+
+    run(700)
+    short, long = run(5000), run(50000)
+    assert long < 20 * short + 10
