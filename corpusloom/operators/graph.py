@@ -20,7 +20,6 @@ UNKNOWN = "UNKNOWN"
 # fixed values: entity types that may be roots of a view, in priority order, and default roots
 ROOT_TYPES = ("DOCROOT", "CHUNK", "EQUIPMENT", "COMPONENT")
 DEFAULT_ROOT_TYPES = ("DOCROOT", "CHUNK")
-MAX_VOCABULARY = 2_000_000
 
 
 class GraphTooLarge(ValueError):
@@ -363,24 +362,6 @@ def random_walks(edges: DataFrame, num_walks: int = 10, walk_length: int = 40, s
     return cur
 
 
-def node_embeddings(edges: DataFrame, dimensions: int = 64, num_walks: int = 10, walk_length: int = 40, window: int = 2, iterations: int = 3, seed: int = 3) -> DataFrame:
-    """Skip-gram vectors of the nodes from random walks (Spark ML Word2Vec).
-
-    Word2Vec keeps its vocabulary on the driver, so the number of nodes is checked first; larger
-    graphs should train outside on the ``random_walks`` table.
-    """
-    from pyspark.ml.feature import Word2Vec
-
-    n = edges.select(F.explode(F.array("src", "dst")).alias("x")).distinct().limit(MAX_VOCABULARY + 1).count()
-    if n > MAX_VOCABULARY:
-        raise GraphTooLarge(f"node embeddings are limited to {MAX_VOCABULARY} nodes")
-    walks = random_walks(edges, num_walks, walk_length, seed)
-    model = Word2Vec(
-        vectorSize=dimensions, minCount=0, windowSize=window, maxIter=iterations, seed=seed, inputCol="nodes", outputCol="v"
-    ).fit(walks)
-    return model.getVectors().select(F.col("word").alias("entity_name"), F.col("vector"))
-
-
 # --- comparison -------------------------------------------------------------------------------------
 
 
