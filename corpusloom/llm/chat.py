@@ -24,9 +24,19 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.S)
 
 
+def escape_role(role: str) -> str:
+    """As ``escape``; a line feed, which would end the role, becomes ``\\`` + ``n``. Backslashes of the role are doubled
+    before, so no two roles are written alike."""
+    return escape(role).replace("\n", "\\n")
+
+
+def unescape_role(role: str) -> str:
+    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], role, flags=re.S)
+
+
 def chatml(turns: list[Turn]) -> str:
-    """The template used in production. Line feeds in a role become ``\\`` + ``n`` before escaping."""
-    return "".join(f"{START}{escape(role.replace(chr(10), chr(92) + 'n'))}\n{escape(text)}{END}\n" for role, text in turns)
+    """The template used in production."""
+    return "".join(f"{START}{escape_role(role)}\n{escape(text)}{END}\n" for role, text in turns)
 
 
 _TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(END) + r"\n", re.S)
@@ -39,7 +49,7 @@ def read_back(formatted: str) -> list[Turn]:
         m = _TURN.match(formatted, at)
         if m is None:
             raise ValueError(f"no turn at {at}")
-        out.append((unescape(m[1]).replace("\\n", "\n"), unescape(m[2])))
+        out.append((unescape_role(m[1]), unescape(m[2])))
         at = m.end()
     return out
 

@@ -67,6 +67,12 @@ def test_chat_round_trip_and_edge_cases(spark):
     assert chat.digest(chat.format_conversations(df.limit(0))).count() == 0
 
 
+def test_roles_with_line_feeds_and_backslashes_are_told_apart():
+    roles = ["a\nb", "a\\nb", "a\\\nb", "a\\\\nb", "\\", "n", "\n", "<|\n|>", "\\|"]
+    written = [chat.chatml([(r, "t\\n\n")]) for r in roles]
+    assert len(set(written)) == len(roles) and [chat.read_back(w) for w in written] == [[(r, "t\\n\n")] for r in roles]
+
+
 def test_chat_finds_templates_that_rewrite_history():
     strip = lambda turns: "".join(f"[{r}]{t if k == len(turns) - 1 else t[:1]};" for k, (r, t) in enumerate(turns))
     text, spans, rewritten = chat.locate(strip, [("user", "abc"), ("assistant", "def")])
