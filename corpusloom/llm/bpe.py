@@ -17,14 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Code points (or ids) taken at once, and distinct strings a worker remembers; both only bound memory.
-PIECE, REMEMBER = 500_000, 500_000
+#: Code points (or ids) taken at once, bytes of new words merged at once and distinct strings a worker remembers; all only
+#: bound memory.
+PIECE, MERGE, REMEMBER = 1_500_000, 500_000, 1_000_000
 #: A blank at either end of a text or next to other white space.
 BLANKS = r"^ | $|[\s\x0b\x1c-\x1f\x{85}\pZ] | [\s\x0b\x1c-\x1f\x{85}\pZ]"
 
 # A row is a token of a word, with the rank m of the pair that it forms with its right neighbour (null: none). A round finds each
 # word's lowest rank and contracts its places, the left one of two that overlap; only the leftmost where the new token may
 # take part in an earlier rank (wary). Contracting the others in one round gives what one by one would give.
+# A word's last row has no pair, so ranks looked up to the left need no test that they belong to the same word.
 # ENCODE reads neighbours in stored order (one thread keeps it, and the query stops if it doesn't) and keeps all rounds;
 # for LONG words the second form sorts, and keeps the last state of each place only (id -1: contracted away).
 LONG = 64
@@ -34,19 +36,16 @@ WITH RECURSIVE step(w, pos, id, m, wary, round) AS (
     UNION ALL
     SELECT w, pos, new, merged, x.wary, round FROM (
         SELECT w, pos, round, CASE WHEN take THEN m ELSE id END AS new,
-            CASE WHEN take THEN CASE WHEN m2 = best AND m1 IS DISTINCT FROM best AND (NOT wary OR pos2 = first) THEN best ELSE id2 END
-                 ELSE CASE WHEN m1 = best AND m IS DISTINCT FROM best AND (NOT wary1 OR pos1 = first) THEN best ELSE id1 END END AS nxt
-        FROM (SELECT *, m = best AND p1 IS DISTINCT FROM best AND (NOT wary OR pos = first) AS take,
-                p1 = best AND p2 IS DISTINCT FROM best AND (NOT wary_p OR pos_p = first) AS gone FROM (
-            SELECT g.*, b >> 32 AS best, b & 4294967295 AS first FROM (SELECT w, pos, id, m, wary, round + 1 AS round,
-                CASE WHEN lag(w) OVER () > w OR lag(w) OVER () = w AND lag(pos) OVER () >= pos THEN error('rows lost their order') END AS ordered,
-                CASE WHEN lag(w) OVER () = w THEN lag(m) OVER () END AS p1, CASE WHEN lag(w, 2) OVER () = w THEN lag(m, 2) OVER () END AS p2,
-                lag(wary) OVER () AS wary_p, lag(pos) OVER () AS pos_p,
-                CASE WHEN lead(w) OVER () = w THEN lead(id) OVER () END AS id1, CASE WHEN lead(w, 2) OVER () = w THEN lead(id, 2) OVER () END AS id2,
-                CASE WHEN lead(w) OVER () = w THEN lead(m) OVER () END AS m1, CASE WHEN lead(w, 2) OVER () = w THEN lead(m, 2) OVER () END AS m2,
-                lead(wary) OVER () AS wary1, lead(pos) OVER () AS pos1, lead(pos, 2) OVER () AS pos2
-            FROM step) g JOIN (SELECT w, min((m::BIGINT << 32) + pos) AS b FROM step WHERE m IS NOT NULL GROUP BY w) USING (w)
-            WHERE ordered IS NULL)) WHERE gone IS DISTINCT FROM true) q
+            CASE WHEN take THEN CASE WHEN k2 >> 32 = w THEN CASE WHEN m2 = best AND m1 IS DISTINCT FROM best AND (NOT strict OR k2 & 4294967295 = first) THEN best ELSE id2 END END
+                 WHEN k1 >> 32 = w THEN CASE WHEN m1 = best AND m IS DISTINCT FROM best AND (NOT strict OR k1 & 4294967295 = first) THEN best ELSE id1 END END AS nxt
+        FROM (SELECT *, m = best AND p1 IS DISTINCT FROM best AND (NOT strict OR pos = first) AS take,
+                p1 = best AND p2 IS DISTINCT FROM best AND (NOT strict OR k0 & 4294967295 = first) AS gone FROM (
+            SELECT g.*, b >> 33 AS best, (b >> 32) & 1 = 1 AS strict, b & 4294967295 AS first
+            FROM (SELECT w, pos, id, m, round + 1 AS round,
+                lag((w::BIGINT << 32) + pos) OVER () AS k0, lead((w::BIGINT << 32) + pos) OVER () AS k1, lead((w::BIGINT << 32) + pos, 2) OVER () AS k2,
+                lag(m) OVER () AS p1, lag(m, 2) OVER () AS p2, lead(m) OVER () AS m1, lead(m, 2) OVER () AS m2, lead(id) OVER () AS id1, lead(id, 2) OVER () AS id2
+            FROM step) g JOIN (SELECT w, min((m::BIGINT << 33) + (wary::BIGINT << 32) + pos) AS b FROM step WHERE m IS NOT NULL GROUP BY w) USING (w)
+            WHERE CASE WHEN k0 >= (w::BIGINT << 32) + pos THEN error('rows lost their order') END IS NULL)) WHERE gone IS DISTINCT FROM true) q
     LEFT JOIN merges x ON x.pair = new * 1000000::BIGINT + nxt)
 SELECT w, pos, id, round FROM step
 """
@@ -93,12 +92,13 @@ class Engine:
         self.forget()
 
     def forget(self) -> None:
-        self.known = pa.array([], pa.string())
+        self.known: dict[str, int] = {}
         self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def slots(self, strings: pa.Array) -> np.ndarray:
+    def slots(self, strings: list[str]) -> np.ndarray:
         """Place of each string in what is known, -1: not known."""
-        return pc.fill_null(pc.index_in(strings, value_set=self.known), -1).to_numpy().astype(np.int64)
+        known = self.known
+        return np.fromiter((known.get(x, -1) for x in strings), np.int64, len(strings))
 
     def merge(self, words: list[bytes], query: str) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of the words, one after the other, and their numbers."""
@@ -121,34 +121,32 @@ class Engine:
         final = final[np.argsort(w[final], kind="stable")]
         return ids[final], np.bincount(w[final], minlength=len(words))
 
-    def store(self, strings: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+    def store(self, strings: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known.update(zip(strings, range(len(self.known), len(self.known) + len(strings))))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, ids.astype(np.int32)])
-        self.known = pa.concat_arrays([self.known, strings])
 
     def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = self.sizes[slots]
         end = np.cumsum(size)
         return self.flat[np.arange(int(size.sum())) + np.repeat(self.starts[slots] - (end - size), size)], size
 
-    def learn(self, strings: pa.Array) -> None:
-        """Encodes strings, none of them known, that end where a match of the pattern ends."""
-        found = [self.find(x) for x in strings.to_pylist()]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        words = pa.array([w for x in found for w in x], pa.string())
-        fresh = words.unique()
-        fresh = fresh.filter(pa.array(self.slots(fresh) < 0))
-        raw = [w.encode() for w in fresh.to_pylist()]
+    def learn(self, strings: list[str]) -> None:
+        """Encodes distinct strings, none of them known, that end where a match of the pattern ends."""
+        found = [self.find(x) for x in strings]
+        fresh = [w for w in dict.fromkeys(w for x in found for w in x) if w not in self.known]
+        raw = [w.encode() for w in fresh]
         rank = np.fromiter((self.rank.get(b, -1) for b in raw), np.int64, len(raw))
         size = np.fromiter(map(len, raw), np.int64, len(raw))
-        self.store(fresh.filter(pa.array(rank >= 0)), rank[rank >= 0], np.ones(int((rank >= 0).sum()), np.int64))
+        whole = np.flatnonzero(rank >= 0)
+        self.store([fresh[i] for i in whole], rank[whole], np.ones(len(whole), np.int64))
         for query, some in ((ENCODE, np.flatnonzero((rank < 0) & (size <= LONG))), (ENCODE_LONG, np.flatnonzero((rank < 0) & (size > LONG)))):
-            for a in self.chunks(size[some].tolist()):
-                self.store(fresh.take(pa.array(some[a])), *self.merge([raw[i] for i in some[a]], query))
-        rest = self.slots(strings) < 0
-        ids, sizes = self.gather(self.slots(words.filter(pa.array(np.repeat(rest, counts)))))
-        ends = np.cumsum(np.concatenate([[0], counts[rest]]))
-        self.store(strings.filter(pa.array(rest)), ids, np.diff(np.concatenate([[0], np.cumsum(sizes)])[ends]))
+            for a in self.chunks(size[some].tolist(), MERGE):
+                self.store([fresh[i] for i in some[a]], *self.merge([raw[i] for i in some[a]], query))
+        rest = [i for i, x in enumerate(strings) if x not in self.known]
+        ids, sizes = self.gather(self.slots([w for i in rest for w in found[i]]))
+        ends = np.cumsum([0, *(len(found[i]) for i in rest)])
+        self.store([strings[i] for i in rest], ids, np.diff(np.concatenate([[0], np.cumsum(sizes)])[ends]))
 
     @staticmethod
     def chunks(sizes: list[int], most: int = PIECE) -> Iterator[slice]:
@@ -175,13 +173,16 @@ class Engine:
         first[np.cumsum(counts[~odd]) - counts[~odd]] = True
         pieces = pc.if_else(pa.array(first), pieces, pc.binary_join_element_wise("", pieces, " "))
         strings = pa.concat_arrays([pieces, whole.flatten()])
-        slots = self.slots(strings)
+        coded = strings.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        slots = self.slots(distinct)
         if (slots < 0).any():
             if len(self.known) > REMEMBER:
                 self.forget()
                 slots[:] = -1
-            self.learn(strings.filter(pa.array(slots < 0)).unique())
-            slots = self.slots(strings)
+            self.learn([distinct[i] for i in np.flatnonzero(slots < 0)])
+            slots = self.slots(distinct)
+        slots = slots[coded.indices.to_numpy()]
         mask = np.repeat(odd, counts)
         ordered = np.empty(len(mask), np.int64)
         ordered[~mask], ordered[mask] = slots[: len(pieces)], slots[len(pieces) :]
@@ -189,18 +190,18 @@ class Engine:
         bounds = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])]
         return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
 
-    def decode(self, ids: pa.Array) -> list[bytes]:
+    def decode(self, ids: pa.Array) -> pa.Array:
         """Null lists and ids outside the vocabulary decode to nothing."""
-        size = np.array([0 if x is None else x for x in ids.value_lengths().to_pylist()], np.int64)
+        size = pc.fill_null(ids.value_lengths(), 0).to_numpy().astype(np.int64)
         flat = ids.flatten()
         at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
         self.con.register("ids", pa.table({"d": pa.array(np.repeat(np.arange(len(size)), size)), "pos": pa.array(at), "id": flat}))
-        got = self.con.execute("SELECT d, string_agg(h, '' ORDER BY pos) FROM ids JOIN vocab USING (id) GROUP BY d").fetchall()
+        got = self.con.sql("SELECT d, unhex(string_agg(h, '' ORDER BY pos)) AS b FROM ids JOIN vocab USING (id) GROUP BY d").to_arrow_table()
         self.con.unregister("ids")
-        out = [b""] * len(size)
-        for d, h in got:
-            out[d] = bytes.fromhex(h)
-        return out
+        place = np.full(len(size), -1, np.int64)
+        place[got.column("d").to_numpy()] = np.arange(got.num_rows)
+        found = got.column("b").combine_chunks().take(pa.array(place, mask=place < 0))
+        return pc.fill_null(found.cast(pa.binary()), b"")
 
 
 _ENGINES: dict[tuple[str, str], Engine] = {}
@@ -257,7 +258,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_c
     def convert(col):
         from corpusloom.llm.bpe import engine
 
-        return [pa.array(engine(path, pattern).decode(col), pa.binary())]
+        return [engine(path, pattern).decode(col)]
 
     return _mapped(df, ids_col, T.StructType([*df.schema.fields, T.StructField(bytes_col, T.BinaryType())]), convert)
 
@@ -271,7 +272,7 @@ def encode_and_decode(df: DataFrame, path: str, pattern: str, text_col: str = "t
         from corpusloom.llm.bpe import engine
 
         ids = engine(path, pattern).encode(col)
-        return [ids, pa.array(engine(path, pattern).decode(ids), pa.binary())]
+        return [ids, engine(path, pattern).decode(ids)]
 
     added = [T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(bytes_col, T.BinaryType())]
     return _mapped(df, text_col, T.StructType([*df.schema.fields, *added]), convert)
