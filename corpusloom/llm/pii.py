@@ -76,11 +76,19 @@ ODD = re.compile("[" + re.escape("".join(PLAIN)) + "]")
 DIGIT_WORD = "|".join(SPELLED)
 # six spelled digits in a row at least, or a plus sign before them: fewer is ordinary prose
 DIGITS = re.compile(rf"\b(?:plus[\s-]+)?(?:{DIGIT_WORD})(?:[\s,-]+(?:{DIGIT_WORD}|[0-9]+)){{5,}}\b", re.I)
-BRACKET = re.compile(r"\s*[\[({<]\s*(at|dot|punto|arroba|point|punkt)\s*[\])}>]\s*", re.I)
-# "name at host dot tld": the last part must follow a spoken or written dot, so that "at" alone stays prose
-SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:\s+dot\s+[A-Za-z0-9_%+-]{1,64}){0,3}(\s+at\s+|\s*@\s*)[A-Za-z0-9.-]{1,64}(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]{1,64})*\s+dot\s+[A-Za-z]{2,24}\b", re.I)
+# blanks before the bracket are taken from the start of their run only, so that long runs are read once
+BRACKET = re.compile(r"(?:(?<!\s)\s++)?[\[({<]\s*+(at|dot|punto|arroba|point|punkt|@|\.)\s*+[\])}>]\s*+", re.I)
+NAME, HOST, BY_DOT = r"[A-Za-z0-9._%+-]{1,64}", r"[A-Za-z0-9-]{1,64}", r"(?:\s++dot\s++|\.)"
+# "name at host dot tld", "name at host.tld", "first dot last@host.tld"
+SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-])({NAME}(?:\s++dot\s++{NAME}){{0,3}})(\s++at\s++|\s*+@\s*+)({HOST}(?:{BY_DOT}{HOST})*{BY_DOT}[A-Za-z]{{2,24}})\b", re.I)
+AT_HOST = re.compile(r"\sat\s++[A-Za-z0-9-]++\.[A-Za-z]|\s@|@\s", re.I)
 DOT = re.compile(r"\s+dot\s+", re.I)
-MARKS = {"at": "@", "arroba": "@"}
+# Words that stand before "at host.tld" in ordinary prose, where no name is meant.
+PROSE = frozenset("us me him her them it you is are was be look looks looking find found see seen read more available online here there live now out page site website blog home web store shop book order visit register apply download details info information hosted located posted published and or up".split())
+# four numbers, as digits or as one to three digit words, with a spoken dot between them
+NUMBER = rf"(?:[0-9]{{1,3}}|(?:{DIGIT_WORD})(?:[\s-]++(?:{DIGIT_WORD})){{0,2}})"
+SPOKEN_IP = re.compile(rf"(?<![A-Za-z0-9.]){NUMBER}(?:\s++dot\s++{NUMBER}){{3}}(?![A-Za-z0-9])", re.I)
+MARKS = {"at": "@", "arroba": "@", "@": "@"}
 
 
 def rewrite(text: str, source: list[int], pattern: re.Pattern, make) -> tuple[str, list[int]]:
@@ -99,20 +107,26 @@ def rewrite(text: str, source: list[int], pattern: re.Pattern, make) -> tuple[st
     return "".join(parts) + text[at:], offsets + source[at:]
 
 
+SIGNS = {"plus": "+", "dot": "."}
+
+
 def _digits(m: re.Match) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     for w in re.finditer(r"[A-Za-z]+|[0-9]+", m[0]):
         low = w[0].lower()
-        if low == "plus":
-            out.append(("+", m.start()))
+        if low in SIGNS:
+            out.append((SIGNS[low], m.start() + w.start()))
         else:
             out += [(SPELLED[low], m.start() + w.start())] if low in SPELLED else [(c, m.start() + w.start() + k) for k, c in enumerate(w[0])]
     return out
 
 
-def _dots(m: re.Match) -> list[tuple[str, int]]:
+def _dots(m: re.Match) -> list[tuple[str, int]] | None:
+    """Null for what is written plainly already, and for prose before an address that has no spoken dot."""
+    if DOT.search(m[0]) is None and (m[2] == "@" or m[1].lower() in PROSE):
+        return None
     out, i = [], m.start()
-    marks = {m.start(1): ("@", m.end(1))} | {d.start() + m.start(): (".", d.end() + m.start()) for d in DOT.finditer(m[0])}
+    marks = {m.start(2): ("@", m.end(2))} | {d.start() + m.start(): (".", d.end() + m.start()) for d in DOT.finditer(m[0])}
     while i < m.end():
         if i in marks:
             c, j = marks[i]
@@ -130,20 +144,22 @@ def deobfuscate(text: str) -> tuple[str, list[int]] | None:
     odd, dots = not text.isascii() and ODD.search(text), " dot" in low or "dot " in low
     brackets = ("[" in text or "(" in text or "{" in text or "<" in text) and BRACKET.search(text)
     spelled = DIGITS.search(text)
-    if not (odd or dots or brackets or spelled):
+    if not (odd or dots or brackets or spelled or "." in text and AT_HOST.search(text)):
         return None
     source = list(range(len(text) + 1))
     new = text
     if odd:
         new, source = rewrite(new, source, ODD, lambda m: [(c, m.start()) for c in PLAIN[m[0]]])
     new, source = rewrite(new, source, BRACKET, lambda m: [(MARKS.get(m[1].lower(), "."), m.start())])
+    new, source = rewrite(new, source, SPOKEN_IP, _digits)
     new, source = rewrite(new, source, SPOKEN, _dots)
     new, source = rewrite(new, source, DIGITS, _digits)
     return new, source
 
 
 def scan(text: str) -> tuple[list[Span], list[Span]]:
-    """Base spans, and what the method adds: no added span overlaps a base span of its kind."""
+    """Base spans, and what the method adds: an added span that overlaps base spans of its kind is kept if it is longer and
+    holds them whole (``jane dot doe@example.com`` beside ``doe@example.com``)."""
     base = find(text)
     made = deobfuscate(text)
     if made is None:
@@ -152,7 +168,8 @@ def scan(text: str) -> tuple[list[Span], list[Span]]:
     added = []
     for kind, a, b in find(new):
         span = (kind, source[a], source[b - 1] + 1 if source[b] == source[b - 1] + 1 else _end(text, source, b))
-        if not any(k == kind and span[1] < e and s < span[2] for k, s, e in base):
+        met = [(s, e) for k, s, e in base if k == kind and span[1] < e and s < span[2]]
+        if all(span[1] <= s and e <= span[2] and (s, e) != span[1:] for s, e in met):
             added.append(span)
     return base, added
 
@@ -173,6 +190,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row per input row: id, n_email, n_ip, n_card, n_phone (base spans), base and spans (``kind:start:end`` by
     start, then kind, comma-joined; code points, end exclusive). Null or empty text has no span. Repeated rows give
     equal results, an empty table none. Each row is read whole and by itself; there is no shuffle.
+
+    Disguises that are seen: look-alike letters, full-width forms and zero-width characters; at, dot, @ and . in
+    brackets; ``name at host.tld`` and spoken dots in names (at most three, parts of at most 64 characters), hosts
+    and addresses of four numbers; six spelled digits or more in a row. Before ``at host.tld`` without a spoken dot
+    common words of prose (``PROSE``) are not taken as names. Other spellings (twelve, double five) are not seen.
     """
     names = [id_col, *(f"n_{k}" for k in KINDS), "base", "spans"]
     kinds = [docs.schema[id_col].dataType, *[T.LongType()] * 4, T.StringType(), T.StringType()]

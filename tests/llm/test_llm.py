@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -165,6 +166,34 @@ def test_pii_disguises_map_back_to_the_source(spark, docs):
     assert (r["n_ip"], r["n_card"], r["n_phone"]) == (1, 1, 1)
 
 
+def test_pii_disguises_by_kind():
+    cases = [
+        ("mail user[@]example[.]com now", "email", "user[@]example[.]com"),
+        ("host 192[.]168[.]0[.]1 is up", "ip", "192[.]168[.]0[.]1"),
+        ("ask jane at example.com, please", "email", "jane at example.com"),
+        ("ask jane @ example.com.", "email", "jane @ example.com"),
+        ("on 192 dot 168 dot 0 dot 1.", "ip", "192 dot 168 dot 0 dot 1"),
+        ("on one nine two dot one six eight dot zero dot one, then", "ip", "one nine two dot one six eight dot zero dot one"),
+        ("to jane dot doe@example.com", "email", "jane dot doe@example.com"),
+        ("a (at) b (dot) org", "email", "a (at) b (dot) org"),
+    ]
+    for text, kind, span in cases:
+        base, added = pii.scan(text)
+        assert (kind, span) in [(k, text[a:b]) for k, a, b in added], (text, base, added)
+    assert pii.scan("to jane dot doe@example.com")[0] == [("email", 12, 27)]
+    for clean in ("look at example.com", "see us at example.com and", "Version 1 dot 2 dot 3", "at 5.30 and at 6", "one dot two dot three dot", "999 dot 1 dot 1 dot 1", "list [.] of (.) marks", "met @ noon."):
+        assert pii.scan(clean) == ([], []), clean
+    assert pii.scan("plain a@b.org and c@d.org") == ([("email", 6, 13), ("email", 18, 25)], [])
+
+
+def test_pii_is_linear_in_long_runs():
+    for unit in ("(", " ", "a", "dot ", " dot", "[ ", "1 dot ", "one ", "at ", "a@", "@ ", "a.", "plus "):
+        for text in (unit * (200_000 // len(unit)), "(" + unit * (200_000 // len(unit)), "a at b." + unit * (200_000 // len(unit))):
+            start = time.process_time()
+            pii.scan(text)
+            assert time.process_time() - start < 2, (unit, time.process_time() - start)
+
+
 def test_near_duplicate_classes_equal_brute_force(spark, docs, texts):
     bags = [shingle_bag(t) for t in texts]
     root = list(range(len(texts)))
