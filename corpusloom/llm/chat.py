@@ -72,7 +72,8 @@ def locate(render: Callable[[list[Turn]], str], turns: list[Turn]) -> tuple[str,
     ``render`` is a black box. The output of each prefix is compared with the one before: where it only appends,
     the added part is the turn's span; where it rewrites history, the turn is listed and its span starts at the
     first character that differs. Two probes with one other character as text show what the template puts before
-    and after the text. After a rewrite the spans of the earlier turns hold no longer and become empty.
+    and after the text. After a rewrite the spans of the earlier turns hold no longer: their texts are located anew in
+    the whole output by the same probes (the span is then the text alone; empty if the template drops the turn's text).
     """
     spans: list[tuple[int, int, int, int]] = []
     rewritten: list[int] = []
@@ -83,11 +84,15 @@ def locate(render: Callable[[list[Turn]], str], turns: list[Turn]) -> tuple[str,
         if not now.startswith(before):
             start = _common(before, now)
             rewritten.append(i)
-            spans = [(0, 0, 0, 0)] * i
         a, b = (render([*turns[:i], (role, probe)]) for probe in "xy")
         head, tail = _common(a, b), _common(a[::-1], b[::-1])
         spans.append((start, head, len(now) - tail, len(now)))
         before = now
+    for j in range(rewritten[-1] if rewritten else 0):
+        a, b = (render([*turns[:j], (turns[j][0], probe), *turns[j + 1 :]]) for probe in "xy")
+        head = _common(a, b)
+        stop = len(before) - _common(a[head:][::-1], b[head:][::-1])
+        spans[j] = (head, head, stop, stop) if a != b and head <= stop else (0, 0, 0, 0)
     return before, spans, rewritten
 
 

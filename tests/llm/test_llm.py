@@ -78,6 +78,12 @@ def test_chat_finds_templates_that_rewrite_history():
     strip = lambda turns: "".join(f"[{r}]{t if k == len(turns) - 1 else t[:1]};" for k, (r, t) in enumerate(turns))
     text, spans, rewritten = chat.locate(strip, [("user", "abc"), ("assistant", "def")])
     assert rewritten == [1] and text == "[user]a;[assistant]def;" and text[spans[1][1] : spans[1][2]] == "def"
+    turns = [("user", "abc"), ("assistant", "def"), ("user", ""), ("assistant", "ghi")]
+    text, spans, rewritten = chat.locate(strip, turns)
+    assert rewritten == [1, 2] and [text[a:b] for _, a, b, _ in spans] == ["a", "d", "", "ghi"]
+    last = lambda turns: "".join(f"[{r}]{t};" for r, t in turns[-2:])
+    text, spans, rewritten = chat.locate(last, turns)
+    assert [text[a:b] for _, a, b, _ in spans] == ["", "", "", "ghi"] and spans[0] == spans[1] == (0, 0, 0, 0) and spans[3][3] == len(text)
     text, spans, rewritten = chat.locate(chat.chatml, [("user", "xy"), ("assistant", "yx")])
     assert not rewritten and [text[a:b] for _, a, b, _ in spans] == ["xy", "yx"]
 
