@@ -111,16 +111,49 @@ def _gain(tf: Column, dl: Column, avgdl: Column, k1: float, b: float) -> Column:
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
 
-def bm25_index(chunks: DataFrame, analyser: Callable[[Column], Column] = tx.analyse, epsilon: float = 0.25, k1: float = 1.5, b: float = 0.75) -> Bm25Index:
-    """Inverted index of ``chunks(chunk_id, ord, content)``; keep its tables to answer many batches."""
+def _term_counts(tokens: Column) -> Column:
+    """``array<struct<term, tf>>`` of a token array: runs of the sorted array, so a row counts its terms without a shuffle."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return tx.let(starts, lambda at: F.transform(at, lambda x, j: F.struct(F.get(s, x).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(s)) - x).cast("long").alias("tf"))))
+
+    return F.when(F.size(tokens) > 0, tx.let(F.sort_array(tokens), runs)).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+
+
+def _packed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``(*keys, dl, terms)`` of the rows of ``rows(*keys, t)`` that have tokens."""
     # written before it is filtered: a filter would be pushed down and analyse every text a second time
-    toks = cut(chunks.select("chunk_id", "ord", analyser(F.col("content")).alias("t"))).where(F.size("t") > 0)
-    n, total = toks.agg(F.count(F.lit(1)), F.sum(F.size("t"))).first()
-    # the chunk's own columns travel with its terms, so that no later join has to fetch them
-    rows = toks.select("chunk_id", "ord", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    counted = rows.groupBy("term", "chunk_id", "ord", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return cut(rows.select(*keys, F.size("t").alias("dl"), _term_counts(F.col("t")).alias("terms"))).where("dl > 0")
+
+
+def _merged(packed: DataFrame, keys: list[str]) -> DataFrame:
+    """``_packed`` rows, those that agree in keys and length counted together.
+
+    Such rows are rare; only theirs are grouped, and their terms stay apart, each in a list of its own.
+    """
+    by = [*keys, "dl"]
+    again = cut(packed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*[F.col(c).alias(f"_{c}") for c in by]))
+    if again.isEmpty():
+        return packed
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    parts = packed.join(again, same, "left_semi").select(*by, F.inline("terms")).groupBy(*by, "term").agg(F.sum("tf").alias("tf"))
+    merged = cut(parts.select(*by, F.array(F.struct("term", "tf")).alias("terms")))
+    return packed.join(again, same, "left_anti").unionByName(merged)
+
+
+def bm25_index(chunks: DataFrame, analyser: Callable[[Column], Column] = tx.analyse, epsilon: float = 0.25, k1: float = 1.5, b: float = 0.75) -> Bm25Index:
+    """Inverted index of ``chunks(chunk_id, ord, content)``; keep its tables to answer many batches.
+
+    The postings are stored as one list per chunk, which needs no shuffle; ``postings`` unpacks them.
+    """
+    toks = chunks.select("chunk_id", "ord", analyser(F.col("content")).alias("t"))
+    packed = _packed(toks, ["chunk_id", "ord"])
+    n, total = packed.agg(F.count(F.lit(1)), F.sum("dl")).first()
     avgdl = F.lit(total / n if n else 1.0)
-    postings = cut(counted.select("term", "chunk_id", "ord", _gain(F.col("tf"), F.col("dl"), avgdl, k1, b).alias("gain")))
+    postings = _merged(packed, ["chunk_id", "ord"]).select("chunk_id", "ord", "dl", F.inline("terms")).select("term", "chunk_id", "ord", _gain(F.col("tf"), F.col("dl"), avgdl, k1, b).alias("gain"))
     raw = cut(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("gain").alias("peak")).withColumn("idf", _idf(F.lit(float(n)), F.col("df"))))
     mean, max_df = raw.agg(F.avg("idf"), F.max("df")).first()
     # a term in more than half of the chunks gets a share of the mean instead of a negative weight
@@ -129,16 +162,19 @@ def bm25_index(chunks: DataFrame, analyser: Callable[[Column], Column] = tx.anal
 
 
 def _hits(index: Bm25Index, weights: DataFrame) -> DataFrame:
-    """``(query_id, chunk_id, ord, part)`` per posting of the terms of ``weights(query_id, term, w)``.
+    """``(query_id, chunk_id, ord, part, …)`` per posting of the terms of ``weights(query_id, term, w, …)``.
 
-    The postings of a frequent term are spread over as many splits as their number asks for.
+    Only postings of these terms are moved, once, to the task of their chunk: where the weights are small enough to be
+    broadcast, the sums of ``_summed`` need no shuffle of pairs of queries and chunks. The postings of a frequent term
+    are spread over as many splits as their number asks for.
     """
     splits = max(1, -(-index.max_df // POSTING_ROWS))
-    p, on = index.postings, ["term"]
+    p, on = index.postings.join(weights.select("term").distinct(), "term", "left_semi").repartition("chunk_id", "ord"), ["term"]
     if splits > 1:
         weights = weights.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
         p, on = p.withColumn("_s", F.pmod(F.xxhash64("chunk_id"), F.lit(splits)).cast("int")), ["term", "_s"]
-    return p.join(weights, on).select("query_id", "chunk_id", "ord", (F.col("w") * F.col("gain")).alias("part"))
+    others = [c for c in weights.columns if c not in ("query_id", "term", "w", "_s")]
+    return p.join(weights, on).select("query_id", "chunk_id", "ord", (F.col("w") * F.col("gain")).alias("part"), *others)
 
 
 def _summed(hits: DataFrame) -> DataFrame:
@@ -204,17 +240,15 @@ def bm25_reads(plan: DataFrame) -> DataFrame:
 
 
 def bm25_top_k(queries: DataFrame, index: Bm25Index, k: int = 4) -> DataFrame:
-    """Best chunks per query ``(query_id, rank, chunk_id, bm25_score)``, ties by chunk order; exact (see ``bm25_plan``)."""
+    """Best chunks per query ``(query_id, rank, chunk_id, bm25_score)``, ties by chunk order; exact (see ``bm25_plan``).
+
+    A chunk's postings lie in one task, so its whole score is known at once; a chunk without a term that must be read
+    cannot reach the floor and is not ranked.
+    """
     plan = cut(bm25_plan(queries, index, k))
-    found = cut(_summed(_hits(index, plan.where("must").select("query_id", "term", "w"))))
-    # the sums so far raise the floor; only chunks that can still reach it get the rest of their score
-    tails = plan.groupBy("query_id").agg(F.first("tail").alias("tail"))
-    found = found.join(tails, "query_id").join(_floors(found, plan, k), "query_id", "left")
-    found = cut(found.where(F.col("floor").isNull() | (F.col("part") + F.col("tail") >= F.col("floor"))).select("query_id", "chunk_id", "ord", "part"))
-    late = plan.where("not must").select("query_id", "term", "w")
-    held = index.postings.join(found.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    more = _hits(Bm25Index(held, index.terms, index.max_df), late).join(found.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
-    scores = _summed(found.unionByName(more)).withColumn("score", F.round("part", 6)).where("score > 0")
+    hits = _hits(index, plan.select("query_id", "term", "w", "must"))
+    sums = hits.groupBy("query_id", "chunk_id", "ord").agg(F.sum("part").alias("part"), F.bool_or("must").alias("must")).where("must and query_id is not null")
+    scores = sums.withColumn("score", F.round("part", 6)).where("score > 0")
     return top_k(scores, "query_id", [F.desc("score"), F.col("ord")], k).select("query_id", "rank", "chunk_id", F.col("score").alias("bm25_score"))
 
 
@@ -222,18 +256,35 @@ def bm25_of_candidates(candidates: DataFrame, queries: DataFrame, chunks: DataFr
     """Best chunks per query among its own candidates, which are also the corpus that its statistics come from.
 
     ``candidates(query_id, ord, chunk_id)`` as of ``candidate_ids``; result as of ``bm25_top_k``, ties by candidate order.
-    Every sum is grouped by query, so candidate lists may be of any size.
+    Terms are counted once per chunk. Chunks that are candidates of the same queries form a class; document frequencies are
+    counted per class and term before they go to the queries, and only the terms that a query asks for meet its candidates.
     """
-    toks = chunks.join(candidates.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", analyser(F.col("content")).alias("t"))
-    toks = cut(toks).where(F.size("t") > 0)
-    corpus = cut(candidates.select("query_id", "ord", "chunk_id").join(toks.select("chunk_id", "t", F.size("t").alias("dl")), "chunk_id"))
-    stats = corpus.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    tf = cut(corpus.select("query_id", "ord", "chunk_id", "dl", F.explode("t").alias("term")).groupBy("query_id", "ord", "chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
-    raw = cut(tf.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df")).join(stats, "query_id").withColumn("idf", _idf(F.col("n"), F.col("df"))))
-    mean = raw.groupBy("query_id").agg(F.avg("idf").alias("mean"))
-    asked = query_terms(queries).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    w = raw.join(asked, ["query_id", "term"]).join(mean, "query_id")
-    w = w.withColumn("w", F.col("qf") * F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf"))).select("query_id", "term", "w", "avgdl")
-    part = F.col("w") * _gain(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
+    lists = cut(candidates.where("query_id is not null and chunk_id is not null").groupBy("query_id", "chunk_id", "ord").agg(F.count(F.lit(1)).alias("times")))
+    per = lists.groupBy("chunk_id", "query_id").agg(F.count(F.lit(1)).alias("places"), F.sum("times").alias("times"))
+    classes = cut(per.groupBy("chunk_id").agg(_signature("query_id", "places", "times").alias("cls")))
+    held = chunks.join(classes, "chunk_id").select("chunk_id", "cls", analyser(F.col("content")).alias("t"))
+    packed = _packed(held, ["chunk_id", "cls"])
+    rows = _merged(packed, ["chunk_id", "cls"])
+    members = cut(per.join(classes.groupBy("cls").agg(F.min("chunk_id").alias("chunk_id")), "chunk_id").select("cls", "query_id", "places", "times"))
+    # queries of the same classes share their frequencies; the first of them stands for all
+    groups = cut(members.groupBy("query_id").agg(_signature("cls", "places", "times").alias("grp")))
+    firsts = groups.groupBy("grp").agg(F.min("query_id").alias("query_id"))
+    sizes = packed.groupBy("chunk_id", "dl").agg(F.count(F.lit(1)).alias("copies")).join(lists, "chunk_id").withColumn("n", F.col("times") * F.col("copies"))
+    stats = cut(sizes.groupBy("query_id").agg(F.sum("n").alias("n"), (F.sum(F.col("dl") * F.col("n")) / F.sum("n")).alias("avgdl")))
+    of_class = rows.select("cls", F.inline("terms")).groupBy("cls", "term").agg(F.count(F.lit(1)).alias("df")).join(members.join(firsts, "query_id").drop("query_id"), "cls")
+    df = of_class.groupBy("grp", "term").agg(F.sum(F.col("df") * F.col("places")).alias("df"))
+    raw = cut(df.join(firsts.join(stats, "query_id").select("grp", "n"), "grp").withColumn("idf", _idf(F.col("n"), F.col("df"))))
+    mean = raw.groupBy("grp").agg(F.avg("idf").alias("mean"))
+    asked = query_terms(queries).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf")).join(groups, "query_id")
+    w = raw.join(asked, ["grp", "term"]).join(mean, "grp").join(stats.select("query_id", "avgdl"), "query_id")
+    w = cut(w.withColumn("w", F.col("qf") * F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf"))).select("query_id", "term", "w", "avgdl"))
+    tf = rows.select("chunk_id", "dl", F.inline("terms")).join(w.select("term").distinct(), "term", "left_semi").join(lists, "chunk_id")
+    part = F.col("w") * _gain(F.col("tf") * F.col("times"), F.col("dl"), F.col("avgdl"), k1, b)
     scores = _summed(tf.join(w, ["query_id", "term"]).withColumn("part", part)).withColumn("score", F.round("part", 6)).where("score > 0")
     return top_k(scores, "query_id", [F.desc("score"), F.col("ord")], k).select("query_id", "rank", "chunk_id", F.col("score").alias("bm25_score"))
+
+
+def _signature(*cols: str) -> Column:
+    """Aggregate that tells sets of rows apart (two 64-bit hashes and their number), whatever the size of a set."""
+    ways = [F.xxhash64(*[F.col(c) for c in cols]), F.xxhash64(F.lit(7), *[F.col(c) for c in reversed(cols)])]
+    return F.concat_ws("/", *[F.bit_xor(h).cast("string") for h in ways], F.count(F.lit(1)).cast("string"))

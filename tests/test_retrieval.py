@@ -211,3 +211,64 @@ def test_bounded_bm25_equals_all_scores(spark):
         rows.setdefault(r.query_id, []).append((-r.score, r.ord, r.chunk_id))
     want = {(q, k + 1): (c, -s) for q, rs in rows.items() for k, (s, _, c) in enumerate(sorted(rs)[:4])}
     assert got == want and reads["sum(searched)"] < reads["sum(postings)"]
+
+
+def _brute_candidates(cands, queries, texts, k):
+    """Scores of BM25 over each query's own candidate rows; rows that agree in order, id and length are one text."""
+    import math
+    from collections import Counter, defaultdict
+
+    out = {}
+    for qid, query in queries:
+        rows = [(o, c, t.split()) for q, o, c in cands if q == qid for c2, t in texts if c2 == c and t]
+        places = defaultdict(Counter)
+        for o, c, t in rows:
+            places[o, c, len(t)].update(t)
+        n, avgdl = len(rows), sum(len(t) for _, _, t in rows) / max(1, len(rows))
+        df = Counter(w for counts in places.values() for w in counts)
+        idf = {w: math.log(n - d + 0.5) - math.log(d + 0.5) if n - d + 0.5 > 0 else math.nan for w, d in df.items()}
+        mean = sum(idf.values()) / max(1, len(idf))
+        score = Counter()
+        for (o, c, dl), counts in places.items():
+            for w in set(query.split()) & set(counts):
+                score[o, c] += (0.25 * mean if idf[w] < 0 else idf[w]) * counts[w] * 2.5 / (counts[w] + 1.5 * (0.25 + 0.75 * dl / avgdl))
+        best = sorted((-round(s, 6), o, c) for (o, c), s in score.items() if round(s, 6) > 0)[:k]
+        out.update({(qid, i + 1): (c, -s) for i, (s, o, c) in enumerate(best)})
+    return out
+
+
+def test_bm25_of_candidates_counts_terms_once_per_chunk(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(80)]
+    texts = [(f"c{i}", " ".join(rng.choice(words) for _ in range(rng.randint(3, 30)))) for i in range(60)]
+    texts += [("c3", texts[3][1]), ("c4", " ".join(reversed(texts[4][1].split()))), ("c5", "w1 w2")]  # ids that come twice
+    queries = [(i, " ".join(rng.sample(words, 6))) for i in range(40)]
+    cands = [(q, o, f"c{o}") for q, _ in queries for o in range(60) if (o + q) % 2 == 0] + [(0, 4, "c4"), (1, 200, "c5")]
+    args = spark.createDataFrame(cands, "query_id int, ord int, chunk_id string"), spark.createDataFrame(queries, "query_id int, query string"), spark.createDataFrame(texts, "chunk_id string, content string")
+    written = []
+
+    def counted(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    cut = lx.cut
+    monkeypatch.setattr(lx, "cut", counted)
+    got = {(r.query_id, r["rank"]): (r.chunk_id, r.bm25_score) for r in lx.bm25_of_candidates(*args, 4).collect()}
+    want = _brute_candidates(cands, queries, texts, 4)
+    assert got.keys() == want.keys()
+    assert not [(x, got[x], want[x]) for x in want if got[x][0] != want[x][0] or abs(got[x][1] - want[x][1]) > 2e-6]
+    assert max(written) <= len(cands)  # never a row per query, chunk and term
+
+
+def test_bm25_sums_without_a_shuffle_of_pairs(spark):
+    chunks = spark.createDataFrame([(f"c{i}", i, f"a b{i % 7} c{i % 3} c{i % 3}") for i in range(50)] + [("twin", 60, "a a x"), ("twin", 60, "x y y"), (None, None, "b1")], "chunk_id string, ord int, content string")
+    queries = spark.createDataFrame([(1, "a b1 c2"), (2, "x y")], "query_id int, query string")
+    index = lx.bm25_index(chunks)
+    twin = {r.term: r.gain for r in index.postings.where("chunk_id = 'twin'").collect()}
+    assert twin["a"] == twin["x"] == twin["y"]  # two of each, over rows that agree in id and length
+    hits = lx.bm25_top_k(queries, index, 4)
+    hits.collect()
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" in plan
+    assert not [x for x in plan.splitlines() if "hashpartitioning(query_id" in x and "chunk_id" in x]
