@@ -2,65 +2,128 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions import text as tx
 from corpusloom.plans.scan import top_k
 from corpusloom.plans.session import cut
 
-KEY_LENGTHS = (1, 2, 4, 8, 16, 32)
-BLOCK = 256
-
-
-def _head_hashes(text: str, k: int) -> Column:
-    """Distinct hashes of all substrings of length ``k``.
-
-    The text is first cut into blocks, since a substring at position i costs i steps.
-    """
-    blocks = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
-
-    def of_block(b: Column, i: Column, blocks: Column) -> Column:
-        following = F.substring(F.coalesce(F.get(blocks, i + 1), F.lit("")), 1, k - 1) if k > 1 else F.lit("")
-        whole = F.concat(b, following)
-        starts = F.sequence(F.lit(1), F.least(F.length(b), F.greatest(F.length(whole) - (k - 1), F.lit(1))))
-        return F.transform(starts, lambda j: F.xxhash64(F.substring(whole, j, F.lit(k))))
-
-    return F.when(
-        F.length(text) >= k,
-        tx.let(blocks, lambda bs: F.array_distinct(F.flatten(F.transform(bs, lambda b, i: of_block(b, i, bs))))),
-    ).otherwise(F.array().cast("array<bigint>"))
-
-
-def _tagged(k: int):
-    return lambda h: F.struct(F.lit(k).alias("k"), h.alias("h"))
+#: Lengths of needle heads in UTF-8 bytes.
+KEY_LENGTHS = (1, 2, 4, 8, 16, 32, 64, 128)
+#: Bytes that are hashed at once inside a task.
+PIECE = 1 << 20
+#: Bits of the filter that needle heads are looked up in: at least, and at most (2 MB).
+FILTER_BITS = (20, 24)
+_ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
+
+
+def _byte_table() -> np.ndarray:
+    x = (np.arange(256, dtype=np.uint64) + np.uint64(1)) * _ODD[0]
+    return (x ^ (x >> np.uint64(29))) * _ODD[1]
+
+
+def _window_hashes(data: np.ndarray, lengths: Sequence[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """``(k, hash of data[i:i + k] for every i)`` for each of ``lengths`` (powers of two), by doubling."""
+    h, k = _byte_table()[data], 1
+    for wanted in sorted(lengths):
+        while k < wanted and len(h) > k:
+            h = h[:-k] * _ODD[0] + h[k:]
+            h ^= h >> np.uint64(31)
+            k *= 2
+        if k < wanted:
+            return
+        yield k, h * _ODD[2]
+
+
+def _text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of a text column without nulls, and the places where its rows start and the last one ends."""
+    column = column.cast(pa.large_string())
+    _, starts, data = column.buffers()
+    starts = np.frombuffer(starts, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[starts[0] : starts[-1]], starts - starts[0]
+
+
+def _needle_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(needle, _k, _start)`` to ``(needle, _k, _head)``: the hash of the first ``_k`` bytes."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        data, starts = _text_bytes(batch.column("_start"))
+        k_of = batch.column("_k").to_numpy()
+        head = np.zeros(batch.num_rows, np.uint64)
+        for k, h in _window_hashes(data, np.unique(k_of).tolist()):
+            rows = np.flatnonzero(k_of == k)
+            head[rows] = h[starts[rows]]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("_k"), pa.array(head.view(np.int64))], [batch.schema.names[0], "_k", "_head"])
+
+
+def _heads_in(used: Sequence[int], bits: int, packed: bytes):
+    """``(_tid, text)`` to the distinct ``(_tid, _k, _head)`` of the windows that the filter lets pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reach = max(used, default=1)
+        passes = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").view(bool)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tids = batch.column("_tid").to_numpy()
+            data, starts = _text_bytes(batch.column(1))
+            found = []
+            for low in range(0, len(data), PIECE):
+                # windows that start in this piece; they may end in the next one
+                for k, h in _window_hashes(data[low : low + PIECE + reach - 1], used):
+                    h = h[:PIECE]
+                    at = np.flatnonzero(passes[h >> np.uint64(64 - bits)])
+                    row = np.searchsorted(starts, at + low, "right") - 1
+                    inside = at + low + k <= starts[row + 1]
+                    if inside.any():
+                        keys = pd.DataFrame({"_tid": tids[row[inside]], "_k": np.int32(k), "_head": h[at[inside]].view(np.int64)})
+                        found.append(keys.drop_duplicates())
+            if found:
+                yield pa.RecordBatch.from_pandas(pd.concat(found).drop_duplicates(), preserve_index=False)
+
+    return run
+
+
+def _filter(heads: DataFrame) -> tuple[int, bytes]:
+    """Bits of a filter of ``heads(_head)`` and the filter; only its set words, at most 2 MB, reach the driver."""
+    bits = min(FILTER_BITS[1], max(FILTER_BITS[0], (64 * heads.count()).bit_length()))
+    slots = heads.select(F.shiftrightunsigned("_head", 64 - bits).alias("_slot")).distinct()
+    octets = slots.groupBy(F.shiftright("_slot", 3).alias("at")).agg(F.sum(F.pow(F.lit(2), F.col("_slot") % 8).cast("int")).cast("int").alias("bits")).toArrow()
+    packed = np.zeros(1 << (bits - 3), np.uint8)
+    packed[octets["at"].to_numpy()] = octets["bits"].to_numpy()
+    return bits, packed.tobytes()
 
 
 def contained_pairs(needles: DataFrame, hay: DataFrame, needle: str = "needle", text: str = "text") -> DataFrame:
     """Pairs ``(needle, text)`` of distinct texts where ``text`` contains ``needle``.
 
     A needle is keyed by its head, cut to a power of two: a text contains the needle only if
-    that head is among the text's substrings of that length.  Hashes of the substrings are
-    exploded per distinct text (linear in its length, at most six lengths) and joined with the
-    heads; the surviving pairs are verified.  Work grows with texts plus matches of heads at
-    least half as long as the needle (or 32 long), never with needles times texts.
+    that head is among the text's windows of that length.  All windows of a text are hashed at once
+    (linear in its length, at most eight lengths); those that a filter of the heads' hashes lets pass
+    are joined with the heads, and the surviving pairs are verified, so the filter's size changes the
+    work only.  Work grows with texts plus matches of heads at least half as long as the needle (or
+    128 bytes long), never with needles times texts.
     """
-    length = F.length(needle)
+    length = F.octet_length(needle)
     key_len = F.lit(KEY_LENGTHS[0])
     for k in KEY_LENGTHS[1:]:
         key_len = F.when(length >= k, F.lit(k)).otherwise(key_len)
     n = needles.select(needle).where(f"{needle} <> ''").distinct().withColumn("_k", key_len)
     # written out, so that the planner knows its size and can choose a broadcast where it is small
-    n = cut(n.withColumn("_head", F.xxhash64(F.substring(F.col(needle), F.lit(1), F.col("_k")))))
-    used = sorted(r[0] for r in n.select("_k").distinct().collect())  # at most six values
-    # a fixed number of partitions: cutting texts into substrings costs far more than their bytes say
+    n = cut(n.withColumn("_start", F.substring(F.col(needle), 1, KEY_LENGTHS[-1])).mapInArrow(_needle_heads, f"`{needle}` string, _k int, _head bigint"))
+    used = sorted(r[0] for r in n.select("_k").distinct().collect())  # at most eight values
+    # a fixed number of partitions: hashing texts costs more than their bytes say
     parts = max(hay.sparkSession.sparkContext.defaultParallelism, int(hay.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     h = cut(hay.select(text).where(f"{text} <> ''").repartition(parts, text).distinct().withColumn("_tid", F.monotonically_increasing_id()))
-    heads = F.concat(F.array().cast("array<struct<k:int,h:bigint>>"), *[
-        F.transform(_head_hashes(text, k), _tagged(k)) for k in used
-    ])
-    exploded = h.select("_tid", F.explode(heads).alias("x")).select("_tid", F.col("x.k").alias("_k"), F.col("x.h").alias("_head"))
-    hits = exploded.join(n, ["_k", "_head"]).select("_tid", needle)
+    heads = h.select("_tid", text).mapInArrow(_heads_in(used, *_filter(n)), "_tid bigint, _k int, _head bigint")
+    # written out: what the filter let pass is small beside the texts, and the planner then knows it
+    hits = cut(heads.join(n, ["_k", "_head"]).select("_tid", needle))
     return hits.join(h, "_tid").where(F.instr(F.col(text), F.col(needle)) > 0).select(needle, text)
 
 

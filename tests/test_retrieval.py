@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from corpusloom.operators import plugins as pl
 from corpusloom.operators import retrieval as rt
 from corpusloom.operators import seeding as sd
 from corpusloom.operators import vectors as vx
+from corpusloom.plans import textjoin
 from corpusloom.plans.textjoin import contained_pairs, overlap_counts
 
 CHUNKS = [
@@ -80,6 +82,28 @@ def test_contained_pairs_across_block_borders(spark):
     assert {(r.needle, r.text) for r in out.collect()} == {(n, t) for n in needles for t in texts if n in t}
 
 
+def test_contained_pairs_moves_only_windows_that_can_start_a_needle(spark, monkeypatch):
+    monkeypatch.setattr(textjoin, "PIECE", 64)  # a text lies in many pieces
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab主机é") for _ in range(n)) for n in (3, 63, 64, 65, 400, 400)] + ["x" * 300]
+    needles = [t[i : i + n] for t in texts for i, n in ((0, 2), (1, 9), (20, 30), (30, 200), (0, len(t))) if t[i : i + n]] + ["none of these", "x"]
+    moved = []
+    heads_in = textjoin._heads_in
+
+    def counting(*args):
+        run = heads_in(*args)
+        packed = pa.RecordBatch.from_pydict({"_tid": list(range(len(texts))), "text": texts})
+        moved.append(sum(b.num_rows for b in run([packed])))
+        return run
+
+    monkeypatch.setattr(textjoin, "_heads_in", counting)
+    hay = spark.createDataFrame([(t,) for t in texts + texts], "text string")
+    for some in (needles, ["none of these"], []):
+        out = contained_pairs(spark.createDataFrame([(n,) for n in some], "needle string"), hay).collect()
+        assert sorted((r.needle, r.text) for r in out) == sorted((n, t) for n in set(some) for t in set(texts) if n in t)
+    assert moved[0] < len(needles) * len(texts) and moved[1:] == [0, 0]  # every window of every text before
+
+
 def test_vector_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(6, 16))
