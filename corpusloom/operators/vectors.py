@@ -16,6 +16,8 @@ from corpusloom.plans.session import cut
 
 MAX_CELLS = 256
 BLOCK_ROWS = 100_000
+#: Groups of cells at least: a query is sent once to each, however many of its cells it must search.
+MIN_GROUPS = 16
 
 
 def _assigner(pivots: np.ndarray, id_col: str, keep_all: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -47,8 +49,8 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, threshold: floa
     ``queries(query_id, embedding)``, ``vectors(id, embedding)``.  Vectors are put into cells around
     pivot vectors.  A query first searches its own cell, which gives a lower bound for its k-th hit;
     by the triangle inequality of angles a cell whose best possible cosine stays below that bound is
-    skipped, every other cell is searched.  A task gets at most one block of queries and one of
-    vectors and returns the best ``k`` per query of that block.
+    skipped, every other cell is searched.  Cells lie in groups; a task gets one block of queries, each
+    with its cells, and one group of vectors, and returns the best ``k`` per query of that block.
     """
     n = vectors.count()
     cells = max(1, min(MAX_CELLS, int(math.sqrt(n))))
@@ -64,40 +66,52 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, threshold: floa
     q = cut(queries.select("query_id", "embedding").mapInPandas(_assigner(pivots, "query_id", True), f"query_id {qt}, embedding {et}, cell int, angles array<double>"))
     nq = q.count()
     blocks = max(1, -(-nq // BLOCK_ROWS))
-    # at most MAX_CELLS rows
-    stats = cut(v.groupBy("cell").agg(F.max("angle").alias("radius"), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("splits")))
+    # at most MAX_CELLS rows; a cell of many vectors stands in several groups, small cells share one
+    stats = v.groupBy("cell").agg(F.max("angle").alias("radius"), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("splits"), F.count(F.lit(1)).alias("n")).collect()
+    groups = max(MIN_GROUPS, -(-2 * n // BLOCK_ROWS))
+    radius, places = [None] * cells, [[] for _ in range(cells)]
+    parts = sorted((-r["n"] // r["splits"], r["cell"]) for r in stats for _ in range(r["splits"]))
+    for i, (_size, cell) in enumerate(parts):
+        places[cell].append(i % groups)
+    for r in stats:
+        radius[r["cell"]] = r["radius"]
+    groups_of = F.array(*[F.array(*map(F.lit, g)).cast("array<int>") for g in places])
+    radii = F.array(*[F.lit(r).cast("double") for r in radius])
+    mine = F.get(groups_of, F.col("cell"))
     split = (
-        v.join(stats.select("cell", "splits"), "cell")
-        .withColumn("vs", F.pmod(F.xxhash64("id"), F.col("splits")).cast("int"))
+        v.withColumn("grp", F.get(mine, F.pmod(F.xxhash64("id"), F.size(mine)).cast("int")))
         .withColumn("qs", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .select("cell", "vs", "qs", "id", "embedding")
+        .select("grp", "qs", "cell", "id", "embedding")
     )
-    key = ["cell", "vs", "qs"]
+    key = ["grp", "qs"]
 
     def search(probe: DataFrame) -> DataFrame:
-        spread = probe.withColumn("vs", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).withColumn(
-            "qs", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
-        )
-        left = spread.select(*key, "query_id", "embedding").groupBy(*key)
+        """``probe(query_id, embedding, cells, floor)``: a query goes once to each group that holds one of its cells."""
+        of_cells = F.array_distinct(F.flatten(F.transform("cells", lambda c: F.get(groups_of, c))))
+        spread = probe.withColumn("grp", F.explode(of_cells)).withColumn("qs", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        here = F.filter("cells", lambda c: F.array_contains(F.get(groups_of, c), F.col("grp")))
+        left = spread.select(*key, "query_id", "embedding", here.alias("cells"), "floor").groupBy(*key)
         return left.cogroup(split.groupBy(*key)).applyInPandas(_block_top_k(k, threshold), f"query_id {qt}, id {vt}, distance double")
 
     order = [F.desc(F.round("distance", 6)), F.col("id")]
-    home = cut(top_k(search(q.join(stats, "cell")), "query_id", order, k))
+    own = q.where(F.get(radii, F.col("cell")).isNotNull())
+    home = cut(top_k(search(own.select("query_id", "embedding", F.array("cell").alias("cells"), F.lit(-1.0).alias("floor"))), "query_id", order, k))
     bound = home.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("distance")).alias("kth"))
-    far = (
-        q.select("query_id", "embedding", F.col("cell").alias("home"), F.posexplode("angles").alias("cell", "angle"))
-        .where("cell <> home")
-        .join(stats, "cell")
-        .join(bound, "query_id", "left")
-    )
-    best = F.cos(F.greatest(F.lit(0.0), F.col("angle") - F.col("radius"))) + 2e-6
-    far = far.where(best >= F.greatest(F.lit(threshold), F.coalesce("kth", F.lit(-1.0))))
+    floor = F.coalesce("kth", F.lit(-1.0))
+
+    def near_enough(c):
+        best = F.cos(F.greatest(F.lit(0.0), F.get("angles", c) - F.get(radii, c))) + 2e-6
+        return (c != F.col("cell")) & F.coalesce(best >= F.greatest(F.lit(threshold), floor), F.lit(False))
+
+    others = F.filter(F.sequence(F.lit(0), F.lit(cells - 1)), near_enough)
+    far = q.join(bound, "query_id", "left").select("query_id", "embedding", others.alias("cells"), floor.alias("floor"))
     hits = home.select("query_id", "id", "distance").unionByName(search(far))
     return top_k(hits, "query_id", order, k).select("query_id", "rank", "id", "distance")
 
 
 def _block_top_k(k: int, threshold: float):
-    """Top ``k`` of every query inside one block of queries and one of vectors: a matrix product."""
+    """Top ``k`` of every query in its cells of one group: matrix products, of which only what reaches the query's floor,
+    the k-th best known so far, is ranked."""
 
     def unit(col: pd.Series) -> np.ndarray:
         m = np.stack([np.asarray(x, dtype=np.float64) for x in col])
@@ -108,23 +122,38 @@ def _block_top_k(k: int, threshold: float):
         out = {"query_id": [], "id": [], "distance": []}
         if len(queries) and len(vectors):
             vectors = vectors.sort_values("id", kind="stable")
-            vm, ids = unit(vectors["embedding"]), vectors["id"].to_numpy()
-            for start in range(0, len(queries), 256):
-                part = queries.iloc[start : start + 256]
-                sims = unit(part["embedding"]) @ vm.T
-                for qid, row in zip(part["query_id"], sims):
-                    r = np.round(row, 6)
-                    keep = np.flatnonzero(row >= threshold)
-                    if len(keep) > k:
-                        kth = np.partition(r[keep], len(keep) - k)[len(keep) - k]
-                        keep = keep[r[keep] >= kth]
-                    keep = keep[np.argsort(-r[keep], kind="stable")][:k]
-                    out["query_id"].extend([qid] * len(keep))
-                    out["id"].extend(ids[keep])
-                    out["distance"].extend(row[keep])
+            vm, ids, cell = unit(vectors["embedding"]), vectors["id"].to_numpy(), vectors["cell"].to_numpy()
+            at_cell = {int(c): np.flatnonzero(cell == c) for c in np.unique(cell)}
+            for start in range(0, len(queries), 512):
+                part = queries.iloc[start : start + 512]
+                qm, floor = unit(part["embedding"]), part["floor"].to_numpy() - 2e-6
+                wanted = {}
+                for i, cells in enumerate(part["cells"]):
+                    for c in cells:
+                        wanted.setdefault(int(c), []).append(i)
+                who, what, near = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+                for c, asking in wanted.items():
+                    asking, members = np.array(asking), at_cell.get(c, np.zeros(0, np.int64))
+                    for low in range(0, len(members), 8192):
+                        some = members[low : low + 8192]
+                        sims = qm[asking] @ vm[some].T
+                        i, j = np.nonzero(sims >= np.maximum(threshold, floor[asking])[:, None])
+                        if not len(i):
+                            continue
+                        who, what, near = np.append(who, asking[i]), np.append(what, some[j]), np.append(near, sims[i, j])
+                        ranked = np.lexsort((what, -np.round(near, 6), who))
+                        first = np.searchsorted(who[ranked], who[ranked])
+                        place = np.arange(len(ranked)) - first
+                        kth = ranked[place == k - 1]
+                        floor[who[kth]] = np.maximum(floor[who[kth]], near[kth] - 2e-6)
+                        ranked = ranked[place < k]
+                        who, what, near = who[ranked], what[ranked], near[ranked]
+                out["query_id"].append(part["query_id"].to_numpy()[who])
+                out["id"].append(ids[what])
+                out["distance"].append(near)
         # an empty block must keep the column kinds
         kinds = {"query_id": object, "id": object, "distance": "float64"}
-        return pd.DataFrame({c: pd.Series(x, dtype=kinds[c]) for c, x in out.items()})
+        return pd.DataFrame({c: pd.Series(np.concatenate(x) if x else [], dtype=kinds[c]) for c, x in out.items()})
 
     return run
 

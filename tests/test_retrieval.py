@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -120,6 +121,45 @@ def test_vector_top_k_equals_brute_force(spark):
         assert [x for _s, x in want] == [x for _r, x in mine]
 
 
+@pytest.mark.parametrize("block", [20, 200])
+def test_vector_top_k_sends_a_query_once_to_a_group(spark, monkeypatch, block):
+    rng = np.random.default_rng(2)
+    vecs = rng.normal(size=(900, 16))  # no structure: nearly every one of the 30 cells has to be searched
+    sent = []
+    block_top_k = vx._block_top_k
+
+    def counting(k, threshold):
+        run, rows = block_top_k(k, threshold), spark.sparkContext.accumulator(0)
+        sent.append(rows)
+
+        def counted(queries, vectors):
+            rows.add(len(queries))
+            return run(queries, vectors)
+
+        return counted
+
+    monkeypatch.setattr(vx, "_block_top_k", counting)
+    monkeypatch.setattr(vx, "BLOCK_ROWS", block)  # 20: cells of several splits, queries of several blocks
+    monkeypatch.setattr(vx, "MIN_GROUPS", 4)
+    monkeypatch.setattr(vx, "MAX_CELLS", 30)
+    rows = [(i, [float(x) for x in row]) for i, row in enumerate(vecs)]
+    v = spark.createDataFrame([*rows, *rows[:5]], "id int, embedding array<double>")
+    got = vx.vector_top_k(spark.createDataFrame(rows[::9], "query_id int, embedding array<double>"), v, 3).collect()
+    unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    for q in range(0, 900, 9):
+        near = [*enumerate(unit @ unit[q]), *enumerate(unit[:5] @ unit[q])]
+        want = sorted((-round(float(x), 6), i) for i, x in near if x >= 0.2)[:3]
+        assert [r.id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [i for _x, i in want]
+    assert block == 20 or sent[1].value <= 100 * 10  # of 30 cells; once for each cell before
+
+
+def test_vector_search_ranks_only_what_reaches_the_floor():
+    queries = pd.DataFrame({"query_id": [7], "embedding": [[1.0, 0.0]], "cells": [[0, 1]], "floor": [0.9]})
+    vectors = pd.DataFrame({"cell": [0, 0, 1, 2], "id": [1, 2, 3, 4], "embedding": [[1.0, 1.0], [1.0, 0.1], [1.0, 0.0], [1.0, 0.0]]})
+    out = vx._block_top_k(3, 0.2)(queries, vectors)
+    assert sorted(out["id"]) == [2, 3]  # 1 lies below the floor, 4 in a cell that was not asked for
+
+
 def test_hybrid_recall_fixture(spark):
     chunks = chunk_frame(spark)
     seeds = spark.createDataFrame([("q", 1, "chunk-a"), ("q", 2, "chunk-b")], "query_id string, rank int, chunk_id string")
