@@ -85,8 +85,8 @@ def bands_of(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """id, bands, slots (a byte of each signature slot); per input row."""
-    out = T.StructType([docs.schema["id"], T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("slots", T.BinaryType())])
+    """id, bands; per input row."""
+    out = T.StructType([docs.schema["id"], T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for batch in batches:
@@ -100,16 +100,28 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     sig = signatures(h, r, w, d - c, bands * rows)
                     found = bands_of(sig, bands, rows)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(d - c + 1, dtype=np.int32) * bands), pa.array(found.ravel().view(np.int64)))
-                    low = (mix(sig.view(np.uint64)) & np.uint64(0xFF)).astype(np.uint8)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(c, d - c), lists, pa.array([x.tobytes() for x in low], pa.binary())], names=out.names)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(c, d - c), lists], names=out.names)
 
     return docs.select("id", word_hashes(F.col("text")).alias("words")).mapInArrow(run, out)
 
 
+def among(rows: DataFrame, name: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose ``name`` may stand in ``wanted``, whole: all that do and a few others, so that a join behind it moves
+    little. The filter has FILTER_BITS bits, 512 a row, however much is wanted; the more, the more others pass."""
+    slot = F.pmod(F.xxhash64(name), F.lit(1 << FILTER_BITS))
+    held = wanted.select(F.shiftright(slot, 9).alias("_at"), F.shiftright(slot, 6).bitwiseAND(F.lit(7)).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{name}`), 64) as int))").alias("bit"))
+    words = [F.bit_or(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))) for k in range(8)]
+    filled = F.broadcast(held.groupBy("_at").agg(F.array(*words).alias("_words")))
+    word = F.get("_words", F.shiftright(slot, 6).bitwiseAND(F.lit(7)).cast("int"))
+    asked = rows.join(filled, F.shiftright(slot, 9) == F.col("_at"))
+    return asked.where(F.getbit(word, F.pmod(F.xxhash64(name), F.lit(64)).cast("int")) == 1).select(*rows.columns)
+
+
 def verified(pairs: DataFrame, hashed: DataFrame, similar: float) -> DataFrame:
     """Those pairs (a, b) whose texts' shingle multisets overlap by ``similar`` or more, with the similarity; ``hashed`` has
     the word hashes of each id."""
-    both = pairs.join(hashed.withColumnsRenamed({"id": "a", "words": "wa"}), "a").join(hashed.withColumnsRenamed({"id": "b", "words": "wb"}), "b")
+    sides = [among(hashed.withColumnsRenamed({"id": x, "words": f"w{x}"}), x, pairs) for x in ("a", "b")]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
     out = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("similarity", T.DoubleType())])
 
     def run(batches):
@@ -174,9 +186,8 @@ def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
 PARTS = 4
 #: Rounds in which members outside their bucket's largest class meet one member of it; rows of a block in the last step.
 ROUNDS, BLOCK = 2, 256
-#: The last step reads two texts only if so large a share of their slots agree. Two texts at exactly 0.8 agree in fewer
-#: of 512 with 3 in a million.
-AGREE = 0.72
+#: Size of the filters of ``among``, 2 MB.
+FILTER_BITS = 24
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -191,9 +202,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Bands of equal signature rows form buckets. A document is compared with the smallest and the largest id of all its
     buckets. In buckets that then still hold several classes, each member outside the largest class is compared with one
     member of that class, another one each round: whoever belongs to it mostly meets a similar one soon, at one pair a
-    member. What is still open after that is compared in full, signature by signature in blocks inside tasks (``_agreeing``);
-    only pairs of different classes whose signatures agree come out and have their texts compared. So each pair that shares
-    a bucket is decided or connected otherwise, and no step emits the pairs of a group.
+    member. What is still open after that is compared in full, text by text in blocks inside tasks (``_linked``); a block
+    gives one link at most for two classes that it joins. So each pair that shares a bucket is decided or connected
+    otherwise, and no step emits the pairs of a group.
     """
     own = texts(docs, id_col, text_col).where(F.col("id").isNotNull()).withColumn("id", F.col("id").cast("long"))
     seen = own.select("id", word_list(F.col("text")).alias("w")).select("id", *hash128("w"))
@@ -213,24 +224,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         size = -(-bands // PARTS)
         keys = signs.select("id", F.explode(F.slice("bands", p * size + 1, size)).alias("key"))
         shared = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("n > 1"))
-        parts.append(cut(keys.join(shared.drop("n"), "key").select("key", "id", "low", "high")))
+        parts.append(cut(among(keys, "key", shared).join(shared.drop("n"), "key").select("key", "id", "low", "high")))
         drop(shared)
     members = parts[0]
     for part in parts[1:]:
         members = members.unionByName(part)
-    slots = cut(signs.select("id", "slots").join(members.select("id").distinct(), "id", "left_semi"))
     drop(signs)
 
     ends = cut(members.groupBy("id").agg(F.array(F.min("low"), F.max("high")).alias("ends")))
     labels = ends.select("id", F.col("id").alias("root"))
-    hashed = cut(leads.join(ends.select("id"), "id", "left_semi").select("id", word_hashes(F.col("text")).alias("words")))
+    # an inner join, as the planner would move a semi join ahead of the filter
+    hashed = cut(among(leads, "id", ends).join(ends.select("id"), "id").select("id", word_hashes(F.col("text")).alias("words")))
     tried = cut(_pairs(ends))
     labels = merged(labels, cut(verified(tried, hashed, similar)))
     for turn in range(ROUNDS + 1):
         open_ = _open(members, labels)
         if open_.isEmpty():
             break
-        asked = _agreeing(open_, slots) if turn == ROUNDS else _met(open_, turn)
+        if turn == ROUNDS:
+            labels = merged(labels, cut(_linked(open_, hashed, similar)))
+            break
+        asked = _met(open_, turn)
         asked = cut(asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
         labels = merged(labels, cut(verified(asked, hashed, similar)))
         tried = tried.unionByName(asked)
@@ -238,7 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = seen.join(copies.select("h1", "h2", "leader"), ["h1", "h2"], "left").select("id", F.coalesce("leader", "id").alias("leader"))
     named = cut(named.join(labels.withColumnRenamed("id", "own"), F.col("leader") == F.col("own"), "left").select("id", F.coalesce("root", "leader").alias("class_id")))
     sizes = cut(named.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")))
-    drop(hashed, slots, *parts)
+    drop(hashed, *parts)
     return named.join(sizes, "class_id").select(F.col("id").alias(id_col), "class_id", "class_size")
 
 
@@ -262,46 +276,64 @@ def _met(open_: DataFrame, turn: int) -> DataFrame:
     return open_.where("root <> main").select("key", F.col("id").alias("a")).join(host, "key").select("a", "b")
 
 
-def _agreeing(open_: DataFrame, slots: DataFrame) -> DataFrame:
-    """a, b: members of different classes of a bucket whose signatures agree in AGREE of their slots.
+def _linked(open_: DataFrame, hashed: DataFrame, similar: float) -> DataFrame:
+    """a, b: similar members of different classes of a bucket, enough of them to join whatever classes of a block are linked.
 
-    Buckets are cut into blocks by a hash of the id; a task gets two blocks at a time and compares their signatures.
+    Buckets are cut into blocks by a hash of the id; a task gets two blocks at a time and compares their texts.
     """
     sizes = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     rows = open_.select("key", "id", "root").join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.select("key", "id", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("key", "id", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(slots, "id")
-    tiles = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "block", "id", "root", "slots")
-    return tiles.mapInArrow(_compared, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
-
-
-def _compared(batches):
-    rest = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
-        cols = [table.column(c).to_numpy() for c in ("key", "i", "j")]
-        starts = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in cols])])) if len(table) else np.zeros(0, int)
-        for a, b in zip(starts[:-1], starts[1:]):
-            yield from _tile(table.slice(a, b - a))
-        rest = table.slice(starts[-1]) if len(starts) else None
-    if rest is not None:
-        yield from _tile(rest)
-
-
-def _tile(rows: pa.Table):
-    """Agreeing pairs of one tile; each member outside its most frequent class is compared with all others at once."""
+    rows = rows.select("key", "id", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(among(hashed, "id", open_), "id")
+    tiles = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "block", "id", "root", "words")
+
+    def compared(batches):
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+            cols = [table.column(c).to_numpy() for c in ("key", "i", "j")]
+            starts = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in cols])])) if len(table) else np.zeros(0, int)
+            for a, b in zip(starts[:-1], starts[1:]):
+                yield from _tile(table.slice(a, b - a), similar)
+            rest = table.slice(starts[-1]) if len(starts) else None
+        if rest is not None:
+            yield from _tile(rest, similar)
+
+    return tiles.mapInArrow(compared, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+
+
+def _tile(rows: pa.Table, similar: float):
+    """Links that join the classes of one tile; each member outside its most frequent class is compared at once with all
+    others whose class it has not been joined with."""
     block, ids, root = (rows.column(c).to_numpy() for c in ("block", "id", "root"))
-    sig = np.frombuffer(b"".join(rows.column("slots").to_pylist()), np.uint8).reshape(len(ids), -1)
-    names, count = np.unique(root, return_counts=True)
+    h, total = shingles(*flat(rows.column("words").combine_chunks()))
+    h, r, times = counted(h, np.repeat(np.arange(len(ids)), total))
+    code = np.unique(h, return_inverse=True)[1]
+    begin, end = (np.searchsorted(r, np.arange(len(ids)), side) for side in ("left", "right"))
+    mine, held = np.zeros(len(h) + 1, np.int64), np.zeros(len(h) + 1, np.int64)
+    names, own, count = np.unique(root, return_inverse=True, return_counts=True)
+    joined = np.arange(len(names))
     two = block.min() != block.max()
-    need = AGREE * sig.shape[1]
     left, right = [], []
-    for x in np.flatnonzero(root != names[count.argmax()]).tolist():
-        other = np.flatnonzero((root != root[x]) & ((block != block[x]) if two else True))
-        hit = other[(sig[other] == sig[x]).sum(axis=1) >= need]
-        left.append(np.full(len(hit), ids[x]))
-        right.append(ids[hit])
+    for x in np.flatnonzero(own != count.argmax()).tolist():
+        other = joined[own] != joined[own[x]]
+        if two:
+            other &= block != block[x]
+        # texts of too different lengths cannot overlap enough
+        other = np.flatnonzero(other & (np.minimum(total, total[x]) >= similar * np.maximum(total, total[x]) - 1e-9))
+        if not len(other):
+            continue
+        at = code[begin[x] : end[x]]
+        mine[at] = times[begin[x] : end[x]]
+        np.cumsum(np.minimum(mine[code], times), out=held[1:])
+        mine[at] = 0
+        shared = held[end[other]] - held[begin[other]]
+        hit = other[shared / np.maximum(1, total[x] + total[other] - shared) >= similar - 1e-12]
+        classes, first = np.unique(joined[own[hit]], return_index=True)
+        left.append(np.full(len(first), ids[x]))
+        right.append(ids[hit[first]])
+        joined[np.isin(joined, classes)] = joined[own[x]]
     if left:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 

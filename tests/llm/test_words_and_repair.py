@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import repair, spelling, token_counts
+from corpusloom.llm import neardup, repair, spelling, token_counts
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -254,3 +254,31 @@ def test_a_large_group_of_near_copies_is_compared_in_proportion(spark, monkeypat
     assert got == dict(enumerate(root)) and sum(compared) < 20 * len(texts) < len(texts) ** 2 / 6
     kept = neardup.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
+
+
+def test_last_near_duplicate_step_gives_links_not_the_pairs_of_a_bucket(spark, monkeypatch):
+    # one bucket, three classes of mutually similar texts and one text of its own: joining them takes few links
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for _ in range(150):
+        words = list(base)
+        words[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts.append(" ".join(base[:100]))
+    rows = [(7, i, i % 3 if i < 150 else 150, 0) for i in range(151)]
+    open_ = neardup.cut(spark.createDataFrame(rows, "key long, id long, root long, main long"))
+    hashed = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", neardup.word_hashes(F.col("text")).alias("words"))
+    monkeypatch.setattr(neardup, "BLOCK", 50)
+    got = [(r["a"], r["b"]) for r in neardup._linked(open_, neardup.cut(hashed), 0.8).collect()]
+    linked = {frozenset((a % 3, b % 3)) for a, b in got}
+    assert len(linked) >= 2 and all(len(x) == 2 for x in linked) and all(max(p) < 150 for p in got)
+    assert len(got) <= 2 * 10  # two a tile at most, four blocks make ten tiles
+
+
+def test_filter_passes_all_that_is_wanted_and_little_else(spark):
+    rows = spark.range(-5000, 5000)
+    wanted = rows.where("id % 100 = 0")
+    got = {r["id"] for r in neardup.among(rows, "id", wanted).collect()}
+    assert {r["id"] for r in wanted.collect()} <= got and len(got) < 150
+    assert neardup.among(rows, "id", wanted.limit(0)).count() == 0
