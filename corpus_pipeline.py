@@ -33,7 +33,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and whether the ids decode to the text."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    both = bpe.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), path, pattern)
+    # the executors' heaps have grown in the stages before
+    both = bpe.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), path, pattern, bounds=bpe.SMALL)
     same = F.sha2("decoded", 256) == F.sha2(F.coalesce("text", F.lit("")), 256)
     return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("decodes"))
 

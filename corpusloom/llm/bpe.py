@@ -20,6 +20,9 @@ from pyspark.sql import types as T
 #: Code points (or ids) taken at once, bytes of new words merged at once and distinct strings a worker remembers; all only
 #: bound memory.
 PIECE, MERGE, REMEMBER = 1_500_000, 500_000, 1_000_000
+#: The same for jobs whose executors hold more than this step: a worker takes 340 MB at most instead of 620, for half as much
+#: CPU again.
+SMALL = (500_000, 125_000, 150_000)
 #: A blank at either end of a text or next to other white space.
 BLANKS = r"^ | $|[\s\x0b\x1c-\x1f\x{85}\pZ] | [\s\x0b\x1c-\x1f\x{85}\pZ]"
 
@@ -68,10 +71,12 @@ SELECT w, pos, id, 0 AS round FROM step WHERE id >= 0 ORDER BY w, pos
 class Engine:
     """Vocabulary, merge table and the strings encoded so far."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, merged: int = MERGE, remembered: int = REMEMBER):
         import duckdb
         import regex
 
+        self.merged, self.remembered = merged, remembered
+
         with open(path, "rb") as f:
             pairs = [line.split() for line in f if line.strip()]
         tokens = [base64.b64decode(a) for a, _ in pairs]
@@ -94,6 +99,17 @@ class Engine:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.again = np.zeros(0, bool)
+
+    def forget_rare(self) -> None:
+        """Keeps the strings met again since they were learnt or last kept; none if they are most of what may be remembered."""
+        kept = np.flatnonzero(self.again)
+        if 4 * len(kept) > 3 * self.remembered:
+            return self.forget()
+        strings = [x for x, again in zip(self.known, self.again.tolist()) if again]  # a dict lists its strings by slot
+        ids, sizes = self.gather(kept)
+        self.forget()
+        self.store(strings, ids, sizes)
 
     def slots(self, strings: list[str]) -> np.ndarray:
         """Place of each string in what is known, -1: not known."""
@@ -125,6 +141,7 @@ class Engine:
         self.known.update(zip(strings, range(len(self.known), len(self.known) + len(strings))))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, ids.astype(np.int32)])
+        self.again = np.concatenate([self.again, np.zeros(len(strings), bool)])
 
     def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = self.sizes[slots]
@@ -141,7 +158,7 @@ class Engine:
         whole = np.flatnonzero(rank >= 0)
         self.store([fresh[i] for i in whole], rank[whole], np.ones(len(whole), np.int64))
         for query, some in ((ENCODE, np.flatnonzero((rank < 0) & (size <= LONG))), (ENCODE_LONG, np.flatnonzero((rank < 0) & (size > LONG)))):
-            for a in self.chunks(size[some].tolist(), MERGE):
+            for a in self.chunks(size[some].tolist(), self.merged):
                 self.store([fresh[i] for i in some[a]], *self.merge([raw[i] for i in some[a]], query))
         rest = [i for i, x in enumerate(strings) if x not in self.known]
         ids, sizes = self.gather(self.slots([w for i in rest for w in found[i]]))
@@ -176,10 +193,11 @@ class Engine:
         coded = strings.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         slots = self.slots(distinct)
+        self.again[slots[slots >= 0]] = True
         if (slots < 0).any():
-            if len(self.known) > REMEMBER:
-                self.forget()
-                slots[:] = -1
+            if len(self.known) > self.remembered:
+                self.forget_rare()
+                slots = self.slots(distinct)
             self.learn([distinct[i] for i in np.flatnonzero(slots < 0)])
             slots = self.slots(distinct)
         slots = slots[coded.indices.to_numpy()]
@@ -204,16 +222,17 @@ class Engine:
         return pc.fill_null(found.cast(pa.binary()), b"")
 
 
-_ENGINES: dict[tuple[str, str], Engine] = {}
+_ENGINES: dict[tuple, Engine] = {}
 
 
-def engine(path: str, pattern: str) -> Engine:
-    if (path, pattern) not in _ENGINES:
-        _ENGINES[path, pattern] = Engine(path, pattern)
-    return _ENGINES[path, pattern]
+def engine(path: str, pattern: str, merged: int = MERGE, remembered: int = REMEMBER) -> Engine:
+    key = path, pattern, merged, remembered
+    if key not in _ENGINES:
+        _ENGINES[key] = Engine(*key)
+    return _ENGINES[key]
 
 
-def _mapped(df: DataFrame, column: str, out: T.StructType, convert) -> DataFrame:
+def _mapped(df: DataFrame, column: str, out: T.StructType, convert, piece: int = PIECE) -> DataFrame:
     """Adds the columns that ``convert`` makes of pieces of ``column`` as the last ones of ``out``."""
 
     def run(batches):
@@ -222,7 +241,7 @@ def _mapped(df: DataFrame, column: str, out: T.StructType, convert) -> DataFrame
         for batch in batches:
             col = batch.column(batch.schema.get_field_index(column))
             sizes = [x or 0 for x in (pc.utf8_length(col) if pa.types.is_string(col.type) else col.value_lengths()).to_pylist()]
-            for a in Engine.chunks(sizes):
+            for a in Engine.chunks(sizes, piece):
                 part = batch.slice(a.start, a.stop - a.start)
                 yield pa.RecordBatch.from_arrays([*part.columns, *convert(part.column(part.schema.get_field_index(column)))], names=out.names)
             pa.default_memory_pool().release_unused()
@@ -263,19 +282,21 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_c
     return _mapped(df, ids_col, T.StructType([*df.schema.fields, T.StructField(bytes_col, T.BinaryType())]), convert)
 
 
-def encode_and_decode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """encode, then decode of its ids, in one pass: one Python worker per core instead of two."""
+def encode_and_decode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", bytes_col: str = "decoded", bounds: tuple[int, int, int] = (PIECE, MERGE, REMEMBER)) -> DataFrame:
+    """encode, then decode of its ids, in one pass: one Python worker per core instead of two. ``bounds`` (see PIECE) only
+    trade memory for CPU; ``SMALL`` suits executors that hold much else."""
     _fresh(df, ids_col)
     _fresh(df, bytes_col)
+    piece, *kept = bounds
 
     def convert(col):
         from corpusloom.llm.bpe import engine
 
-        ids = engine(path, pattern).encode(col)
-        return [ids, engine(path, pattern).decode(ids)]
+        ids = engine(path, pattern, *kept).encode(col)
+        return [ids, engine(path, pattern, *kept).decode(ids)]
 
     added = [T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(bytes_col, T.BinaryType())]
-    return _mapped(df, text_col, T.StructType([*df.schema.fields, *added]), convert)
+    return _mapped(df, text_col, T.StructType([*df.schema.fields, *added]), convert, piece)
 
 
 def ids_sha256(ids_col: str = "ids"):
