@@ -7,10 +7,11 @@ the last one ended. What has been written is found on storage, never in the driv
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -188,34 +189,36 @@ def stream_result_summary(results: DataFrame, window: str | None = None, delay:
 
 
 class _Moves(StatefulProcessor):
-    """Rows of a run wait in a list until the watermark has passed them, then they leave in order."""
+    """Rows of a run wait in a list until the watermark has passed them, then they leave in order.
+
+    A batch's rows are one entry of the list: every call of the state store costs a round trip, every entry its conversion.
+    """
 
     def __init__(self, moves: set[tuple[str, str]], start: str, timeout_us: int):
         self.moves, self.start, self.timeout = moves, start, timeout_us
+        self.move = Row("run_id", "seq", "before", "state", "is_valid")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "state string, us long")
-        self.held = handle.getListState("held", "us long, seq string, state string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for pdf in rows:
-            self.held.appendList(list(zip(pdf["us"].tolist(), pdf["seq"].tolist(), pdf["state"].tolist())))
-            first = pdf["us"].min() if first is None else min(first, pdf["us"].min())
-        self._wake(int(first))
+        self.held = handle.getListState("held", "rows string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        got = [(r.us, r.seq, r.state) for r in rows]
+        self.held.appendValue((json.dumps(got),))
+        self._wake(min(r[0] for r in got))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(self.held.get(), key=lambda r: (r[0], _order(r[1]))) if self.held.exists() else []
+        entries = list(self.held.get())
+        held = sorted((tuple(r) for e in entries for r in json.loads(e[0])), key=lambda r: (r[0], _order(r[1])))
         ready = [r for r in held if r[0] <= now]
+        later = held[len(ready) :]
         if ready:
-            later = held[len(ready) :]
-            self.held.put(later) if later else self.held.clear()
-        else:
-            later = held
-        before, since = self.last.get() if self.last.exists() else (self.start, None)
+            self.held.put([(json.dumps(later),)]) if later else self.held.clear()
+        known = self.last.get()
+        before, since = known if known is not None else (self.start, None)
         out = []
         for us, seq, state in ready:
             if self._silent(since, us):
@@ -228,14 +231,14 @@ class _Moves(StatefulProcessor):
             before, since = self.start, None
         if since is not None:
             self.last.update((before, since))
-        elif self.last.exists():
+        elif known is not None:
             self.last.clear()
         if self.timeout and since is not None:
             self._wake(since + self.timeout)
         if later:
             self._wake(later[0][0])
-        if out:
-            yield pd.DataFrame({"run_id": [key[0]] * len(out), "seq": [r[0] for r in out], "before": [r[1] for r in out], "state": [r[2] for r in out], "is_valid": [r[1:] in self.moves for r in out]})
+        for seq, before, state in out:
+            yield self.move(key[0], seq, before, state, (before, state) in self.moves)
 
     def _silent(self, since: int | None, until: int) -> bool:
         return bool(self.timeout) and since is not None and since + self.timeout <= until
@@ -268,7 +271,7 @@ def stream_transitions(log: DataFrame, allowed: Mapping[str, Sequence[str]] = ev
     moves = {(a, b) for a, bs in allowed.items() for b in bs}
     rid, sid = (dict(log.dtypes)[c] for c in ("run_id", "seq"))
     src = log.withWatermark("ts", delay).select("run_id", F.col("seq").cast("string").alias("seq"), "state", "ts", F.unix_micros("ts").alias("us"))
-    made = src.groupBy("run_id").transformWithStateInPandas(
+    made = src.groupBy("run_id").transformWithState(
         _Moves(moves, start, int(pd.Timedelta(timeout) / pd.Timedelta(microseconds=1)) if timeout else 0),
         f"run_id {rid}, seq string, before string, state string, is_valid boolean", "Append", "EventTime",
     )

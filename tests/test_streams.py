@@ -4,6 +4,7 @@ import datetime as dt
 import os
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from corpusloom.operators import evaluation as ev
@@ -58,6 +59,68 @@ def test_silent_runs_fail_also_between_rows_of_one_file(spark, tmp_path):
     assert ("s", None, "starting", "failed", True) in got
 
 
+def test_a_batch_of_a_run_is_one_entry_of_its_list():
+    class Store:
+        def __init__(self):
+            self.entries, self.value, self.timers, self.calls = [], None, [], 0
+
+        def getListState(self, name, schema):
+            return ListState(self)
+
+        def getValueState(self, name, schema):
+            return ValueState(self)
+
+        def registerTimer(self, ms):
+            self.calls += 1
+            self.timers.append(ms)
+
+    class ListState:
+        def __init__(self, store):
+            self.store = store
+
+        def appendValue(self, value):
+            self.store.calls += 1
+            self.store.entries.append(value)
+
+        def get(self):
+            self.store.calls += 1
+            return iter(self.store.entries)
+
+        def put(self, values):
+            self.store.calls += 1
+            self.store.entries = values
+
+        def clear(self):
+            self.put([])
+
+    class ValueState:
+        def __init__(self, store):
+            self.store = store
+
+        def get(self):
+            self.store.calls += 1
+            return self.store.value
+
+        def update(self, value):
+            self.store.calls += 1
+            self.store.value = value
+
+    class Watermark:
+        def getCurrentWatermarkInMs(self):
+            return 500
+
+    store, row = Store(), Row("us", "seq", "state")
+    runs = jobs._Moves({("idle", "a"), ("a", "a")}, "idle", 0)
+    runs.init(store)
+    for batch in (range(1, 1000, 2), range(0, 1000, 2)):
+        assert list(runs.handleInputRows(("r",), iter([row(k * 1000, None if k == 3 else str(k), "a") for k in batch]), None)) == []
+    assert len(store.entries) == 2 and store.calls == 4 and store.timers == [1, 0]
+    got = list(runs.handleExpiredTimer(("r",), Watermark(), None))
+    assert [r.seq for r in got] == [None if k == 3 else str(k) for k in range(501)] and [r.before for r in got[:2]] == ["idle", "a"]
+    assert all(r.is_valid and r.run_id == "r" for r in got) and store.value == ("a", 500_000) and store.timers[-1] == 501
+    assert len(store.entries) == 1 and store.calls <= 9
+
+
 def test_known_documents_stay_known_after_a_restart(spark, tmp_path):
     batches = [[("one two",), ("three",)], [("one  two",), ("one two",), ("four",)], [("three",), ("five",)]]
     sizes = feed(spark, tmp_path, "text string", batches, lambda s, out, cp: jobs.run_to_table(jobs.stream_ingest(s), out, cp).count())
