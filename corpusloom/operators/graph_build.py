@@ -103,28 +103,30 @@ def parse_extraction_tuples(responses: DataFrame, chunk_id: str = "chunk_id", te
         "source_id", ord_key(records, "_o", F.col("_p")).alias("ord"), tx.split_markers(body, [TUPLE_MARK]).alias("a")
     )
     a = F.col("a")
-    # cleaned once, into a table: the entity table is part of every expression that decodes
-    rows = cut(rows.select("source_id", "ord", "a", F.transform(a, tx.clean_str).alias("plain"), F.transform(F.slice(a, 1, 3), lambda x: tx.clean_str(F.upper(x))).alias("upper")))
+    # only the fields that are used, cleaned once, into a table: the entity table is part of every expression that decodes
+    upper, plain = F.transform(F.slice(a, 2, 2), lambda x: tx.clean_str(F.upper(x))), F.transform(F.slice(a, 4, 2), tx.clean_str)
+    last = F.get(a, F.size(a) - 1)
+    rows = cut(rows.select("source_id", "ord", F.get(a, F.lit(0)).alias("kind"), F.size(a).alias("n"), upper.alias("upper"), plain.alias("plain"), last.alias("last")))
     plain, upper = F.col("plain"), F.col("upper")
     nodes = (
-        rows.where((F.size(a) >= 4) & (F.get(a, F.lit(0)) == '"entity"'))
+        rows.where((F.col("n") >= 4) & (F.col("kind") == '"entity"'))
         .select(
-            F.get(upper, F.lit(1)).alias("entity_name"),
-            F.get(upper, F.lit(2)).alias("entity_type"),
+            F.get(upper, F.lit(0)).alias("entity_name"),
+            F.get(upper, F.lit(1)).alias("entity_type"),
             F.lit(1).alias("votes"),
-            F.get(plain, F.lit(3)).alias("description"),
+            F.get(plain, F.lit(0)).alias("description"),
             "source_id",
             "ord",
         )
         .where(tx.strip(F.col("entity_name")) != "")
     )
-    last = F.element_at(a, -1)
-    rel = split_relation_type(F.get(plain, F.lit(4)))
-    edges = rows.where((F.size(a) >= 5) & (F.get(a, F.lit(0)) == '"relationship"')).select(
-        F.get(upper, F.lit(1)).alias("src"),
-        F.get(upper, F.lit(2)).alias("dst"),
+    last = F.col("last")
+    rel = split_relation_type(F.get(plain, F.lit(1)))
+    edges = rows.where((F.col("n") >= 5) & (F.col("kind") == '"relationship"')).select(
+        F.get(upper, F.lit(0)).alias("src"),
+        F.get(upper, F.lit(1)).alias("dst"),
         F.when(last.rlike(r"^[-+]?[0-9]*\.?[0-9]+$"), last.try_cast("double")).otherwise(F.lit(1.0)).alias("weight"),
-        F.get(plain, F.lit(3)).alias("description"),
+        F.get(plain, F.lit(0)).alias("description"),
         rel["keywords"].alias("keywords"),
         rel["relation_type"].alias("relation_type"),
         "source_id",
