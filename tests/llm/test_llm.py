@@ -415,6 +415,53 @@ def test_matches_cover_every_similar_window():
     assert found > 200
 
 
+def test_words_are_hashed_from_bytes_as_spark_does(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from corpusloom.llm import packing, shingles
+
+    odd = ["", None, " ", "a" * 31, "B" * 32, "b" * 33 + " " + "c" * 100 + "\u00e9" * 70, "\u00dcn\u00ef ABC def-ghi's 12345678 123456789 x\u65e5\u672c\u8a9e \x00y\x7fz \U0001f600 K", "x" * 64 + " " + "Y" * 63, "-", "end ", "\tq"]
+    odd += [f"w{i} " * i for i in range(20)]
+    rows = spark.createDataFrame(list(enumerate(odd)), "i long, text string").select("i", shingles.word_hashes(F.col("text")).alias("w"), F.xxhash64("i").alias("h")).orderBy("i").collect()
+    got = []
+    for _, _, h, size in packing.text_words(pa.array(odd, pa.string())):
+        got += [w.view(np.int64).tolist() for w in np.split(h, np.cumsum(size)[:-1])]
+    assert got == [r["w"] for r in rows]
+    assert packing.hash_longs(np.arange(len(rows))).view(np.int64).tolist() == [r["h"] for r in rows]
+
+
+def test_pairs_are_matched_at_once_as_one_by_one(monkeypatch):
+    import numpy as np
+
+    from corpusloom.llm import matching
+
+    rng, t = random.Random(12), 46
+    hashed = lambda w: [hash(tuple(w[i : i + 5])) & (2**63 - 1) for i in range(len(w) - 4)]
+    base = [rng.randrange(10**6) for _ in range(400)]
+    phrase = [rng.randrange(10**6) for _ in range(12)]
+    parts = []
+    for k in range(40):
+        # texts changed every 20 to 60 words, with repeated phrases in every second, pass over no window
+        w = [x if rng.random() > rng.choice((0.0, 0.02, 0.04)) else -rng.randrange(10**6) for x in base[rng.randrange(100) : rng.randrange(200, 400)]]
+        parts.append(np.array(hashed(w + phrase * 8 + w[:70] if k % 2 else w), np.uint64))
+    code, codes = matching.coded(np.concatenate(parts))
+    assert len(np.unique(code)) == len(np.unique(np.concatenate(parts)))
+    end = np.cumsum([len(p) for p in parts])
+    x, y = (z.ravel() for z in np.meshgrid(np.arange(40), np.arange(40)))
+    one = [(k, *m) for k, (i, j) in enumerate(zip(x, y)) for m in matching.matches(parts[i], parts[j], t, 0.8)]
+    found = []
+    for points in (matching.POINTS, 300):
+        monkeypatch.setattr(matching, "POINTS", points)
+        start = time.process_time()
+        found.append(sorted(matching.Matcher(code, codes, end - np.diff(end, prepend=0), end, t, 0.8).run(x, y)))
+        if points > 300:
+            assert time.process_time() - start < 5  # 0.8 s; one by one, with a step per shingle, 8.8 s
+    assert found[0] == found[1] == sorted(one) and len(one) > 1000
+    for k, a, b, p, q, score in one[::17]:
+        assert score == pytest.approx(similarity(Counter(parts[x[k]][a:b].tolist()), Counter(parts[y[k]][p:q].tolist()))) and score >= 0.8 and b - a >= t
+
+
 def test_passages_at_the_edge_meet_in_enough_functions():
     from math import comb
 
